@@ -1,0 +1,40 @@
+"""Splitting one address's history into time spans.
+
+Correlation and cooldown follow each source address through time.  One
+address may own a large share of all rows, so no step here keys a shuffle on
+the address alone: rows are keyed by (address, span), and only one small
+summary per span is ever brought together per address.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+SPAN_SECONDS = 3600
+MICROS = 1_000_000
+
+
+def with_span(df: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+    """Add ``_key`` (address), ``_us`` (event time) and ``_span`` (start of its span, in µs)."""
+    width = F.lit(span_seconds * MICROS)
+    df = df.withColumns({
+        "_key": F.coalesce(F.col("src_ip"), F.lit("unknown")),
+        "_us": F.unix_micros("ts")})
+    return df.withColumn("_span", F.col("_us") - F.pmod(F.col("_us"), width))
+
+
+def span_order(tie: str = "id") -> WindowSpec:
+    return Window.partitionBy("_key", "_span").orderBy("_us", tie)
+
+
+def so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def gap_exceeds(window: WindowSpec, seconds: int) -> Column:
+    """True when more than ``seconds`` passed since the previous row (never for the first)."""
+    return F.coalesce(F.col("_us") - F.lag("_us").over(window) > seconds * MICROS, F.lit(False))
