@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that later filters must not recompute.
+
+    A filter on a plain derived column is pushed below it with the whole
+    expression copied in, once per use.  Producing the columns by a one-row
+    ``inline`` keeps costly parsing to a single evaluation per row; filters on
+    source columns still pass below it.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def lookup(key: Column, table: Mapping, default) -> Column:
     """Value of ``key`` in a constant map, or ``default`` when it is absent or null."""
     entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])

@@ -12,7 +12,7 @@ def with_event_time(df: DataFrame, ingest_ts: Column | None = None,
     """Add ``ts``.  ``ingest_ts`` replaces unreadable timestamps and defaults to query time."""
     if ingest_ts is None:
         ingest_ts = F.current_timestamp()
-    return df.withColumn("ts", C.parse_timestamp(F.col(source), ingest_ts))
+    return C.compute_once(df, {"ts": C.parse_timestamp(F.col(source), ingest_ts)})
 
 
 def enrich_logs(df: DataFrame, ingest_ts: Column | None = None) -> DataFrame:

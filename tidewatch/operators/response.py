@@ -95,12 +95,14 @@ def _actions_taken(per_severity: Column) -> list[Column]:
     for severity, steps in K.RESPONSE_PLAYBOOK.items():
         for kind, *_ in steps:
             severities.setdefault(kind, []).append(severity)
-    return [
-        F.struct(F.lit("actions_taken").alias("metric"), F.lit(kind).alias("key"),
-                 F.aggregate(per_severity, F.lit(0).cast("long"),
-                             lambda total, s, names=names: total + F.when(
-                                 s["severity"].isin(names), s["n"]).otherwise(0)).alias("value"))
-        for kind, names in severities.items()]
+
+    def total(names: list[str]) -> Column:
+        return F.aggregate(
+            per_severity, F.lit(0).cast("long"),
+            lambda so_far, s: so_far + F.when(s["severity"].isin(names), s["n"]).otherwise(0))
+
+    return [F.struct(F.lit("actions_taken").alias("metric"), F.lit(kind).alias("key"),
+                     total(names).alias("value")) for kind, names in severities.items()]
 
 
 def response_stats(scored: DataFrame, alerts: DataFrame) -> DataFrame:

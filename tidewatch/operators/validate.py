@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
+from tidewatch.functions.columns import compute_once
 from tidewatch.sources.schemas import LOG_SCHEMA
 
 OK = "OK"
@@ -18,11 +19,14 @@ _NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 def _typed(df: DataFrame, raw: str) -> DataFrame:
     """Add ``_doc`` (VARIANT) and one JSON type name per known field."""
-    df = df.withColumn("_doc", F.try_parse_json(F.col(raw)))
-    fields = K.REQUIRED_FIELDS + ["id"]
-    return df.withColumns({
+    df = compute_once(df, {"_doc": F.try_parse_json(F.col(raw))})
+    return compute_once(df, {
         f"_type_{f}": F.schema_of_variant(F.try_variant_get(F.col("_doc"), f"$.{f}", "variant"))
-        for f in fields})
+        for f in K.REQUIRED_FIELDS + ["id"]})
+
+
+def _with_reason(df: DataFrame, raw: str, *checks: Column) -> DataFrame:
+    return compute_once(_typed(df, raw), {"reason": F.coalesce(*checks, F.lit(OK))})
 
 
 def _text(field: str) -> Column:
@@ -33,9 +37,9 @@ def _first_of(checks: list[tuple[Column, str]]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(message)) for bad, message in checks])
 
 
-def missing_field(df_type_prefix: str = "_type_") -> Column:
+def missing_field() -> Column:
     """First absent field, in declared order."""
-    return _first_of([(F.col(df_type_prefix + f).isNull(), f"Missing required field: {f}")
+    return _first_of([(F.col(f"_type_{f}").isNull(), f"Missing required field: {f}")
                       for f in K.REQUIRED_FIELDS])
 
 
@@ -53,21 +57,17 @@ def wrong_type() -> Column:
 
 def validate_required(df: DataFrame, raw: str = "value") -> DataFrame:
     """Add ``reason``: the first missing field, or OK."""
-    out = _typed(df, raw).withColumn("reason", F.coalesce(missing_field(), F.lit(OK)))
-    return out.select(*df.columns, "reason")
+    return _with_reason(df, raw, missing_field()).select(*df.columns, "reason")
 
 
 def validate_types(df: DataFrame, raw: str = "value") -> DataFrame:
     """Add ``reason``: missing field first, then wrong type, else OK."""
-    out = _typed(df, raw).withColumn(
-        "reason", F.coalesce(missing_field(), wrong_type(), F.lit(OK)))
-    return out.select(*df.columns, "reason")
+    return _with_reason(df, raw, missing_field(), wrong_type()).select(*df.columns, "reason")
 
 
 def parse_logs(df: DataFrame, raw: str = "value") -> DataFrame:
     """Every input row with ``reason`` and the typed log fields (null when invalid)."""
-    typed = _typed(df, raw).withColumn(
-        "reason", F.coalesce(missing_field(), wrong_type(), F.lit(OK)))
+    typed = _with_reason(df, raw, missing_field(), wrong_type())
     fields = {
         f.name: F.when(F.col("reason") == OK,
                        F.try_variant_get(F.col("_doc"), f"$.{f.name}", f.dataType.simpleString()))
@@ -105,7 +105,7 @@ def coerce_log_schema(df: DataFrame, raw: str = "value") -> DataFrame:
         values[name] = value
         optional = F.col("_type_id").isNull() | (kind == "VOID") if name == "id" else F.lit(False)
         bad.append(F.when(F.col(f"_v_{name}").isNull() & ~optional, F.lit(name)))
-    typed = typed.withColumns({f"_v_{n}": v for n, v in values.items()})
+    typed = compute_once(typed, {f"_v_{n}": v for n, v in values.items()})
     rejected = F.array_join(F.array_compact(F.array(*bad)), ",")
     keep = [c for c in df.columns if c not in values]
     return typed.select(

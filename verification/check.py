@@ -59,7 +59,8 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                                                  "spark.driver.memory": "8g"})
+                                                  "spark.driver.memory": "8g",
+                                                  "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
     for table in TABLES:

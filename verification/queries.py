@@ -24,15 +24,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Inputs:
-    """The derived views of one scale factor, built on demand."""
+    """The derived views of one scale factor, built on demand.
+
+    The views over the given tables are written once per session and scale
+    factor, so that queries start from stored log and dataset rows.
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = use_utc(spark), sf
 
+    def _view(self, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf, build.__name__)
+        if key not in _STAGED:
+            _STAGED[key] = stage(build(self.spark, self.sf), build.__name__)
+        return _STAGED[key]
+
     @property
     def logs(self) -> DataFrame:
-        return bridge.net_logs(self.spark, self.sf)
+        return self._view(bridge.net_logs)
 
     @property
     def enriched(self) -> DataFrame:
@@ -55,15 +68,15 @@ class Inputs:
 
     @property
     def raw(self) -> DataFrame:
-        return bridge.raw_json(self.spark, self.sf)
+        return self._view(bridge.raw_json)
 
     @property
     def nsl(self) -> DataFrame:
-        return bridge.nsl_like(self.spark, self.sf)
+        return self._view(bridge.nsl_like)
 
     @property
     def unsw(self) -> DataFrame:
-        return bridge.unsw_like(self.spark, self.sf)
+        return self._view(bridge.unsw_like)
 
     @property
     def nsl_std(self) -> DataFrame:
@@ -95,6 +108,12 @@ def query(name: str, select: str | None = None, *needs: str):
     return register
 
 
+def whole(select: str, *names: str) -> str:
+    """SQL sums of integers are wider than BIGINT; bring them back."""
+    casts = ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
+    return f"SELECT * REPLACE ({casts}) FROM ({select})"
+
+
 def _ingest_ts():
     return F.lit("2024-01-07 00:00:00").cast("timestamp")
 
@@ -141,9 +160,9 @@ def _write_nsl_csv(t: Inputs) -> tuple[str, str]:
     return paths["train"], paths["test"]
 
 
-@query("optional_source", """
+@query("optional_source", whole("""
 SELECT split, 'NSL-KDD' AS dataset, count(*) AS n, sum(CASE WHEN category <> 'Normal' THEN 1 ELSE 0 END) AS attacks
-FROM (SELECT split, """ + NSL_CATEGORY + """ AS category FROM nsl) GROUP BY split""", "nsl")
+FROM (SELECT split, """ + NSL_CATEGORY + """ AS category FROM nsl) GROUP BY split""", "attacks"), "nsl")
 def optional_source(t: Inputs) -> DataFrame:
     absent = t.path("absent")
     train, test = datasets.load_datasets(
@@ -153,8 +172,8 @@ def optional_source(t: Inputs) -> DataFrame:
         F.count("*").alias("n"), F.sum("label").alias("attacks"))
 
 
-STORED_SQL = """SELECT dataset, split, count(*) AS n, sum(label) AS attacks,
-  round(avg(norm_duration), 6) AS mean_duration FROM unified GROUP BY dataset, split"""
+STORED_SQL = whole("""SELECT dataset, split, count(*) AS n, sum(label) AS attacks,
+  round(avg(norm_duration), 6) AS mean_duration FROM unified GROUP BY dataset, split""", "attacks")
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -246,8 +265,8 @@ def validate_types(t: Inputs) -> DataFrame:
 
 
 @query("coerce_log_schema", """
-SELECT CAST(id AS VARCHAR) AS id, CASE WHEN fault = 0 THEN NULL ELSE src_ip END AS src_ip, src_port, dst_port,
-  CASE WHEN fault = 3 THEN NULL ELSE CAST(bytes_sent AS DOUBLE) END AS bytes_sent, duration,
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN fault = 0 THEN NULL ELSE src_ip END AS src_ip, src_port,
+  CASE WHEN fault = 2 THEN 443 ELSE dst_port END AS dst_port, CASE WHEN fault = 3 THEN NULL ELSE CAST(bytes_sent AS DOUBLE) END AS bytes_sent, duration,
   CASE fault WHEN 0 THEN 'src_ip' WHEN 3 THEN 'bytes_sent' END AS rejected_fields FROM raw""", "raw")
 def coerce_log_schema(t: Inputs) -> DataFrame:
     return validate.coerce_log_schema(t.raw.select("value")).select(
@@ -511,10 +530,10 @@ def seeded_shuffle(t: Inputs) -> DataFrame:
     return harmonize.seeded_shuffle(t.nsl_std.select("k", "label", "attack_type"))
 
 
-@query("class_balance", """
+@query("class_balance", whole("""
 SELECT split, count(*) AS total, sum(label) AS attack, count(*) - sum(label) AS normal,
   round((count(*) - sum(label)) / count(*) * 100, 1) AS normal_pct, round(sum(label) / count(*) * 100, 1) AS attack_pct,
-  round(sum(label) / count(*), 6) AS attack_rate FROM unified GROUP BY split""", "unified")
+  round(sum(label) / count(*), 6) AS attack_rate FROM unified GROUP BY split""", "attack", "normal"), "unified")
 def class_balance(t: Inputs) -> DataFrame:
     return harmonize.class_balance(t.unified, "split")
 
@@ -640,19 +659,19 @@ def _judged(t: Inputs) -> DataFrame:
                          F.col("anomaly_score").alias("score"))
 
 
-@query("training_summary", """
+@query("training_summary", whole("""
 SELECT count(*) AS n_samples, sum(CASE WHEN anomaly_score < 0 THEN 1 ELSE 0 END) AS n_anomalies,
   round(sum(CASE WHEN anomaly_score < 0 THEN 1 ELSE 0 END) / count(*) * 100, 2) AS anomaly_percentage,
   round(avg(anomaly_score), 4) AS mean_score, round(stddev_pop(anomaly_score), 4) AS std_score,
-  round(min(anomaly_score), 4) AS min_score, round(max(anomaly_score), 4) AS max_score FROM enriched""", "enriched")
+  round(min(anomaly_score), 4) AS min_score, round(max(anomaly_score), 4) AS max_score FROM enriched""", "n_anomalies"), "enriched")
 def training_summary(t: Inputs) -> DataFrame:
     return metrics.training_summary(_judged(t))
 
 
-MATRIX_SQL = """(SELECT sum(CASE WHEN NOT is_attack AND NOT is_anomaly THEN 1 ELSE 0 END) AS tn,
+MATRIX_SQL = "(" + whole("""SELECT sum(CASE WHEN NOT is_attack AND NOT is_anomaly THEN 1 ELSE 0 END) AS tn,
   sum(CASE WHEN NOT is_attack AND is_anomaly THEN 1 ELSE 0 END) AS fp,
   sum(CASE WHEN is_attack AND NOT is_anomaly THEN 1 ELSE 0 END) AS fn,
-  sum(CASE WHEN is_attack AND is_anomaly THEN 1 ELSE 0 END) AS tp FROM enriched)"""
+  sum(CASE WHEN is_attack AND is_anomaly THEN 1 ELSE 0 END) AS tp FROM enriched""", "tn", "fp", "fn", "tp") + ")"
 
 
 @query("confusion_matrix", f"SELECT tn, fp, fn, tp FROM {MATRIX_SQL}", "enriched")
@@ -747,9 +766,10 @@ def context_evaluate(t: Inputs) -> DataFrame:
                               F.array_join("context_flags", ",").alias("flags"), "rule_hits", "peak_adjusted")
 
 
-SUPPRESSION_SQL = """
+SUPPRESSION_SQL = whole("""
 SELECT count(*) AS total_evaluated, sum(rule_hits) AS suppressed, sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows,
-  sum(peak_adjusted) AS adjusted, round(sum(rule_hits) / greatest(count(*), 1) * 100, 2) AS suppression_rate FROM evaluated"""
+  sum(peak_adjusted) AS adjusted, round(sum(rule_hits) / greatest(count(*), 1) * 100, 2) AS suppression_rate FROM evaluated""",
+                        "suppressed", "suppressed_rows", "adjusted")
 
 
 @query("suppression_stats", SUPPRESSION_SQL, "evaluated")
@@ -821,10 +841,10 @@ def score_factors(t: Inputs) -> DataFrame:
     return t.scored.select("id", "factors.*")
 
 
-@query("ip_history_size", """
+@query("ip_history_size", whole("""
 SELECT sum(repeat_count) AS ip_history_size FROM (
   SELECT repeat_count, row_number() OVER (PARTITION BY src_ip ORDER BY secs DESC, id DESC) AS place FROM correlated)
-WHERE place = 1""", "correlated")
+WHERE place = 1""", "ip_history_size"), "correlated")
 def ip_history_size(t: Inputs) -> DataFrame:
     live = t.evaluated.filter(scoring.gate().isNull()).select("id", "src_ip", "ts")
     return correlation.ip_history_size(correlation.correlate(live))
@@ -922,7 +942,7 @@ STATS_SQL = """SELECT (SELECT count(*) FROM evaluated) AS total_logs, count(*) A
   count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'MEDIUM') AS medium,
   count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'CRITICAL') AS critical,
   count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) AS active_threats,
-  (SELECT sum(rule_hits) FROM evaluated) AS {hits}{extra} FROM alerts"""
+  (SELECT sum(rule_hits) FROM evaluated) AS suppressed FROM alerts"""
 
 
 def _service_stats(t: Inputs) -> DataFrame:
@@ -930,12 +950,12 @@ def _service_stats(t: Inputs) -> DataFrame:
     return feeds.service_stats(run.evaluated, run.alerts(), model_loaded=True)
 
 
-@query("service_stats", """
+@query("service_stats", whole("""
 SELECT (SELECT count(*) FROM evaluated) AS total_logs, (SELECT count(*) FROM alerts) AS total_alerts,
   string_agg(severity || '=' || n, ',' ORDER BY severity) AS severity_counts,
   sum(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN n ELSE 0 END) AS active_threats,
   (SELECT sum(rule_hits) FROM evaluated) AS suppressed_count, true AS model_loaded
-FROM (SELECT severity, count(*) AS n FROM alerts GROUP BY severity)""", "alerts", "evaluated")
+FROM (SELECT severity, count(*) AS n FROM alerts GROUP BY severity)""", "active_threats", "suppressed_count"), "alerts", "evaluated")
 def service_stats(t: Inputs) -> DataFrame:
     shown = F.array_join(F.transform(F.map_entries("severity_counts"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -978,7 +998,7 @@ def action_feed(t: Inputs) -> DataFrame:
     return feeds.action_feed(response.action_rows(t.run().alerts()))
 
 
-@query("stat_tiles", STATS_SQL.format(hits="suppressed", extra=""), "alerts", "evaluated")
+@query("stat_tiles", whole(STATS_SQL, "suppressed"), "alerts", "evaluated")
 def stat_tiles(t: Inputs) -> DataFrame:
     return feeds.stat_tiles(_service_stats(t))
 
@@ -1021,11 +1041,11 @@ def score_histogram(t: Inputs) -> DataFrame:
     return reports.score_histogram(t.logs).withColumn("bin_start", F.round("bin_start", 9))
 
 
-@query("detection_rate", f"""
+@query("detection_rate", whole(f"""
 SELECT p.place, p.event_type, count(e.id) AS total, coalesce(sum(CASE WHEN e.is_anomaly THEN 1 ELSE 0 END), 0) AS detected,
   round(coalesce(sum(CASE WHEN e.is_anomaly THEN 1 ELSE 0 END), 0) / greatest(count(e.id), 1) * 100, 4) AS rate
 FROM (VALUES {', '.join(f'({i}, {text(a)})' for i, a in enumerate(K.ATTACK_TYPES))}) p(place, event_type)
-LEFT JOIN enriched e ON e.event_type = p.event_type GROUP BY p.place, p.event_type""", "enriched")
+LEFT JOIN enriched e ON e.event_type = p.event_type GROUP BY p.place, p.event_type""", "detected"), "enriched")
 def detection_rate(t: Inputs) -> DataFrame:
     return reports.detection_rate(t.logs)
 
@@ -1079,9 +1099,9 @@ def stream_correlation_cooldown(t: Inputs) -> DataFrame:
         "log_id", "severity", F.col("factors.repeat_count").alias("repeat_count"))
 
 
-@query("stream_stats", """
+@query("stream_stats", whole("""
 SELECT count(*) AS total_logs, sum(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS anomalies, sum(rule_hits) AS suppressed,
-  sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows, sum(peak_adjusted) AS adjusted FROM evaluated""", "evaluated")
+  sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows, sum(peak_adjusted) AS adjusted FROM evaluated""", "anomalies", "suppressed", "suppressed_rows", "adjusted"), "evaluated")
 def stream_stats(t: Inputs) -> DataFrame:
     counters = flow.stream_stats(context.evaluate_context(_stream_events(t)))
     path = t.path("counters")
