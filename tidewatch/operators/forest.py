@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import constants as K
 from tidewatch.operators.quantiles import DIRECT_ROWS, exact_percentile
+from tidewatch.session import stage
 
 FOREST_SCHEMA = ("tree_id int, node_id int, feature_idx int, threshold double, "
                  "left int, right int, depth int, n int")
@@ -78,10 +79,8 @@ def decision(score: Column, offset: float) -> Column:
 def _tree_samples(df: DataFrame, columns: Sequence[str], total: int, trees: int,
                   size: int, seed: int) -> DataFrame:
     """(tree_id, features..., _rank): at most ``size`` rows of each tree."""
-    values = [F.col(c) for c in columns]
-
-    def draw(*extra) -> Column:
-        return F.xxhash64(*values, *[F.lit(e) if not isinstance(e, Column) else e for e in extra])
+    def draw(*salt: Column) -> Column:
+        return F.xxhash64(F.col("_row_key"), *salt)
 
     def share(rank: Column, fraction: float) -> Column:
         if fraction >= 1.0:
@@ -91,17 +90,17 @@ def _tree_samples(df: DataFrame, columns: Sequence[str], total: int, trees: int,
     margin = 1.5
     if total > margin * trees * size:
         # plenty of rows: every row goes to at most one tree
-        rank = draw(F.col("_row_key"), seed)
+        rank = draw(F.lit(seed))
         picked = df.withColumn("_rank", rank).filter(share(rank, margin * trees * size / total))
         picked = picked.withColumn(
-            "tree_id", F.pmod(draw(F.col("_row_key"), seed + 1), F.lit(trees)).cast("int"))
+            "tree_id", F.pmod(draw(F.lit(seed + 1)), F.lit(trees)).cast("int"))
     else:
         each = df.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rank = draw(F.col("_row_key"), F.col("tree_id"), seed)
+        rank = draw(F.col("tree_id"), F.lit(seed))
         fraction = 1.0 if total <= 4 * size else margin * size / total
         picked = each.withColumn("_rank", rank).filter(share(rank, fraction))
     # the row limit is applied per map partition before the shuffle, too
-    order = Window.partitionBy("tree_id").orderBy("_rank", "_row_key", *values)
+    order = Window.partitionBy("tree_id").orderBy("_rank", "_row_key", *columns)
     picked = picked.withColumn("_place", F.row_number().over(order))
     return picked.filter(F.col("_place") <= size).select("tree_id", "_place", *columns)
 
@@ -261,6 +260,8 @@ def fit_model(train: DataFrame, columns: Sequence[str], trees: int = K.LABELLED_
     forest = fit_forest(scaled, columns, trees, seed=seed, row_key=row_key, total=total).collect()
     size = min(K.FOREST_SAMPLE_SIZE, total)
     unset = Model(scaler, forest, size, 0.0, contamination, trees, total, data_source)
+    # the walk is the costly part: its scores are written once and then ranked
     scored = with_raw_score(train, [F.col(c) for c in columns], unset).select("raw_score")
+    scored = stage(scored, "training-scores")
     offset = contamination_threshold(scored, "raw_score", contamination)
     return Model(scaler, forest, size, offset, contamination, trees, total, data_source)

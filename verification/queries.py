@@ -40,7 +40,12 @@ class Inputs:
     def _view(self, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf, build.__name__)
         if key not in _STAGED:
-            _STAGED[key] = stage(build(self.spark, self.sf), build.__name__)
+            view = build(self.spark, self.sf)
+            cores = self.spark.sparkContext.defaultParallelism
+            # one small file is one task; large tables already come in many splits
+            if view.rdd.getNumPartitions() < cores:
+                view = view.repartition(cores)
+            _STAGED[key] = stage(view, build.__name__)
         return _STAGED[key]
 
     @property
