@@ -382,14 +382,17 @@ def feature_matrix(t: Inputs) -> DataFrame:
     return _unpack(features.feature_matrix(broken), K.CORE_FEATURES).select("id", "src_port", "dst_port")
 
 
+LOGARITHMS = ("log_bytes_sent", "log_bytes_recv")  # compared to six decimals
+
+
 @query("normalized_features", "SELECT k, dataset, " + ", ".join(
-    f"CAST({c} AS DOUBLE) AS {c}" for c in K.TABLE_FEATURES if c != "count") + " FROM unified", "unified")
+    f"round({c}, 6) AS {c}" if c in LOGARITHMS else f"CAST({c} AS DOUBLE) AS {c}"
+    for c in K.TABLE_FEATURES if c != "count") + " FROM unified", "unified")
 def normalized_features(t: Inputs) -> DataFrame:
     table = t.unified.drop("count")  # a missing column is left out
     names = features.table_features(table)
-    rounded = {"log_bytes_sent", "log_bytes_recv"}
     return table.select("k", "dataset", *[
-        (F.round(c, 6) if c in rounded else F.col(c).cast("double")).alias(c) for c in names])
+        (F.round(c, 6) if c in LOGARITHMS else F.col(c).cast("double")).alias(c) for c in names])
 
 
 @query("nan_to_num", """
@@ -432,7 +435,8 @@ def synthetic_columns(t: Inputs) -> DataFrame:
                         made.weekend.alias("is_weekend"))
 
 
-@query("log2_bytes", f"SELECT k, {log2_of('src_bytes')} AS log_bytes_sent, {log2_of('dst_bytes')} AS log_bytes_recv FROM nsl", "nsl")
+@query("log2_bytes", f"""SELECT k, round({log2_of('src_bytes')}, 6) AS log_bytes_sent,
+  round({log2_of('dst_bytes')}, 6) AS log_bytes_recv FROM nsl""", "nsl")
 def log2_bytes(t: Inputs) -> DataFrame:
     return t.nsl.select("k", F.round(harmonize.log2_bytes(F.col("src_bytes")), 6).alias("log_bytes_sent"),
                         F.round(harmonize.log2_bytes(F.col("dst_bytes")), 6).alias("log_bytes_recv"))
@@ -466,11 +470,12 @@ def norm_ports(t: Inputs) -> DataFrame:
                         harmonize.norm_port(harmonize.nsl_service_port(F.col("service"))).alias("dst_port"))
 
 
-UNIFIED_SQL = "SELECT k, split, " + ", ".join(K.UNIFIED_COLUMNS) + " FROM "
+UNIFIED_SQL = "SELECT k, split, " + ", ".join(
+    f"round({c}, 6) AS {c}" if c in LOGARITHMS else c for c in K.UNIFIED_COLUMNS) + " FROM "
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in ("log_bytes_sent", "log_bytes_recv")})
+    return df.withColumns({c: F.round(c, 6) for c in LOGARITHMS})
 
 
 @query("nsl_standardize", UNIFIED_SQL + "nsl_std", "nsl_std")
