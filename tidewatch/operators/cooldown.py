@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions.columns import lookup
-from tidewatch.operators.spans import MICROS, SPAN_SECONDS, before, span_order, with_span
+from tidewatch.operators.spans import MICROS, SPAN_COLUMNS, SPAN_SECONDS, before, span_order, with_span
 
 _LONGEST = max(K.COOLDOWN_SECONDS.values()) * MICROS
-_HELPERS = ["_key", "_us", "_span", "_ready", "_first", "_last"]
+_HELPERS = [*SPAN_COLUMNS, "_ready", "_first", "_last"]
 
 
 def cooldown_seconds(severity: Column) -> Column:

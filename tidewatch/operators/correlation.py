@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as K
-from tidewatch.operators.spans import MICROS, SPAN_SECONDS, gap_exceeds, so_far, span_order, with_span
+from tidewatch.operators.spans import (MICROS, SPAN_COLUMNS, SPAN_SECONDS, gap_exceeds, so_far,
+                                       span_order, with_span)
 
-_HELPERS = ["_key", "_us", "_span", "_row", "_open", "_breaks", "_carry"]
+_HELPERS = ["_row", "_open", "_breaks", "_carry"]
 
 
 def _local_sessions(events: DataFrame, span_seconds: int) -> DataFrame:
@@ -54,11 +55,12 @@ def correlation_points(repeat_count: Column) -> Column:
              .when(repeat_count >= 2, 5).otherwise(0))
 
 
-def correlate(events: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def correlate(events: DataFrame, span_seconds: int = SPAN_SECONDS, keep_spans: bool = False) -> DataFrame:
     """Add ``repeat_count`` and ``correlation_points`` to scored events.
 
     ``events`` needs ``src_ip``, ``ts`` and ``id`` and should hold only
-    anomalous, unsuppressed rows.
+    anomalous, unsuppressed rows.  ``keep_spans`` leaves the span columns for
+    a cooldown with the same ``span_seconds``.
     """
     rows = _local_sessions(events, span_seconds)
     rows = rows.join(_carried(rows), ["_key", "_span"], "left")
@@ -66,7 +68,7 @@ def correlate(events: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     carry = F.when(F.col("_open") == 1, F.coalesce(F.col("_carry"), F.lit(0))).otherwise(0)
     rows = rows.withColumn("repeat_count", (position + carry).cast("long"))
     rows = rows.withColumn("correlation_points", correlation_points(F.col("repeat_count")))
-    return rows.drop(*_HELPERS)
+    return rows.drop(*_HELPERS, *([] if keep_spans else SPAN_COLUMNS))
 
 
 def ip_history_size(correlated: DataFrame) -> DataFrame:

@@ -9,9 +9,8 @@ from tidewatch.functions.columns import iso_utc
 from tidewatch.operators.cooldown import alert_cooldown
 from tidewatch.operators.spans import SPAN_SECONDS
 
-ALERT_COLUMNS = [
-    "id", "timestamp", "severity", "threat_score", "src_ip", "dst_ip", "event_type",
-    "message", "anomaly_score", "confidence", "factors", "actions"]
+ALERT_INPUT = ["id", "ts", "severity", "threat_score", "src_ip", "dst_ip", "event_type",
+               "message", "anomaly_score", "confidence", "factors"]
 
 
 def response_gate(scored: DataFrame) -> DataFrame:

@@ -12,10 +12,17 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 SPAN_SECONDS = 3600
 MICROS = 1_000_000
+SPAN_COLUMNS = ["_key", "_us", "_span"]
 
 
 def with_span(df: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
-    """Add ``_key`` (address), ``_us`` (event time) and ``_span`` (start of its span, in µs)."""
+    """Add ``_key`` (address), ``_us`` (event time) and ``_span`` (start of its span, in µs).
+
+    Columns already there are kept: rows that one step has laid out by
+    (address, span) then reach the next step without another shuffle.
+    """
+    if set(SPAN_COLUMNS) <= set(df.columns):
+        return df
     width = F.lit(span_seconds * MICROS)
     df = df.withColumns({
         "_key": F.coalesce(F.col("src_ip"), F.lit("unknown")),

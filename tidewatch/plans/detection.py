@@ -10,10 +10,10 @@ from tidewatch.operators.context import evaluate_context
 from tidewatch.operators.cooldown import alert_cooldown
 from tidewatch.operators.forest import Model
 from tidewatch.operators.predict import predict_logs
-from tidewatch.operators.response import create_alerts, response_gate
+from tidewatch.operators.response import ALERT_INPUT, alert_id, create_alerts, response_gate
 from tidewatch.operators.scoring import finish_live, gate, live_rows, quiet_rows
 from tidewatch.operators.correlation import correlate
-from tidewatch.operators.spans import SPAN_SECONDS
+from tidewatch.operators.spans import SPAN_COLUMNS, SPAN_SECONDS
 from tidewatch.session import stage
 
 
@@ -48,9 +48,12 @@ def detect(predicted: DataFrame, staged: bool = True, span_seconds: int = SPAN_S
     live = live_rows(evaluated)
     if staged:
         live = stage(live, "live")
-    live = finish_live(correlate(live, span_seconds))
-    passed = alert_cooldown(response_gate(live), span_seconds)
-    return Detection(evaluated, live, passed)
+    live = finish_live(correlate(live, span_seconds, keep_spans=True))
+    # correlated rows are already laid out by address and span; only what an
+    # alert shows goes through the cooldown
+    due = response_gate(live).select(*ALERT_INPUT, *SPAN_COLUMNS)
+    passed = alert_cooldown(due, span_seconds)
+    return Detection(evaluated, live.drop(*SPAN_COLUMNS), passed)
 
 
 def predict_and_detect(enriched: DataFrame, model: Model | None, staged: bool = True,
@@ -68,8 +71,6 @@ def run_logs(run: Detection) -> DataFrame:
 
     Alerts can only belong to live rows, so only those are joined.
     """
-    from tidewatch.operators.response import alert_id
-
     ids = run.passed.select("id", alert_id().alias("alert_id"))
     live = run.live.join(ids, "id", "left").select(
         "id", "is_anomaly", "severity", "threat_score", "alert_id",

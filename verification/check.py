@@ -43,7 +43,8 @@ def compare(spark, db, name: str, sf: str) -> str:
         return f"COLUMNS {sorted(got.column_names)} != {sorted(want.column_names)}"
     types = {c: (str(got.schema.field(c).type), str(want.schema.field(c).type)) for c in got.column_names}
     differ = {c: t for c, t in types.items() if ("double" in t[0]) != ("double" in t[1])
-              or ("string" in t[0]) != ("string" in t[1]) or "decimal" in t[1]}
+              or ("string" in t[0]) != ("string" in t[1]) or "decimal" in t[1]
+              or ("int" in t[0] and t[0] != t[1])}
     def table_rows(table):
         columns = [table.column(c).to_pylist() for c in table.column_names]
         return rows_of(table.column_names, zip(*columns))

@@ -10,7 +10,6 @@ from tidewatch import constants as K
 from tidewatch.functions import columns as C
 from tidewatch.operators import (context, correlation, enrich, features, forest, harmonize, metrics,
                                  predict, quantiles, response, scoring, validate)
-from tidewatch.operators.cooldown import alert_cooldown
 from tidewatch.plans import detection, feeds, reports, training
 from tidewatch.session import stage, use_utc, work_path
 from tidewatch.sources import datasets, logs as log_sources, model_store, sinks
@@ -868,8 +867,7 @@ def response_gate(t: Inputs) -> DataFrame:
 
 @query("alert_cooldown", "SELECT id, src_ip FROM passed", "passed")
 def cooldown(t: Inputs) -> DataFrame:
-    narrow = t.live.select("id", "src_ip", "ts", "severity")
-    return alert_cooldown(narrow).select("id", "src_ip")
+    return t.run().passed.select("id", "src_ip")
 
 
 ALERT_SQL = """SELECT alert_id AS id, timestamp_utc AS timestamp, severity, threat_score, src_ip, dst_ip, event_type,
