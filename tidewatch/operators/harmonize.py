@@ -198,9 +198,14 @@ def union_datasets(*parts: DataFrame | None) -> DataFrame:
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Global permutation by row hash, as a distributed sort; needed only by ordered consumers."""
+    """Global permutation by row hash, as a distributed sort; needed only by ordered consumers.
+
+    Equal rows tie; their position is the last sort key, so that many copies
+    of one row still spread over the range partitions.
+    """
     columns = [F.col(c) for c in df.columns]
-    return df.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns)
+    marked = df.withColumn("_position", F.monotonically_increasing_id())
+    return marked.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns, "_position").drop("_position")
 
 
 def subsample(df: DataFrame, n: int, seed: int = 42, row_key: Column | None = None) -> DataFrame:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "tidewatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this library expects; the caller's settings win."""
     builder = SparkSession.builder.appName(app)
@@ -19,8 +23,7 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.python.unix.domain.socket.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        STATE_STORE: ROCKSDB,
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
@@ -35,6 +38,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_rocksdb_state(spark: SparkSession) -> SparkSession:
+    """Per-address state needs the RocksDB store."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)

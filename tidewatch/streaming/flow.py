@@ -14,6 +14,7 @@ from tidewatch.operators.response import create_alerts
 from tidewatch.operators.scoring import finish_live, live_rows, quiet_rows
 from tidewatch.operators.validate import parse_logs, split_valid
 from tidewatch.plans.feeds import log_payload
+from tidewatch.session import use_rocksdb_state
 from tidewatch.sources.sinks import overwrite_batch
 from tidewatch.streaming.processor import follow_addresses
 
@@ -32,6 +33,7 @@ def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
 
     ``passed`` marks the rows that raise an alert.
     """
+    use_rocksdb_state(predicted.sparkSession)
     evaluated = evaluate_context(predicted)
     live = live_rows(evaluated).withWatermark("ts", delay)
     followed = follow_addresses(live)

@@ -231,8 +231,11 @@ def write_action_log(t: Inputs) -> DataFrame:
 
 def _stream_events(t: Inputs) -> DataFrame:
     """The events table as a stream of enriched logs with their given score."""
-    schema = bridge.table(t.spark, t.sf, "events").schema
-    events = (t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf))
+    spark = use_utc(t.spark.newSession())
+    # state is split once and for all when a stream first starts
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    schema = bridge.table(spark, t.sf, "events").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf))
     return enrich.enrich_logs(bridge.net_logs_from(events))
 
 
