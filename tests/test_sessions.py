@@ -86,6 +86,20 @@ def test_result_does_not_depend_on_partitions_or_spans(spark):
     assert len(results) == 1
 
 
+@pytest.mark.parametrize("batch_rows", [1, 7, 100])
+def test_spans_cut_by_batches(spark, batch_rows):
+    """State is carried between Arrow batches, however small they are."""
+    rows = history(11, 1200, 0.7, 2)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, batch_rows)
+    try:
+        got = {r["id"] for r in alert_cooldown(frame(spark, rows), 450).select("id").collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert got == replay(rows)[1]
+
+
 def test_unknown_severity_and_missing_address(spark):
     df = spark.createDataFrame([(1, None, BASE, "ODD"), (2, None, BASE + timedelta(seconds=119), "ODD"),
                                 (3, None, BASE + timedelta(seconds=120), "ODD")], SCHEMA)

@@ -44,43 +44,32 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("_first") | (F.col("_ready") > F.col("_highest"))).drop("_highest")
 
 
-def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroup Arrow batches so that no span is cut between two tables."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        opens = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
-        if len(opens):
-            cut = int(opens[-1])
-            held.append(batch.slice(0, cut))
-            if sum(b.num_rows for b in held):
-                yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-            batch = batch.slice(cut)
-        held.append(batch)
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-class _Spans:
-    """Array view of whole spans: which candidate follows which."""
-
-    def __init__(self, table: pa.Table, width: int):
+class _Batch:
+    """Array view of one Arrow batch of candidates: which follows which inside the batch.
+
+    Segment 0 continues the span of the batch before; every ``_first`` row
+    opens the next segment.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
         def array(name: str) -> np.ndarray:
-            return table.column(name).to_numpy()
+            return batch.column(name).to_numpy(zero_copy_only=False)
 
         self.first = array("_first").astype(bool)
         self.us, self.ready, self.start = array("_us"), array("_ready"), array("_span")
-        self.span_no = np.cumsum(self.first) - 1
+        self.segment = np.cumsum(self.first)
+        self.continues = not self.first[0]
+        self.final = self.segment == self.segment[-1]
         self._stride = width + 2 * _LONGEST
-        self._ready_line = self.span_no * self._stride + (self.ready - self.start + _LONGEST)
-        self.follower = self._first_ready(self.span_no, self.us - self.start, np.arange(len(self.us)))
+        self._line = self.segment * self._stride + (self.ready - self.start + _LONGEST)
+        self.follower = self.first_ready(self.segment, self.us - self.start, np.arange(len(self.us)))
 
-    def _first_ready(self, span_no, offset, otherwise) -> np.ndarray:
-        """Index of the first candidate of the span ready at ``offset``, else ``otherwise``."""
-        wanted = span_no * self._stride + np.maximum(offset + _LONGEST, 0)
-        at = np.searchsorted(self._ready_line, wanted, side="left")
+    def first_ready(self, segment, offset, otherwise) -> np.ndarray:
+        """Index of the segment's first candidate ready at ``offset``, else ``otherwise``."""
+        wanted = segment * self._stride + np.maximum(offset + _LONGEST, 0)
+        at = np.searchsorted(self._line, wanted, side="left")
         inside = np.minimum(at, len(self.us) - 1)
-        found = (at < len(self.us)) & (self.span_no[inside] == span_no)
+        found = (at < len(self.us)) & (self.segment[inside] == segment)
         return np.where(found, inside, otherwise)
 
     def last_reached(self) -> np.ndarray:
@@ -92,14 +81,12 @@ class _Spans:
                 return reach
             reach = further
 
-    def passed(self, last_before: np.ndarray) -> np.ndarray:
-        """Mask of passed candidates, given the last pass before each span."""
-        opening = np.flatnonzero(self.first)
-        entry = self._first_ready(self.span_no[opening],
-                                  last_before[opening] - self.start[opening],
-                                  np.full(len(opening), -1))
+    def passed(self, opening: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Mask of passed candidates; segments begin at ``opening`` with ``last`` passed before."""
+        at = self.first_ready(self.segment[opening], last - self.start[opening],
+                              np.full(len(opening), -1))
+        at = at[at >= 0]
         mask = np.zeros(len(self.us), dtype=bool)
-        at = entry[entry >= 0]
         while len(at):
             mask[at] = True
             after = self.follower[at]
@@ -107,26 +94,75 @@ class _Spans:
         return mask
 
 
+class _OpenSpan:
+    """Step function of a span that may go on in the next batch."""
+
+    def __init__(self, key, start: int, upto: np.ndarray, result: np.ndarray, ready: int):
+        self.key, self.start, self.upto, self.result, self.ready = key, start, upto, result, ready
+
+    def extend(self, upto: np.ndarray, result: np.ndarray) -> None:
+        self.upto = np.concatenate([self.upto, upto])
+        self.result = np.concatenate([self.result, result])
+        # neighbouring steps with one result are one step
+        keep = np.append(self.result[1:] != self.result[:-1], True)
+        self.upto, self.result = self.upto[keep], self.result[keep]
+
+    def advance(self, batch: _Batch, reach: np.ndarray) -> None:
+        """Carry every step through the batch's continuing segment."""
+        zeros = np.zeros(len(self.result), dtype=np.int64)
+        at = batch.first_ready(zeros, self.result - self.start, np.full(len(zeros), -1))
+        self.result = np.where(at >= 0, batch.us[reach[at]], self.result)
+
+    def rows(self) -> pa.RecordBatch:
+        return _steps(pa.array([self.key] * len(self.upto), pa.string()),
+                      np.full(len(self.upto), self.start), self.upto, self.result)
+
+
+def _steps(keys, start, upto, result) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(upto), pa.array(result)],
+                                      names=["_key", "_span", "_upto", "_result"])
+
+
 def _step_functions(width: int):
-    """Kernel: candidates of whole spans -> rows (span, upto, result).
+    """Kernel: candidates ordered per span -> rows (span, upto, result).
 
     A span entered with the last pass at L ends with ``result`` of the first
     row whose ``upto`` is at least L, or with L itself when there is none.
+    Memory is one batch and the steps of one span.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_spans(batches):
-            spans = _Spans(table, width)
-            result = spans.us[spans.last_reached()]
-            earlier = np.concatenate([[0], spans.ready[:-1]])
-            entry = np.flatnonzero(spans.first | (earlier < spans.start))
-            same = ((spans.span_no[entry][1:] == spans.span_no[entry][:-1])
-                    & (result[entry][1:] == result[entry][:-1]))
-            entry = entry[np.concatenate([~same, [True]])]
-            yield pa.RecordBatch.from_arrays(
-                [table.column("_key").combine_chunks().take(pa.array(entry)),
-                 pa.array(spans.start[entry]), pa.array(spans.ready[entry]),
-                 pa.array(result[entry])],
-                names=["_key", "_span", "_upto", "_result"])
+        held: _OpenSpan | None = None
+        for record in batches:
+            if not record.num_rows:
+                continue
+            batch = _Batch(record, width)
+            reach = batch.last_reached()
+            result = batch.us[reach]
+            before = held.ready if held and batch.continues else 0
+            earlier = np.concatenate([[before], batch.ready[:-1]])
+            entry = batch.first | (earlier < batch.start)
+            key = record.column("_key")
+            if batch.continues:
+                held.advance(batch, reach)
+                mine = entry & (batch.segment == 0)
+                held.extend(batch.ready[mine], result[mine])
+                held.ready = int(batch.ready[batch.segment == 0][-1])
+                if batch.final[0]:
+                    continue
+            if held:
+                yield held.rows()
+            closed = np.flatnonzero(entry & ~batch.final & (batch.segment > 0))
+            if len(closed):
+                same = ((batch.segment[closed][1:] == batch.segment[closed][:-1])
+                        & (result[closed][1:] == result[closed][:-1]))
+                closed = closed[np.append(~same, True)]
+                yield _steps(key.take(pa.array(closed)), batch.start[closed], batch.ready[closed], result[closed])
+            mine = entry & batch.final
+            held = _OpenSpan(key[record.num_rows - 1].as_py(), int(batch.start[-1]),
+                             np.zeros(0, np.int64), np.zeros(0, np.int64), int(batch.ready[-1]))
+            held.extend(batch.ready[mine], result[mine])
+        if held:
+            yield held.rows()
     return run
 
 
@@ -155,12 +191,21 @@ def _apply_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _decide(width: int):
-    """Kernel: candidates with the last pass before their span -> passed rows."""
+    """Kernel: candidates with the last pass before their span -> passed rows, batch by batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_spans(batches):
-            spans = _Spans(table, width)
-            keep = spans.passed(table.column("_last").to_numpy())
-            yield from table.filter(pa.array(keep)).to_batches()
+        last = 0
+        for record in batches:
+            if not record.num_rows:
+                continue
+            batch = _Batch(record, width)
+            opening = np.flatnonzero(batch.first)
+            before = record.column("_last").to_numpy()[opening]
+            if batch.continues:
+                opening, before = np.append(0, opening), np.append(last, before)
+            mask = batch.passed(opening, before)
+            recent = batch.us[mask & batch.final]
+            last = int(recent[-1]) if len(recent) else int(before[-1])
+            yield record.filter(pa.array(mask))
     return run
 
 

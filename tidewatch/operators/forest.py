@@ -155,6 +155,9 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = K.LABELLED_TR
     psi = min(size, total)
     limit = ceil(log2(max(psi, 2)))
     samples = _tree_samples(keyed, columns, total, trees, psi, seed)
+    # so few bytes would be merged into one task, but growing trees is work
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    samples = samples.repartition(tasks, "tree_id")
     return samples.groupBy("tree_id").applyInPandas(_grow(columns, limit, seed), FOREST_SCHEMA)
 
 

@@ -350,7 +350,7 @@ def message_risk_score(t: Inputs) -> DataFrame:
     return features.with_message_risk(t.logs).select("id", "message_risk_score")
 
 
-@query("message_risk_score_texts", "SELECT doc_id, message_risk_score FROM (" + DOC_RISK + ")", "kinds")
+@query("message_risk_score_texts", DOC_RISK)
 def message_risk_score_texts(t: Inputs) -> DataFrame:
     docs = bridge.table(t.spark, t.sf, "documents").select("doc_id", F.col("text").alias("message"))
     return features.with_message_risk(docs).select("doc_id", "message_risk_score")
