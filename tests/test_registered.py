@@ -39,6 +39,25 @@ def test_flagship(spark):
     assert frame.columns == ["id", "is_anomaly", "severity", "threat_score", "alert_id", "suppressed"]
 
 
+def test_known_counts(spark, sf):
+    """Numbers fixed when the log view was specified."""
+    from verification.queries import Inputs
+    run = Inputs(spark, sf).run()
+    severities = {r["severity"]: r["count"] for r in run.scored().groupBy("severity").count().collect()}
+    assert severities == {"NORMAL": 480, "SUPPRESSED": 282, "LOW": 71, "MEDIUM": 103, "HIGH": 57, "CRITICAL": 7}
+    assert run.live.count() - run.alerts().count() == 2
+
+
+def test_staged_tables_live_below_the_shared_folder(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+    assert session.work_path(spark, "x").startswith(session.shared_root(spark))
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    staged = session.stage(spark.range(5), "numbers")
+    assert staged.count() == 5 and list(tmp_path.rglob("*.parquet"))
+    session.release_staged(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_plans_split_by_address_and_time(spark, sf):
     """Rows are never shuffled by the address alone; only span summaries are."""
     plan = driver.queries()["event_correlation"](spark, sf)._jdf.queryExecution().executedPlan().toString()

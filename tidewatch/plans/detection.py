@@ -19,7 +19,7 @@ from tidewatch.session import stage
 
 @dataclass(frozen=True)
 class Detection:
-    """Frames of one run; nothing is computed twice from the source.
+    """Frames of one run.
 
     ``evaluated``: every log with anomaly and context columns.
     ``live``: scored logs (anomalous, unsuppressed).

@@ -45,13 +45,17 @@ def use_rocksdb_state(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it in local mode only.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        root = context.getCheckpointDir()
     return root
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.sources.schemas import LOG_SCHEMA
 
-CORRUPT = "_corrupt_record"
-
 
 def read_log_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with the declared schema; unknown keys are ignored."""
@@ -26,13 +24,6 @@ def stream_log_text(spark: SparkSession, path: str, max_files: int | None = None
     return reader.load(path)
 
 
-def stream_log_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Raw lines from a topic; needs the Kafka connector on the cluster."""
-    source = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-              .option("subscribe", topic).load())
-    return source.select(F.col("value").cast("string").alias("value"))
-
-
 def log_from_json(raw: Column) -> Column:
     """Typed log struct of one JSON text column."""
     return F.from_json(raw, LOG_SCHEMA, {"mode": "PERMISSIVE"})
