@@ -10,7 +10,9 @@ that crosses a boundary leaves one piece on each side.  No row is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,17 +25,31 @@ from tidewatch.session import stage
 
 SEQUENCE, END_ID = 4096, 2
 CHUNK_CHARS = 1 << 18
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 600_000
 BATCH_ROWS = "1000"
 
 
+# How the tokenizer cuts a lower-cased chunk of Latin-1 text: contractions, letters, single digits, other marks.
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: byte for byte in printable} | {byte: 256 + k for k, byte in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of the lower-casing word BPE, equal to the tokenizer's own and faster.
 
     This vocabulary never joins text across white space.  A text whose
     characters are all Latin-1 (where lower case and composition need no
     context) is cut at white space, and the ids of each chunk are looked up in
-    a bounded cache, which the tokenizer fills.  Any other text, and one with
+    a bounded cache.  A new chunk is cut into pieces as the tokenizer does,
+    and only new pieces go through its merges.  Any other text, and one with
     special-token marks or separators that Python alone takes for white space,
     goes through the tokenizer whole.
     """
@@ -42,7 +58,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -54,22 +73,32 @@ class WordEncoder:
             return False
         return True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(each.ids, np.uint16).tobytes()
-                for each in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            known = array("H", [token.id for token in self.merges.tokenize(spelled)]).tobytes()
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = known
+        return known
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        chunks = [text.lower().split() if self.plain(text) else None for text in texts]
-        missing = set().union(*(words for words in chunks if words)).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = set().union(*(words for words in chunks if words))
-        listed = list(missing)
-        for at in range(0, len(listed), 4096):
-            self.cache.update(zip(listed[at:at + 4096], self._encode(listed[at:at + 4096]), strict=True))
-        for text, words in zip(texts, chunks, strict=True):
-            yield self._encode([text])[0] if words is None else b"".join(map(self.cache.__getitem__, words))
+        cut = [text.lower().split() if self.plain(text) else None for text in texts]
+        seen = set().union(*(chunks for chunks in cut if chunks))
+        missing = seen.difference(self.chunks)
+        if len(self.chunks) + len(missing) > CACHE_WORDS:
+            self.chunks.clear()
+            missing = seen
+        for chunk in missing:
+            self.chunks[chunk] = b"".join(map(self._piece, _PIECES.findall(chunk)))
+        for text, chunks in zip(texts, cut, strict=True):
+            if chunks is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield array("H", ids).tobytes()
+            else:
+                yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
 @lru_cache(maxsize=1)
