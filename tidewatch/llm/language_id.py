@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 DIMS = 8192
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1000  # rows that a language's centroids are fitted on
+MAX_LANGUAGES = 10_000
 MIN_COSINE = 0.02
 CHUNK_CHARS = 1 << 19
 BATCH_ROWS = "500"
@@ -158,7 +159,10 @@ def _clusters(idf: np.ndarray):
 
 
 def fit(train: DataFrame) -> LanguageModel:
-    """Learn from ``doc_id``, ``text`` and ``lang``; rows without a language are left out."""
+    """Learn from ``doc_id``, ``text`` and ``lang``; rows without a language are left out.
+
+    More than ``MAX_LANGUAGES`` values of ``lang`` are an error.
+    """
     spark = train.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = train.filter("lang is not null").select(
@@ -174,8 +178,12 @@ def fit(train: DataFrame) -> LanguageModel:
         else:
             frequency[gram] = n
     idf = (np.log((1 + documents) / (1 + frequency)) + 1).astype(np.float32)
-    shares = rows.groupBy("lang").agg((SAMPLE_PER_LANGUAGE / F.count("*")).alias("share"))
-    sample = rows.join(shares, "lang").filter("draw < share").select("lang", "text", "draw")
+    counts = rows.groupBy("lang").agg((SAMPLE_PER_LANGUAGE / F.count("*")).alias("share")).limit(
+        MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = spark.createDataFrame(counts, "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "text", "draw")
     centroids = sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<float>")
     found = sorted((row["lang"], row["centroid"]) for row in centroids.collect())
     return LanguageModel([name for name, _ in found],
