@@ -32,7 +32,7 @@ def points(spark):
     return spark.createDataFrame(rows, "id long, a double, b double, c double").cache()
 
 
-@pytest.mark.parametrize("trees", [5, 40])  # few trees: each row to one tree; many: every tree samples all rows
+@pytest.mark.parametrize("trees", [5, 40])
 def test_forest_structure(spark, points, trees):
     def fit(n):
         rows = forest.fit_forest(points.repartition(n), ["a", "b", "c"], trees, row_key=F.col("id")).collect()
@@ -49,6 +49,21 @@ def test_forest_structure(spark, points, trees):
         assert {n[1] for n in rows} == set(range(len(rows)))
 
 
+def test_rows_are_offered_to_trees_alike(spark, monkeypatch):
+    shares = forest._shares(20, 0.03)
+    want = [sum(math.comb(20, i) * 0.03 ** i * 0.97 ** (20 - i) for i in range(k + 1)) for k in range(20)]
+    assert shares == pytest.approx(want) and forest._shares(3, 1.0) == [0.0] * 3
+    rows = spark.range(20_000).select(F.col("id").alias("_row_key"), F.rand(3).alias("a"))
+    for fraction in (0.02, 0.4, 1.0):
+        taken = forest._tree_samples(rows, ["a"], 10, 10**6, 5, fraction).groupBy("tree_id").count().collect()
+        spread = 6 * math.sqrt(20_000 * fraction * (1 - fraction))
+        assert len(taken) == 10 and all(abs(r["count"] - 20_000 * fraction) <= spread for r in taken)
+    # a margin that leaves trees short is mended
+    monkeypatch.setattr(forest, "MARGIN", 0.3)
+    nodes = forest.fit_forest(rows.select("a"), ["a"], 8).collect()
+    assert [n["n"] for n in nodes if n["node_id"] == 0] == [256] * 8
+
+
 def test_equal_rows_without_a_key(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.rand(1)).alias("a"))
     nodes = forest.fit_forest(df, ["a"], 4).collect()
@@ -130,13 +145,33 @@ def test_percentile_golden(spark):
     assert row["std"] == pytest.approx(4.031129, abs=1e-6) and row["p50"] == 3.0
 
 
-def test_describe_takes_both_ways(spark, points):
+def test_describe_does_not_depend_on_the_finish(spark, points):
     a = quantiles.describe(points, ["a", "b"]).orderBy("feature").collect()
-    b = quantiles.describe(points, ["a", "b"], direct_rows=100).orderBy("feature").collect()
+    b = quantiles.describe(points, ["a", "b"], finish_rows=100).orderBy("feature").collect()
     for x, y in zip(a, b):
         assert list(x)[1:] == pytest.approx(list(y)[1:])
 
 
+@pytest.mark.parametrize("finish", [10**6, 20])
+def test_special_values_come_in_order(spark, finish):
+    inf, nan = math.inf, math.nan
+    values = [-inf] * 3 + [float(x) for x in range(80)] + [inf] * 10 + [nan] * 7 + [None] * 5
+    df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+    wanted = [0.0, 0.02, 0.25, 0.5, 0.825, 0.9, 1.0]
+    got = [r["value"] for r in quantiles.exact_percentiles(
+        quantiles.keyed_values(df, ["x"]), wanted, finish).orderBy("q").collect()]
+    ordered = values[:100]
+    want = []
+    for q in wanted:
+        place = q * 99
+        low, high, w = ordered[math.floor(place)], ordered[math.ceil(place)], place % 1
+        want.append(low if low == high or w == 0 else (1 - w) * low + w * high)
+    assert got == pytest.approx(want, nan_ok=True) and got[1] == -inf and got[5] == inf and math.isnan(got[6])
+    alone = spark.createDataFrame([(nan,), (inf,), (None,)], "x double")
+    assert quantiles.kth_smallest(alone, "x", 0, finish) == inf
+    assert quantiles.describe(alone.filter("x is null"), ["x"]).count() == 0
+
+
 def test_metric_goldens(spark):
     matrix = spark.createDataFrame([(41556, 5155, 27094, 31071)], "tn long, fp long, fn long, tp long")
     m = metrics.binary_metrics(matrix).first()

@@ -88,6 +88,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuple(total) == (400, len(want))
 
 
+def test_equal_rows_without_id_are_all_kept(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    same = json.loads(line(0, BASE, "203.0.113.9", -0.3))
+    del same["id"]
+    other = dict(same, dst_port=23)
+    (source / "a.txt").write_text("\n".join(map(json.dumps, [same, same, other, same])) + "\n")
+    (source / "b.txt").write_text(json.dumps(same) + "\n")
+    (source / "c.txt").write_text(line(8, FAR, "192.0.2.1", -0.3) + "\n")
+    import os
+    for n, name in enumerate("abc"):
+        os.utime(source / f"{name}.txt", (1_700_000_000 + n, 1_700_000_000 + n))
+    scored = flow.score_stream(predicted(flow.enriched_stream(stream_log_text(spark, str(source), 1))), "200 seconds")
+    out = str(tmp_path / "out")
+    flow.start(scored, out, str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(f"{out}/logs").filter("src_ip = '203.0.113.9'").collect()
+    assert len(rows) == 5 and {r["id"] for r in rows} == {""}
+    assert spark.read.parquet(f"{out}/alerts").count() >= 1
+
+
 def test_running_counters(spark, tmp_path):
     source = tmp_path / "in"
     write_files(source, 60, 3)
@@ -121,20 +141,51 @@ def test_state_step():
     assert steps == [(1, True), (2, True), (1, True), (2, False), (3, True)]
 
 
-def test_late_rows_are_dropped_not_reordered(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    times = [0, 1000, 2000]
-    for n, t in enumerate(times):
-        (source / f"a{n}.txt").write_text(line(n, BASE + timedelta(seconds=t), "203.0.113.9", -0.3) + "\n")
-    (source / "b.txt").write_text(line(7, BASE + timedelta(seconds=10), "203.0.113.9", -0.3) + "\n")
-    (source / "c.txt").write_text(line(8, FAR, "192.0.2.1", -0.3) + "\n")
+def write_lines(source, groups):
+    """One file, so one batch, per group of lines."""
     import os
-    for n, name in enumerate(["a0", "a1", "a2", "b", "c"]):
-        os.utime(source / f"{name}.txt", (1_700_000_000 + n, 1_700_000_000 + n))
-    raw = stream_log_text(spark, str(source), 1)
-    scored = flow.score_stream(predicted(flow.enriched_stream(raw)), delay="60 seconds")
-    out = str(tmp_path / "out")
+    source.mkdir()
+    for n, group in enumerate(groups):
+        path = source / f"{n:03}.txt"
+        path.write_text("\n".join(group) + "\n")
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def run_flow(spark, tmp_path, delay):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    flow.start_intake(stream_log_text(spark, source, 1), out, str(tmp_path / "intake")).awaitTermination()
+    scored = flow.score_stream(predicted(flow.enriched_stream(stream_log_text(spark, source, 1))), delay)
     flow.start(scored, out, str(tmp_path / "state")).awaitTermination()
+    return out
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    at = [line(n, BASE + timedelta(seconds=t), "203.0.113.9", -0.3) for n, t in enumerate((0, 1000, 2000))]
+    late = line(7, BASE + timedelta(seconds=10), "203.0.113.9", -0.3)
+    more = [[line(20 + n, BASE + timedelta(seconds=2500 + 500 * n), "203.0.113.9", -0.3)] for n in range(3)]
+    write_lines(tmp_path / "in", [[at[0]], [at[1]], [at[2]], [late, late, "{broken"], *more,
+                                  [line(8, FAR, "192.0.2.1", -0.3)]])
+    out = run_flow(spark, tmp_path, "60 seconds")
     ids = sorted(r["id"] for r in spark.read.parquet(f"{out}/logs").filter("src_ip = '203.0.113.9'").collect())
-    assert ids == ["0", "1", "2"]
+    assert ids == ["0", "1", "2", "20", "21", "22"]
+    assert [(r["id"], r["copies"]) for r in flow.late_rows(spark, out).collect()] == [("7", 2)]
+    assert spark.read.parquet(f"{out}/received").count() == 9
+    assert [r["value"] for r in spark.read.parquet(f"{out}/rejected").collect()] == ["{broken"]
+
+
+def test_bad_and_future_times_do_not_make_others_late(spark, tmp_path):
+    def stamped(i, stamp):
+        return json.dumps(dict(json.loads(line(i, BASE, "203.0.113.9", -0.3)), timestamp=stamp))
+    groups = [[line(0, BASE, "203.0.113.9", -0.3)], [stamped(1, "no time"), stamped(2, "2999-01-01T00:00:00Z")]]
+    groups += [[line(10 + n, BASE + timedelta(seconds=400 * n), "203.0.113.9", -0.3)] for n in range(1, 7)]
+    write_lines(tmp_path / "in", [*groups, [line(8, FAR, "192.0.2.1", -0.3)]])
+    out = run_flow(spark, tmp_path, "60 seconds")
+    ids = {r["id"] for r in spark.read.parquet(f"{out}/logs").filter("src_ip = '203.0.113.9'").collect()}
+    assert ids == {"0", *(str(10 + n) for n in range(1, 7))}  # the other two wait for their time to come
+    assert flow.late_rows(spark, out).count() == 0
+    totals = spark.read.parquet(f"{out}/totals")
+    last = totals.filter(F.col("batch_id") == totals.agg(F.max("batch_id")).first()[0])
+    stats = spark.read.parquet(f"{out}/stats")
+    names = ["logs", "alerts", "actions", "in_cooldown", "rule_hits"]
+    assert last.agg(*[F.sum(n) for n in names]).first() == stats.agg(*[F.sum(n) for n in names]).first()
+    assert last.agg(F.sum("actions")).first()[0] == spark.read.parquet(f"{out}/actions").count() > 0

@@ -111,7 +111,7 @@ RESPONSE_PLAYBOOK = {
         ("notify_soc", "SOC team notified of high-severity threat from ", "src_ip", "SOC_TEAM"),
     ],
     "CRITICAL": [
-        ("generate_alert", "\U0001f6a8 CRITICAL alert for ", "src_ip", None),
+        ("generate_alert", "🚨 CRITICAL alert for ", "src_ip", None),
         ("block_ip", "[SIMULATED] Emergency firewall block for ", "src_ip", None),
         ("isolate_node", "[SIMULATED] Network isolation for target ", "dst_ip", None),
         ("escalate", "Incident escalated to SOC Lead – CRITICAL threat", None, "SOC_LEAD"),
@@ -136,17 +136,17 @@ NSL_COLUMNS = [
     "dst_host_srv_diff_host_rate", "dst_host_serror_rate", "dst_host_srv_serror_rate",
     "dst_host_rerror_rate", "dst_host_srv_rerror_rate", "attack_type", "difficulty_level",
 ]
-NSL_ATTACKS_BY_CATEGORY = {
-    "Normal": ["normal"],
-    "DoS": ["back", "land", "neptune", "pod", "smurf", "teardrop", "apache2",
-            "mailbomb", "processtable", "udpstorm"],
-    "Probe": ["ipsweep", "nmap", "portsweep", "satan", "mscan", "saint"],
-    "R2L": ["ftp_write", "guess_passwd", "imap", "multihop", "phf", "spy",
-            "warezclient", "warezmaster", "xlock", "xsnoop", "snmpgetattack",
-            "httptunnel", "snmpguess", "sendmail", "named", "worm"],
-    "U2R": ["buffer_overflow", "loadmodule", "perl", "rootkit", "xterm", "ps", "sqlattack"],
+NSL_ATTACK_CATEGORY = {
+    "normal": "Normal", "back": "DoS", "land": "DoS", "neptune": "DoS", "pod": "DoS",
+    "smurf": "DoS", "teardrop": "DoS", "apache2": "DoS", "mailbomb": "DoS",
+    "processtable": "DoS", "udpstorm": "DoS", "ipsweep": "Probe", "nmap": "Probe",
+    "portsweep": "Probe", "satan": "Probe", "mscan": "Probe", "saint": "Probe",
+    "ftp_write": "R2L", "guess_passwd": "R2L", "imap": "R2L", "multihop": "R2L", "phf": "R2L",
+    "spy": "R2L", "warezclient": "R2L", "warezmaster": "R2L", "xlock": "R2L", "xsnoop": "R2L",
+    "snmpgetattack": "R2L", "httptunnel": "R2L", "snmpguess": "R2L", "sendmail": "R2L",
+    "named": "R2L", "worm": "R2L", "buffer_overflow": "U2R", "loadmodule": "U2R", "perl": "U2R",
+    "rootkit": "U2R", "xterm": "U2R", "ps": "U2R", "sqlattack": "U2R",
 }
-NSL_ATTACK_CATEGORY = {a: c for c, names in NSL_ATTACKS_BY_CATEGORY.items() for a in names}
 NSL_PROTOCOL_CODES = {"tcp": 0, "udp": 1, "icmp": 2}
 NSL_SERVICE_PORTS = {
     "http": 80, "http_443": 443, "smtp": 25, "ftp": 21, "ftp_data": 20,

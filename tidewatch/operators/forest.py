@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, log, log2
+from math import ceil, exp, log, log1p, log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import constants as K
-from tidewatch.operators.quantiles import DIRECT_ROWS, exact_percentile
+from tidewatch.operators.quantiles import FINISH_ROWS, exact_percentile
 from tidewatch.session import stage
 
 FOREST_SCHEMA = ("tree_id int, node_id int, feature_idx int, threshold double, "
@@ -76,32 +76,46 @@ def decision(score: Column, offset: float) -> Column:
 
 
 # ------------------------------------------------------------------------- fit
-def _tree_samples(df: DataFrame, columns: Sequence[str], total: int, trees: int,
-                  size: int, seed: int) -> DataFrame:
-    """(tree_id, features..., _rank): at most ``size`` rows of each tree."""
+MARGIN = 1.5  # rows offered to a tree, as a multiple of those it needs
+
+
+def _shares(trees: int, fraction: float) -> list[float]:
+    """Probability that a row goes to at most 0, 1, ... ``trees - 1`` trees, each with ``fraction``."""
+    if fraction >= 1.0:
+        return [0.0] * trees
+    odds, out, total = fraction / (1 - fraction), [], 0.0
+    chance = exp(trees * log1p(-fraction))
+    for k in range(trees):
+        total += chance
+        out.append(min(total, 1.0))
+        chance *= (trees - k) / (k + 1) * odds
+    return out
+
+
+def _tree_samples(df: DataFrame, columns: Sequence[str], trees: int, size: int, seed: int,
+                  fraction: float) -> DataFrame:
+    """(tree_id, features..., _place): at most ``size`` rows of each tree.
+
+    Every row draws from one hash how many trees it goes to, and from further
+    hashes which ones, so a tree sees every row with probability ``fraction``.
+    Most rows of a large table draw none and are left behind at once.
+    """
     def draw(*salt: Column) -> Column:
-        return F.xxhash64(F.col("_row_key"), *salt)
-
-    def share(rank: Column, fraction: float) -> Column:
-        if fraction >= 1.0:
-            return F.lit(True)
-        return rank <= F.lit(int(-(2 ** 63) + fraction * (2 ** 64 - 1)))
-
-    margin = 1.5
-    if total > margin * trees * size:
-        # plenty of rows: every row goes to at most one tree
-        rank = draw(F.lit(seed))
-        picked = df.withColumn("_rank", rank).filter(share(rank, margin * trees * size / total))
-        picked = picked.withColumn(
-            "tree_id", F.pmod(draw(F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        each = df.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rank = draw(F.col("tree_id"), F.lit(seed))
-        fraction = 1.0 if total <= 4 * size else margin * size / total
-        picked = each.withColumn("_rank", rank).filter(share(rank, fraction))
+        return F.xxhash64("_row_key", *salt)
+
+    uniform = (F.shiftrightunsigned(draw(F.lit(seed)), 11)) / F.lit(float(1 << 53))
+    shares = _shares(trees, fraction)
+    number = F.size(F.filter(F.array(*[F.lit(s) for s in shares]), lambda share: share <= F.col("_uniform")))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                                     lambda tree: F.struct(draw(F.lit(seed + 1), tree).alias("rank"),
+                                                           tree.alias("tree"))))
+    picked = (df.withColumn("_uniform", uniform).filter(F.col("_uniform") >= shares[0])
+              .withColumn("_trees", F.slice(order, 1, number)).drop("_uniform")
+              .withColumn("_tree", F.explode("_trees"))
+              .select("_row_key", *columns, F.col("_tree.tree").alias("tree_id"), F.col("_tree.rank").alias("_rank")))
     # the row limit is applied per map partition before the shuffle, too
-    order = Window.partitionBy("tree_id").orderBy("_rank", "_row_key", *columns)
-    picked = picked.withColumn("_place", F.row_number().over(order))
+    place = Window.partitionBy("tree_id").orderBy("_rank", "_row_key", *columns)
+    picked = picked.withColumn("_place", F.row_number().over(place))
     return picked.filter(F.col("_place") <= size).select("tree_id", "_place", *columns)
 
 
@@ -154,7 +168,14 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = K.LABELLED_TR
         raise ValueError("no training rows")
     psi = min(size, total)
     limit = ceil(log2(max(psi, 2)))
-    samples = _tree_samples(keyed, columns, total, trees, psi, seed)
+    fraction = min(1.0, MARGIN * psi / total)
+    while True:
+        samples = stage(_tree_samples(keyed, columns, trees, psi, seed, fraction), "tree-samples")
+        counts = samples.groupBy("tree_id").agg(F.count("*").alias("n"))
+        held = counts.agg(F.count("*").alias("trees"), F.min("n").alias("least")).first()
+        if fraction >= 1.0 or (held["trees"] == trees and held["least"] >= psi):
+            break
+        fraction = min(1.0, 2 * fraction)  # a tree came out short: offer more rows to all
     # so few bytes would be merged into one task, but growing trees is work
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
     samples = samples.repartition(tasks, "tree_id")
@@ -246,9 +267,9 @@ def with_raw_score(df: DataFrame, raw_features: Sequence[Column], model: Model,
 
 
 def contamination_threshold(scores: DataFrame, column: str, contamination: float,
-                            direct_rows: int = DIRECT_ROWS) -> float:
+                            finish_rows: int = FINISH_ROWS) -> float:
     """Score below which the given share of training rows lies."""
-    return exact_percentile(scores, column, contamination, direct_rows)
+    return exact_percentile(scores, column, contamination, finish_rows)
 
 
 def fit_model(train: DataFrame, columns: Sequence[str], trees: int = K.LABELLED_TREES,

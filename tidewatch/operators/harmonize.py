@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
-from tidewatch.functions.columns import clip, lookup
+from tidewatch.functions.columns import clip, lookup, portable_hash
 from tidewatch.operators.quantiles import kth_smallest
 
 
@@ -27,7 +27,7 @@ class Synthetic:
 def synthetic_from(*key: str) -> Synthetic:
     """Values drawn by hashing the key: repeatable and independent of partitioning."""
     def draw(salt: int, n: int) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(salt)), F.lit(n))
+        return portable_hash(*[F.col(c) for c in key], F.lit(salt)) % n
 
     ports = K.EPHEMERAL_PORT_HIGH - K.EPHEMERAL_PORT_LOW
     return Synthetic(
@@ -108,8 +108,13 @@ def nsl_standardize(df: DataFrame, synthetic: Synthetic | None = None, *keep: st
 
 
 # ------------------------------------------------------------ flow dataset (UNSW)
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def unsw_clean_category(raw: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit("Normal"))
+    return F.coalesce(F.nullif(stripped(raw), F.lit("")), F.lit("Normal"))
 
 
 def unsw_attack_category(cleaned: Column) -> Column:
@@ -117,17 +122,17 @@ def unsw_attack_category(cleaned: Column) -> Column:
 
 
 def unsw_protocol_code(proto: Column) -> Column:
-    return lookup(F.trim(F.lower(proto)), K.UNSW_PROTOCOL_CODES, K.OTHER_PROTOCOL_CODE)
+    return lookup(stripped(F.lower(proto)), K.UNSW_PROTOCOL_CODES, K.OTHER_PROTOCOL_CODE)
 
 
 def unsw_service_port(service: Column, otherwise: Column) -> Column:
-    cleaned = F.trim(F.lower(F.coalesce(service, F.lit("-"))))
+    cleaned = stripped(F.lower(F.coalesce(service, F.lit("-"))))
     known = F.create_map(*[F.lit(x) for pair in K.UNSW_SERVICE_PORTS.items() for x in pair])
     return F.coalesce(F.try_element_at(known, cleaned).cast("long"), otherwise.cast("long"))
 
 
 def unsw_state_severity(state: Column) -> Column:
-    return lookup(F.trim(F.coalesce(state, F.lit("no"))), K.UNSW_STATE_SEVERITY, 1)
+    return lookup(stripped(F.coalesce(state, F.lit("no"))), K.UNSW_STATE_SEVERITY, 1)
 
 
 def unsw_risk_score() -> Column:
@@ -218,8 +223,8 @@ def subsample(df: DataFrame, n: int, seed: int = 42, row_key: Column | None = No
     if not 0 < n < total:
         return df
     key = row_key if row_key is not None else F.monotonically_increasing_id()
-    # 53 bits of the hash are exact as a double
-    marked = df.withColumn("_rank", F.shiftright(F.xxhash64(key, F.lit(seed)), 11).cast("double"))
+    # 52 bits are exact as a double
+    marked = df.withColumn("_rank", portable_hash(key, F.lit(seed)).cast("double"))
     cut = kth_smallest(marked, "_rank", n - 1)
     surely = marked.filter(F.col("_rank") < cut)
     ties = marked.filter(F.col("_rank") == cut).limit(n - surely.count())

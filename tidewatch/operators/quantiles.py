@@ -1,23 +1,27 @@
 """Exact linear-interpolated percentiles that stay distributed.
 
-The built-in ``percentile`` merges every distinct value of a column in one
-task.  That is right for small inputs and is used for them.  For large ones
-each wanted rank is enclosed by two values taken from ``percentile_approx``
+Each wanted rank is enclosed by two values taken from ``percentile_approx``
 (whose rank error is bounded), and only what lies strictly between them is
-kept, a few ten-thousandths of the rows.  All ranks of all columns are
-narrowed together, so the number of passes does not depend on how many there
-are.
+kept, a few ten-thousandths of the rows, until few enough rows are left to be
+counted value by value.  All ranks of all columns are narrowed together, so
+the number of passes does not depend on how many there are.
+
+The order is -infinity, numbers, infinity, NaN; nulls are left out.  A rank
+that falls on one of the special values is known from their counts alone.
+Between two neighbouring ranks the result is interpolated; where both are
+equal it is that value, and otherwise an infinite or undefined neighbour
+with any weight makes it infinite or undefined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, floor, inf
+from math import ceil, floor, inf, nan
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-DIRECT_ROWS = 1_000_000
+FINISH_ROWS = 1_000_000  # rows per interval that are counted value by value
 _ACCURACY = 10_000
 
 
@@ -82,87 +86,100 @@ def _narrow(values: DataFrame, ranks: dict[int, _Rank], margin: float) -> None:
             r.k, r.n = r.k - row["below"] - row["at_low"], row["between"]
 
 
-def _resolve(values: DataFrame, wanted: list[_Rank], direct_rows: int) -> None:
+def _resolve(values: DataFrame, wanted: list[_Rank], finish_rows: int) -> None:
     """Fill in every answer."""
     ranks = dict(enumerate(wanted))
-    while large := {i: r for i, r in ranks.items() if r.answer is None and r.n > direct_rows}:
+    while large := {i: r for i, r in ranks.items() if r.answer is None and r.n > finish_rows}:
         _narrow(values, large, 2.0 / _ACCURACY)
     small = {i: r for i, r in ranks.items() if r.answer is None}
     if not small:
         return
-    # at most direct_rows values per rank are left, and equal ones collapse first
-    rows = [(r.key, r.low, r.high, i, r.k) for i, r in small.items()]
-    counts = _inside(values, rows, "rank int, k long").groupBy("rank", "k", "value").agg(
+    # at most finish_rows values per interval are left, and equal ones collapse first
+    spans = {span: i for i, span in enumerate({(r.key, r.low, r.high): 0 for r in small.values()})}
+    counts = _inside(values, [(*span, i) for span, i in spans.items()], "span int").groupBy("span", "value").agg(
         F.count("*").alias("n"))
-    seen = F.sum("n").over(Window.partitionBy("rank").orderBy("value"))
-    found = counts.withColumn("seen", seen).filter(F.col("seen") > F.col("k")).groupBy("rank").agg(
-        F.min("value").alias("v"))
-    for row in found.collect():
-        ranks[row["rank"]].answer = row["v"]
-
-
-def kth_smallest(df: DataFrame, column: str, k: int, direct_rows: int = DIRECT_ROWS) -> float:
-    """k-th smallest (0-based) value of a non-null, finite column."""
-    values = keyed_values(df, [column])
-    rank = _Rank(column, k, values.count())
-    _resolve(values, [rank], direct_rows)
-    return rank.answer
-
-
-def exact_percentiles(values: DataFrame, wanted: Sequence[float],
-                      direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    seen = F.sum("n").over(Window.partitionBy("span").orderBy("value"))
+    places = values.sparkSession.createDataFrame(
+        [(spans[r.key, r.low, r.high], i, r.k) for i, r in small.items()], "span int, rank int, k long")
+    found = counts.withColumn("seen", seen).join(F.broadcast(places), "span").filter(
+        (F.col("seen") > F.col("k")) & (F.col("seen") - F.col("n") <= F.col("k")))
+    for row in found.select("rank", "value").collect():  # one row per rank
+        ranks[row["rank"]].answer = row["value"]
+
+
+def _ranks(values: DataFrame, wanted: dict[str, list[int]] | None, shares: Sequence[float],
+           finish_rows: int) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per key: number of values, and the value at every wanted rank (or at those beside every share)."""
+    value = F.col("value")
+    infinite = float("inf")
+    sizes = values.groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if(value == -infinite).alias("below"),
+        F.count_if(value == infinite).alias("above"), F.count_if(F.isnan(value)).alias("nan")).collect()
+    out, open_ranks = {}, []
+    for row in sizes:
+        n, below = row["n"], row["below"]
+        finite = n - below - row["above"] - row["nan"]
+        places = wanted[row["key"]] if wanted else sorted(
+            {place for q in shares for place in (floor(q * (n - 1)), ceil(q * (n - 1)))})
+        answers: dict[int, float | _Rank] = {}
+        for k in places:
+            if k < below:
+                answers[k] = -inf
+            elif k < below + finite:
+                answers[k] = _Rank(row["key"], k - below, finite)
+                open_ranks.append(answers[k])
+            else:
+                answers[k] = inf if k < below + finite + row["above"] else nan
+        out[row["key"]] = (n, answers)
+    _resolve(values.filter((value > -infinite) & (value < infinite)), open_ranks, finish_rows)
+    return {key: (n, {k: a.answer if isinstance(a, _Rank) else a for k, a in answers.items()})
+            for key, (n, answers) in out.items()}
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, finish_rows: int = FINISH_ROWS) -> float:
+    """k-th smallest (0-based) value of a column; nulls are left out."""
+    found = _ranks(keyed_values(df, [column]), {column: [k]}, (), finish_rows)
+    return found[column][1][k]
+
+
+def _between(low: float, high: float, weight: float) -> float:
+    if low == high or weight == 0.0:
+        return low
+    return (1 - weight) * low + weight * high
+
+
+def exact_percentiles(values: DataFrame, wanted: Sequence[float], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """(key, q, value) for every key and every wanted fraction.
 
-    ``values`` has columns ``key`` and ``value`` (finite) and few distinct keys.
+    ``values`` has columns ``key`` and ``value``; the keys are names of
+    columns, so few.
     """
-    sizes = {r["key"]: r["n"] for r in values.groupBy("key").agg(F.count("*").alias("n")).collect()}
-    small = [k for k, n in sizes.items() if n <= direct_rows]
-    parts = []
-    if small or not sizes:
-        fractions = F.array(*[F.lit(float(q)) for q in wanted])
-        direct = values.filter(F.col("key").isin(small)).groupBy("key").agg(
-            F.percentile("value", fractions).alias("v"))
-        parts.append(direct.select(
-            "key", F.inline(F.arrays_zip(fractions.alias("q"), F.col("v").alias("value")))))
-    pairs = []
-    for key, n in sizes.items():
-        if n > direct_rows:
-            for q in wanted:
-                place = q * (n - 1)
-                pairs.append((q, place, _Rank(key, floor(place), n), _Rank(key, ceil(place), n)))
-    if pairs:
-        _resolve(values, [rank for pair in pairs for rank in pair[2:]], direct_rows)
-        rows = [(low.key, float(q), low.answer + (high.answer - low.answer) * (place - floor(place)))
-                for q, place, low, high in pairs]
-        parts.append(values.sparkSession.createDataFrame(rows, "key string, q double, value double"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def exact_percentile(df: DataFrame, column: str, q: float, direct_rows: int = DIRECT_ROWS) -> float:
+    rows = []
+    for key, (n, answers) in _ranks(values, None, wanted, finish_rows).items():
+        for q in wanted:
+            place = q * (n - 1)
+            rows.append((key, float(q), _between(answers[floor(place)], answers[ceil(place)], place - floor(place))))
+    return values.sparkSession.createDataFrame(rows, "key string, q double, value double")
+
+
+def exact_percentile(df: DataFrame, column: str, q: float, finish_rows: int = FINISH_ROWS) -> float:
     """One percentile of one column, as a number on the driver."""
-    rows = exact_percentiles(keyed_values(df, [column]), [q], direct_rows).collect()
+    rows = exact_percentiles(keyed_values(df, [column]), [q], finish_rows).collect()
     return rows[0]["value"] if rows else None
 
 
-def describe(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, one row each.
 
-    A small table takes one pass; a large one takes a second way for its quartiles.
+    A column of nulls only gives no row.
     """
     wanted = [0.25, 0.5, 0.75]
     values = keyed_values(df, columns)
-    basic = [F.count("*").alias("count"), F.avg("value").alias("mean"),
-             F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-             F.max("value").alias("max")]
-    if df.count() <= direct_rows:
-        quarters = F.percentile("value", F.array(*[F.lit(q) for q in wanted]))
-        stats = values.groupBy("key").agg(*basic, quarters.alias("q"))
-    else:
-        found = exact_percentiles(values, wanted, direct_rows).groupBy("key").agg(
-            F.sort_array(F.collect_list("value")).alias("q"))
-        stats = values.groupBy("key").agg(*basic).join(F.broadcast(found), "key")  # a row per column
-    shown = [F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    found = exact_percentiles(values, wanted, finish_rows).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("q", "value"))).alias("q"))
+    stats = values.groupBy("key").agg(
+        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = stats.join(F.broadcast(found), "key")  # a row per column
+    shown = [F.col("q")[i]["value"].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
     return stats.select(F.col("key").alias("feature"), "count", "mean", "std", "min", *shown, "max")

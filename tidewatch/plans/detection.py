@@ -69,10 +69,14 @@ def predict_and_detect(enriched: DataFrame, model: Model | None, staged: bool =
 def run_logs(run: Detection) -> DataFrame:
     """One row per valid log: is_anomaly, severity, threat_score, alert_id, suppressed.
 
-    Alerts can only belong to live rows, so only those are joined.
+    Alerts can only belong to live rows, so only those are joined, by the
+    content hash that names an alert.  A missing or repeated log id therefore
+    neither loses an alert nor adds rows; logs that are equal in all that the
+    hash covers share their alert.
     """
-    ids = run.passed.select("id", alert_id().alias("alert_id"))
-    live = run.live.join(ids, "id", "left").select(
+    ids = run.passed.select(alert_id().alias("alert_id")).distinct()
+    live = run.live.withColumn("_alert", alert_id())
+    live = live.join(ids, live["_alert"] == ids["alert_id"], "left").select(
         "id", "is_anomaly", "severity", "threat_score", "alert_id",
         F.lit(False).alias("suppressed"))
     quiet = run.evaluated.filter(gate().isNotNull()).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
 from tidewatch.operators.metrics import confusion_matrix, report_metrics
-from tidewatch.operators.quantiles import DIRECT_ROWS, exact_percentiles
+from tidewatch.operators.quantiles import FINISH_ROWS, exact_percentiles
 
 
 def ground_truth(logs: DataFrame) -> DataFrame:
@@ -74,13 +74,13 @@ def severity_distribution(scored: DataFrame) -> DataFrame:
 
 
 def distribution_summary(df: DataFrame, column: str, bins: int = 60,
-                         direct_rows: int = DIRECT_ROWS) -> tuple[DataFrame, DataFrame]:
+                         finish_rows: int = FINISH_ROWS) -> tuple[DataFrame, DataFrame]:
     """(mean and P95, histogram) of a numeric column."""
     values = df.select(F.lit(column).alias("key"), F.col(column).cast("double").alias("value")).filter(
         F.col("value").isNotNull())
-    p95 = exact_percentiles(values, [0.95], direct_rows).select(F.col("value").alias("p95"))
-    mean = values.agg(F.avg("value").alias("mean"))
-    return mean.crossJoin(p95), histogram(df, column, bins)
+    found = exact_percentiles(values, [0.95], finish_rows).collect()  # one row
+    p95 = F.lit(found[0]["value"] if found else None).cast("double").alias("p95")
+    return values.agg(F.avg("value").alias("mean")).select("mean", p95), histogram(df, column, bins)
 
 
 def fp_reduction(evaluated: DataFrame) -> DataFrame:

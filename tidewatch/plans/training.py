@@ -28,11 +28,15 @@ def training_columns(train: DataFrame, leak: bool = True) -> list[str]:
 def train_detector(train: DataFrame, trees: int = K.LABELLED_TREES,
                    contamination: float = K.LABELLED_CONTAMINATION, max_samples: int = 0,
                    leak: bool = True, row_key: str | None = None, staged: bool = True) -> Model:
-    """Fit on normal rows.  The features are read several times, so they are staged once."""
+    """Fit on normal rows.  The features are read several times, so they are staged once.
+
+    Rows of one ``row_key`` are told apart by their features.
+    """
     columns = training_columns(train, leak)
-    keys = [row_key] if row_key else []
-    normal = finite_features(normal_rows(train).select(*keys, *columns))
-    key = F.col(row_key) if row_key else None
+    normal = finite_features(normal_rows(train).select(*([row_key] if row_key else []), *columns), columns)
+    if row_key:
+        normal = normal.select(F.xxhash64(row_key, *columns).alias("_key"), *columns)
+    key = F.col("_key") if row_key else None
     normal = subsample(normal, max_samples, row_key=key)
     if staged:
         normal = stage(normal, "training")

@@ -27,7 +27,8 @@ def read_unsw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headered flow records.  Only the header line is looked at to order the declared types."""
     header = spark.read.text(path).first()[0].lstrip("﻿").split(",")
     schema = unsw_schema([name.strip() for name in header])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    # a file of the folder with other names, or another order, is an error and not misread
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def unsw_from_csv(line: Column) -> Column:

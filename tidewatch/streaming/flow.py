@@ -4,70 +4,129 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.functions.columns import parse_timestamp
 from tidewatch.operators.context import evaluate_context
 from tidewatch.operators.correlation import correlation_points
 from tidewatch.operators.enrich import enrich_logs
-from tidewatch.operators.response import create_alerts
+from tidewatch.operators.response import action_rows, create_alerts, response_actions
 from tidewatch.operators.scoring import finish_live, live_rows, quiet_rows
 from tidewatch.operators.validate import parse_logs, split_valid
 from tidewatch.plans.feeds import log_payload
 from tidewatch.session import use_rocksdb_state
+from tidewatch.sources.datasets import path_exists
 from tidewatch.sources.sinks import overwrite_batch
 from tidewatch.streaming.processor import follow_addresses
 
-# stays ahead of disorder between sources; rows later than this are dropped
+# stays ahead of disorder between sources; live rows later than this are not scored, see late_rows
 DEFAULT_DELAY = "60 seconds"
+_CLOCK = "_clock"
+_SHOWN = ["id", "timestamp", "src_ip", "dst_ip", "event_type", "log_level", "message", "ts"]
 
 
 def enriched_stream(raw: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """Raw JSON lines to enriched logs; invalid lines are left out."""
+    """Raw JSON lines to enriched logs; invalid lines are left out (``start_intake`` keeps them)."""
     valid, _ = split_valid(parse_logs(raw))
     return enrich_logs(valid, ingest_ts)
 
 
-def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column | None = None) -> DataFrame:
     """Every log with its score; live rows follow once the watermark has passed them.
 
-    ``passed`` marks the rows that raise an alert.
+    ``passed`` marks the rows that raise an alert.  Only readable timestamps
+    that are not ahead of ``now`` (by default the time of the batch) move the
+    watermark, so a log with a broken or future time cannot make others late.
     """
     use_rocksdb_state(predicted.sparkSession)
     evaluated = evaluate_context(predicted)
-    live = live_rows(evaluated).withWatermark("ts", delay)
-    followed = follow_addresses(live)
+    told = parse_timestamp(F.col("timestamp"), F.lit(None).cast("timestamp"))
+    clock = F.when(told <= (F.current_timestamp() if now is None else now), told)
+    live = live_rows(evaluated).withColumn(_CLOCK, clock).withWatermark(_CLOCK, delay)
+    followed = follow_addresses(live, _CLOCK)
     scored = finish_live(followed.withColumn(
         "correlation_points", correlation_points(F.col("repeat_count"))))
     quiet = quiet_rows(evaluated).withColumn("passed", F.lit(False))
     return scored.unionByName(quiet)
 
 
+def _totals(spark: SparkSession, counters: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Running totals: those of the batch before plus this one's counters, a row per severity."""
+    before = f"{root}/totals/batch_id={batch_id - 1}"
+    if batch_id > 0 and path_exists(spark, before):
+        counters = counters.unionByName(spark.read.parquet(before))
+    return counters.groupBy("severity").agg(*[F.sum(n).alias(n) for n in counters.columns if n != "severity"])
+
+
 def fan_out(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` target: log feed, alert feed and batch counters from one cached batch."""
+    """``foreachBatch`` target: logs, alerts, audit rows, and counters as changes and as running totals."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             overwrite_batch(log_payload(batch), f"{root}/logs", batch_id)
-            overwrite_batch(create_alerts(batch.filter("passed")), f"{root}/alerts", batch_id)
+            alerts = create_alerts(batch.filter("passed"))
+            overwrite_batch(alerts, f"{root}/alerts", batch_id)
+            overwrite_batch(action_rows(alerts), f"{root}/actions", batch_id)
+            steps = F.when(F.col("passed"), F.size(response_actions())).otherwise(0)
             counters = batch.groupBy("severity").agg(
                 F.count("*").alias("logs"), F.count_if("passed").alias("alerts"),
-                F.sum("rule_hits").alias("rule_hits"))
+                F.sum(steps).cast("long").alias("actions"),
+                F.count_if(~F.col("passed") & ~F.col("severity").isin("NORMAL", "SUPPRESSED")).alias("in_cooldown"),
+                F.sum("rule_hits").cast("long").alias("rule_hits"))
             overwrite_batch(counters, f"{root}/stats", batch_id)
+            stored = batch.sparkSession.read.parquet(f"{root}/stats/batch_id={batch_id}")
+            overwrite_batch(_totals(batch.sparkSession, stored, root, batch_id), f"{root}/totals", batch_id)
         finally:
             batch.unpersist()
     return write
 
 
-def start(scored: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run the flow into three tables below ``root``."""
-    writer = (scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-              .foreachBatch(fan_out(root)))
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+         available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
+def start(scored: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Run the flow into the tables logs, alerts, actions, stats and totals below ``root``."""
+    return _run(scored, fan_out(root), checkpoint, available_now)
+
+
+def start_intake(raw: DataFrame, root: str, checkpoint: str, ingest_ts: Column | None = None,
+                 available_now: bool = True) -> StreamingQuery:
+    """Keep every line as it arrives: valid logs in ``received``, the others with their reason in ``rejected``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            valid, rejected = split_valid(batch)
+            overwrite_batch(enrich_logs(valid, ingest_ts).select(_SHOWN), f"{root}/received", batch_id)
+            overwrite_batch(rejected.select("value", "reason"), f"{root}/rejected", batch_id)
+        finally:
+            batch.unpersist()
+    return _run(parse_logs(raw.select("value")), write, checkpoint, available_now)
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Received logs that came too late to be scored, with the number of ``copies`` missing from ``logs``.
+
+    A log is late when the flow has already released live logs of its time or
+    later but not this one.  Equal logs are told apart by their number only.
+    """
+    names = [n for n in _SHOWN if n not in ("ts", "timestamp")]
+    key = F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], F.unix_micros("ts"))
+    received = spark.read.parquet(f"{root}/received").select(*_SHOWN, key.alias("_key"))
+    logs = spark.read.parquet(f"{root}/logs")
+    logged = logs.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_logged"))
+    until = logs.filter(~F.col("severity").isin("NORMAL", "SUPPRESSED")).agg(F.max("ts")).first()[0]
+    counted = received.groupBy(*_SHOWN, "_key").agg(F.count("*").alias("_received"))
+    missing = F.col("_received") - F.coalesce("_logged", F.lit(0))
+    return (counted.join(logged, "_key", "left").withColumn("copies", missing)
+            .filter((F.col("copies") > 0) & (F.col("ts") <= F.lit(until))).drop("_key", "_logged", "_received"))
+
+
 def stream_stats(evaluated: DataFrame) -> DataFrame:
     """Running counters of an evaluated stream (complete mode)."""
     return evaluated.groupBy().agg(

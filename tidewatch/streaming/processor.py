@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,8 +57,10 @@ class AddressProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # a row is known by its time, id and content; equal rows are counted
         self.waiting = handle.getMapState(
-            "waiting", "us long, id string", "static_points int, peak boolean, payload string")
+            "waiting", "us long, id string, content string",
+            "static_points int, peak boolean, payload string, id string, copies long")
         self.memory = handle.getValueState("memory", "count long, last_seen long, last_alert long")
         self.due = handle.getValueState("due", "at long")
 
@@ -75,7 +78,10 @@ class AddressProcessor(StatefulProcessor):
         for frame in rows:
             for us, row_id, points, peak, payload in zip(
                     frame["us"], frame["id"], frame["static_points"], frame["peak"], frame["payload"]):
-                self.waiting.updateValue((int(us), row_id), (int(points), bool(peak), payload))
+                content = hashlib.sha256(f"{row_id is None}|{points}|{peak}|{payload}".encode()).hexdigest()
+                place = (int(us), row_id or "", content)
+                copies = self.waiting.getValue(place)[4] if self.waiting.containsKey(place) else 0
+                self.waiting.updateValue(place, (int(points), bool(peak), payload, row_id, copies + 1))
                 earliest = int(us) if earliest is None else min(earliest, int(us))
         if earliest is not None:
             self._schedule(-(-earliest // 1000))
@@ -93,10 +99,12 @@ class AddressProcessor(StatefulProcessor):
                 later = place[0] if later is None else min(later, place[0])
         out = []
         # ids that are numbers keep their numeric order
-        for (us, row_id), (points, peak, payload) in sorted(ready, key=lambda r: (r[0][0], id_order(r[0][1]))):
-            repeat_count, passed = state.step(us, points, peak)
-            out.append((key[0], us, row_id, payload, repeat_count, passed))
-            self.waiting.removeKey((us, row_id))
+        for place, (points, peak, payload, row_id, copies) in sorted(
+                ready, key=lambda r: (r[0][0], id_order(r[0][1]), r[0][2])):
+            for _ in range(copies):
+                repeat_count, passed = state.step(place[0], points, peak)
+                out.append((key[0], place[0], row_id, payload, repeat_count, passed))
+            self.waiting.removeKey(place)
         self.due.clear()
         idle_until = (state.last_seen or 0) + _GAP
         if later is not None:
@@ -117,13 +125,17 @@ def id_order(row_id: str):
     return (0, int(row_id), "") if row_id is not None and row_id.isdigit() else (1, 0, row_id or "")
 
 
-def follow_addresses(live: DataFrame) -> DataFrame:
-    """Add ``repeat_count`` and ``passed`` to a watermarked stream of live rows."""
-    payload_fields = [f for f in live.schema.fields if f.name not in ("src_ip", "ts", "id")]
+def follow_addresses(live: DataFrame, clock: str) -> DataFrame:
+    """Add ``repeat_count`` and ``passed`` to a stream of live rows with a watermark on ``clock``.
+
+    Rows with a null ``clock`` are never late; they wait for the watermark to
+    reach their ``ts`` like all others.
+    """
+    payload_fields = [f for f in live.schema.fields if f.name not in ("src_ip", "ts", "id", clock)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in payload_fields)
     points = F.col("ml_points") + F.col("feature_points") + F.col("keyword_points") + F.col("bonus_points")
     rows = live.select(
-        F.coalesce("src_ip", F.lit("unknown")).alias("src_ip"), "ts",
+        F.coalesce("src_ip", F.lit("unknown")).alias("src_ip"), clock,
         F.unix_micros("ts").alias("us"), F.col("id").cast("string").alias("id"),
         points.cast("int").alias("static_points"),
         F.array_contains("context_flags", "peak_hours").alias("peak"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,7 @@ from tidewatch.operators import (context, correlation, enrich, features, forest,
 from tidewatch.plans import detection, feeds, reports, training
 from tidewatch.session import stage, use_utc, work_path
 from tidewatch.sources import datasets, logs as log_sources, model_store, sinks
-from tidewatch.sources.schemas import LOG_SCHEMA
+from tidewatch.sources.schemas import LOG_SCHEMA, NSL_SCHEMA
 from tidewatch.streaming import flow
 from verification import bridge, fixed_model
 from verification.oracle import (NSL_CATEGORY, UNSW_CLEAN, UNSW_FLOW, UNSW_PORT, UNSW_PROTO, UNSW_RISK,
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {}
 
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STREAMED: dict[tuple[str, str, str], str] = {}
 
 
 class Inputs:
@@ -102,12 +104,12 @@ class Inputs:
         return work_path(self.spark, label)
 
 
-def query(name: str, select: str | None = None, *needs: str):
+def query(name: str, select: str | None = None, *needs: str, parsed: bool = False):
     """Register ``fn(inputs)``; ``select`` over the named SQL views is its counterpart."""
     def register(fn: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, sf: fn(Inputs(spark, sf))
         if select is not None:
-            ORACLES[name] = sql(select, *needs)
+            ORACLES[name] = sql(select, *needs, parsed=parsed)
         return fn
     return register
 
@@ -124,36 +126,46 @@ def _ingest_ts():
 
 # ============================================================ sources and sinks
 @query("read_log_json", """
-SELECT CAST(id AS VARCHAR) AS id, CASE WHEN fault = 0 THEN NULL ELSE src_ip END AS src_ip, dst_ip,
+SELECT CAST(id AS VARCHAR) AS id, CASE fault WHEN 4 THEN 'not-a-time' WHEN 5 THEN substr(timestamp_utc, 1, 19) || '+05:30'
+    WHEN 6 THEN substr(timestamp_utc, 1, 19) ELSE timestamp_utc END AS timestamp,
+  CASE WHEN fault = 0 THEN NULL ELSE src_ip END AS src_ip, dst_ip,
   CASE WHEN fault = 1 THEN NULL ELSE src_port END AS src_port,
   CASE WHEN fault = 2 THEN NULL ELSE dst_port END AS dst_port,
-  CASE WHEN fault = 3 THEN NULL ELSE CAST(bytes_sent AS DOUBLE) END AS bytes_sent, duration, message FROM raw""", "raw")
+  CASE WHEN fault = 7 THEN 'QUIC' ELSE protocol END AS protocol,
+  CASE WHEN fault = 3 THEN NULL ELSE CAST(bytes_sent AS DOUBLE) END AS bytes_sent,
+  CAST(bytes_recv AS DOUBLE) AS bytes_recv, duration, event_type, log_level, message FROM raw""", "raw")
 def read_log_json(t: Inputs) -> DataFrame:
-    typed = t.raw.select(log_sources.log_from_json(F.col("value")).alias("log")).select("log.*")
-    return typed.select("id", "src_ip", "dst_ip", "src_port", "dst_port", "bytes_sent", "duration", "message")
+    path = t.path("json")
+    t.raw.select("value").write.text(path)
+    return log_sources.read_log_json(t.spark, path)
 
 
-NSL_SHOWN = ["duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "hot",
-             "num_root", "count", "srv_count", "serror_rate", "dst_host_serror_rate", "attack_type"]
-UNSW_SHOWN = ["attack_cat", "label", "proto", "service", "state", "sbytes", "dur", "sttl", "sload", "dttl"]
+NSL_MADE = {"duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "hot", "num_failed_logins",
+            "num_compromised", "root_shell", "su_attempted", "num_root", "count", "srv_count", "serror_rate",
+            "same_srv_rate", "dst_host_count", "dst_host_srv_count", "dst_host_same_srv_rate",
+            "dst_host_serror_rate", "attack_type"}
 
 
-@query("read_nsl_csv", f"SELECT k, {', '.join(NSL_SHOWN)} FROM nsl", "nsl")
+def _nsl_column(field) -> str:
+    return field.name if field.name in NSL_MADE else f"CAST(0 AS {field.dataType.simpleString()}) AS {field.name}"
+
+
+@query("read_nsl_csv", f"SELECT {', '.join(_nsl_column(f) for f in NSL_SCHEMA.fields)} FROM nsl", "nsl")
 def read_nsl_csv(t: Inputs) -> DataFrame:
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in K.NSL_COLUMNS]
-    lines = t.nsl.select("k", F.concat_ws(",", *parts).alias("line"))
-    return lines.select("k", datasets.nsl_from_csv(F.col("line")).alias("r")).select(
-        "k", *[f"r.{c}" for c in NSL_SHOWN])
+    train, test = (datasets.read_nsl_csv(t.spark, path) for path in _write_nsl_csv(t))
+    return train.unionByName(test)
+
 
+UNSW_NAMES = K.UNSW_STRING_COLUMNS + K.UNSW_LONG_COLUMNS + K.UNSW_DOUBLE_COLUMNS
 
-@query("read_unsw_csv", "SELECT k, nullif(attack_cat, '') AS attack_cat, "
-       + ", ".join(UNSW_SHOWN[1:]) + " FROM unsw", "unsw")
+
+@query("read_unsw_csv", "SELECT nullif(attack_cat, '') AS attack_cat, " + ', '.join(UNSW_NAMES[1:]) + " FROM unsw", "unsw")
 def read_unsw_csv(t: Inputs) -> DataFrame:
-    names = K.UNSW_STRING_COLUMNS + K.UNSW_LONG_COLUMNS + K.UNSW_DOUBLE_COLUMNS
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
-    lines = t.unsw.select("k", F.concat_ws(",", *parts).alias("line"))
-    return lines.select("k", datasets.unsw_from_csv(F.col("line")).alias("r")).select(
-        "k", *[f"r.{c}" for c in UNSW_SHOWN])
+    path = t.path("unsw")
+    # white space and empty texts have to survive the file; the columns stand in another order than declared
+    (t.unsw.select(*reversed(UNSW_NAMES)).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return datasets.read_unsw_csv(t.spark, path).select(*UNSW_NAMES)
 
 
 def _write_nsl_csv(t: Inputs) -> tuple[str, str]:
@@ -214,7 +226,7 @@ SCALER_SQL = "SELECT * FROM (" + " UNION ALL ".join(
 @query("save_load_model", SCALER_SQL, "unified")
 def save_load_model(t: Inputs) -> DataFrame:
     path = t.path("model")
-    model_store.save_model(t.spark, _trained(t, trees=20), path)
+    model_store.save_model(t.spark, _trained(t), path)
     loaded = model_store.load_model(t.spark, path)
     assert model_store.model_n_features(t.spark, path) == loaded.n_features
     table = t.spark.read.parquet(f"{path}/scaler")
@@ -229,34 +241,91 @@ def write_action_log(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(path).drop("dt")
 
 
-def _stream_events(t: Inputs) -> DataFrame:
-    """The events table as a stream of enriched logs with their given score."""
+_CUTS = ["2024-01-05 08:00:00", "2024-01-05 16:00:00", "2024-01-06 00:00:00", "2024-01-06 12:00:00"]
+DELAY = "60 seconds"
+
+
+def _closing(number: int, stamp: str) -> str:
+    """An anomalous log of an address of its own, which moves the watermark."""
+    return json.dumps({
+        "id": str(number), "timestamp": stamp, "src_ip": "192.0.2.250", "dst_ip": "10.0.1.9", "src_port": 1,
+        "dst_port": 4444, "protocol": "TCP", "bytes_sent": 1, "bytes_recv": 1, "duration": 1.0,
+        "event_type": "ddos", "log_level": "INFO", "message": ""})
+
+
+def _stream_source(t: Inputs, late: str = "false") -> str:
+    """The raw lines as files in the order of their times; rows for which ``late`` holds come last of all."""
+    root = t.path("lines")
+    seen = validate.parse_logs(t.raw.select("value", F.col("id").alias("number")))
+    seen = enrich.with_event_time(seen, _ingest_ts()).select(
+        "value", F.coalesce("ts", _ingest_ts()).alias("ts"), F.expr(late.replace("id", "number")).alias("late"))
+    edges = [None, *_CUTS, None]
+    groups = [seen.filter("not late" + (f" and ts >= timestamp'{low}'" if low else "")
+                          + (f" and ts < timestamp'{high}'" if high else ""))
+              for low, high in zip(edges, edges[1:])]
+    # the file source takes files by age, so a stretch of time is one file and one batch
+    lines = [group.select("value").coalesce(1) for group in groups]
+    if late != "false":
+        # the watermark must have moved two batches before a row counts as late
+        lines += [t.spark.createDataFrame([(_closing(-n, "2024-01-08T00:00:00Z"),)], "value string") for n in (1, 2, 3)]
+        lines.append(seen.filter("late").select("value").coalesce(1))
+    lines.append(t.spark.createDataFrame([(_closing(-9, "2024-01-09T00:00:00Z"),)], "value string"))
+    for n, part in enumerate(lines):  # one after the other, so that the files have the order of their writing
+        part.write.text(f"{root}/{n:02}")
+    return f"{root}/*"
+
+
+def _stream_events(t: Inputs, source: str) -> DataFrame:
+    """The raw lines as a stream of enriched logs with their given score, one file a batch."""
     spark = use_utc(t.spark.newSession())
     # state is split once and for all when a stream first starts
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
-    schema = bridge.table(spark, t.sf, "events").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf))
-    return enrich.enrich_logs(bridge.net_logs_from(events))
-
-
-def _streamed(t: Inputs) -> str:
-    """Run the whole flow over the table; with one file, no row can be late."""
-    root = t.path("stream")
-    flow.start(flow.score_stream(_stream_events(t), delay="0 seconds"), root, t.path("stream-state")).awaitTermination()
+    raw = log_sources.stream_log_text(spark, source, max_files=1)
+    logs = flow.enriched_stream(raw, _ingest_ts()).withColumn("id", F.col("id").cast("long"))
+    given = t.logs.select("id", "anomaly_score", "is_anomaly", "confidence")
+    return logs.join(given, "id", "left").withColumns({
+        "anomaly_score": F.coalesce("anomaly_score", F.lit(-0.3)), "is_anomaly": F.coalesce("is_anomaly", F.lit(True)),
+        "confidence": F.coalesce("confidence", F.lit(0.6))})
+
+
+def _streamed(t: Inputs, late: str = "false") -> str:
+    """Run intake and flow over the lines in several batches, with a real delay; once per session and lines."""
+    key = (t.spark.sparkContext.applicationId, t.sf, late)
+    if key not in _STREAMED:
+        _STREAMED[key] = _run_stream(t, late)
+    return _STREAMED[key]
+
+
+def _run_stream(t: Inputs, late: str) -> str:
+    root, source = t.path("stream"), _stream_source(t, late)
+    scored = flow.score_stream(_stream_events(t, source), DELAY)
+    flow.start(scored, root, t.path("stream-state")).awaitTermination()
+    raw = log_sources.stream_log_text(t.spark, source, max_files=1)
+    flow.start_intake(raw, root, t.path("intake-state"), _ingest_ts()).awaitTermination()
     return root
 
 
 @query("fanout_sinks", """
 SELECT 'logs' AS sink, severity, count(*) AS n FROM scored GROUP BY severity
 UNION ALL SELECT 'alerts', severity, count(*) FROM alerts GROUP BY severity
-UNION ALL SELECT 'stats', severity, count(*) FROM scored GROUP BY severity""", "scored", "alerts")
+UNION ALL SELECT 'stats', severity, count(*) FROM scored GROUP BY severity
+UNION ALL SELECT 'totals', severity, count(*) FROM scored GROUP BY severity
+UNION ALL SELECT 'actions', severity, count(*) FROM actions GROUP BY severity
+UNION ALL SELECT 'rejected', reason, count(*) FROM raw WHERE reason <> 'OK' GROUP BY reason""",
+       "scored", "alerts", "actions", "raw", parsed=True)
 def fanout_sinks(t: Inputs) -> DataFrame:
     root = _streamed(t)
     read = t.spark.read.parquet
     parts = [read(f"{root}/{sink}").groupBy("severity").agg(F.count("*").alias("n"))
-             .select(F.lit(sink).alias("sink"), "severity", "n") for sink in ("logs", "alerts")]
+             .select(F.lit(sink).alias("sink"), "severity", "n") for sink in ("logs", "alerts", "actions")]
     stats = read(f"{root}/stats").groupBy("severity").agg(F.sum("logs").alias("n"))
-    return harmonize.union_datasets(*parts, stats.select(F.lit("stats").alias("sink"), "severity", "n"))
+    totals = read(f"{root}/totals")
+    last = totals.agg(F.max("batch_id")).first()[0]
+    totals = totals.filter(F.col("batch_id") == last).select("severity", F.col("logs").alias("n"))
+    rejected = read(f"{root}/rejected").groupBy(F.col("reason").alias("severity")).agg(F.count("*").alias("n"))
+    named = {"stats": stats, "totals": totals, "rejected": rejected}
+    return harmonize.union_datasets(*parts, *[df.select(F.lit(sink).alias("sink"), "severity", "n")
+                                              for sink, df in named.items()])
 
 
 # ========================================================= validation, enrichment
@@ -375,13 +444,11 @@ def expanded_features(t: Inputs) -> DataFrame:
     return _unpack(features.with_features(t.enriched, 20), K.CORE_FEATURES + K.FLOW_FEATURES + ["pad"])
 
 
-@query("feature_matrix", """
-SELECT id, CAST(src_port AS DOUBLE) AS src_port, CAST(dst_port AS DOUBLE) AS dst_port FROM enriched
-WHERE id % 10 <> 3""", "enriched")
+@query("feature_matrix", f"SELECT id, {CORE_SQL} FROM {RISKED} WHERE id % 10 <> 3", "enriched")
 def feature_matrix(t: Inputs) -> DataFrame:
     broken = t.enriched.withColumn(
         "bytes_sent", F.when(F.col("id") % 10 == 3, "n/a").otherwise(F.col("bytes_sent").cast("string")))
-    return _unpack(features.feature_matrix(broken), K.CORE_FEATURES).select("id", "src_port", "dst_port")
+    return _unpack(features.feature_matrix(broken), K.CORE_FEATURES)
 
 
 LOGARITHMS = ("log_bytes_sent", "log_bytes_recv")  # compared to six decimals
@@ -430,7 +497,13 @@ def nsl_service_port(t: Inputs) -> DataFrame:
     return t.nsl.select("k", harmonize.nsl_service_port(F.col("service")).alias("dst_port"))
 
 
-@query("synthetic_columns")
+def hash_of(column: str, salt: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {column}, {salt})), 1, 13) AS BIGINT)"
+
+
+@query("synthetic_columns", f"""
+SELECT k, {hash_of('k', 1)} % 64511 + 1024 AS src_port, CAST({hash_of('k', 2)} % 1000000 AS DOUBLE) / 1000000 AS hour_of_day,
+  CASE WHEN {hash_of('k', 3)} % 100 < 28 THEN 1 ELSE 0 END AS is_weekend FROM nsl""", "nsl")
 def synthetic_columns(t: Inputs) -> DataFrame:
     made = harmonize.synthetic_from("k")
     return t.nsl.select("k", made.src_port.alias("src_port"), made.hour.alias("hour_of_day"),
@@ -576,7 +649,7 @@ def normal_only_filter(t: Inputs) -> DataFrame:
     return training.normal_rows(t.train).select("k", "dataset")
 
 
-@query("subsample_n")
+@query("subsample_n", f"SELECT k FROM nsl_std WHERE label = 0 ORDER BY {hash_of('k', 42)} LIMIT 1000", "nsl_std")
 def subsample_n(t: Inputs) -> DataFrame:
     normal = training.normal_rows(t.nsl_std)
     return harmonize.subsample(normal, 1000, row_key=F.col("k")).select("k")
@@ -590,12 +663,12 @@ def fit_scaler(t: Inputs) -> DataFrame:
 
 SCALED_SQL = ", ".join(
     f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}"
-    for c in ("src_port", "norm_duration", "serror_rate"))
+    for c in K.TABLE_FEATURES)
 
 
 @query("scale_features", f"SELECT k, {SCALED_SQL} FROM nsl_std", "nsl_std")
 def scale_features(t: Inputs) -> DataFrame:
-    names = ["src_port", "norm_duration", "serror_rate"]
+    names = K.TABLE_FEATURES
     scaler = forest.Scaler.from_table(forest.fit_scaler(t.nsl_std, names))
     return forest.scale_features(t.nsl_std.select("k", *names), scaler).select(
         "k", *[F.round(c, 6).alias(c) for c in names])
@@ -603,11 +676,24 @@ def scale_features(t: Inputs) -> DataFrame:
 
 @query("iforest_fit")
 def iforest_fit(t: Inputs) -> DataFrame:
-    normal = stage(features.finite_features(training.normal_rows(t.train).select("k", *K.TABLE_FEATURES)), "training")
+    normal = features.finite_features(training.normal_rows(t.train).select("k", *K.TABLE_FEATURES), K.TABLE_FEATURES)
+    normal = stage(normal.withColumn("k", F.xxhash64("k", *K.TABLE_FEATURES)), "training")
     scaler = forest.Scaler.from_table(forest.fit_scaler(normal, K.TABLE_FEATURES))
     return forest.fit_forest(forest.scale_features(normal, scaler), K.TABLE_FEATURES, row_key=F.col("k"))
 
 
+@query("iforest_invariants", """
+SELECT CAST(t AS INTEGER) AS tree_id, (SELECT least(256, count(*)) FROM unified WHERE label = 0 AND split = 'train') AS rows,
+  true AS sound FROM range(200) r(t)""", "unified")
+def iforest_invariants(t: Inputs) -> DataFrame:
+    """Every tree grows from its full sample, numbers its nodes without gaps and keeps to its depth."""
+    leaf = F.col("left") < 0
+    return iforest_fit(t).groupBy("tree_id").agg(
+        F.sum(F.when(leaf, F.col("n"))).alias("rows"),
+        ((F.max("depth") <= 8) & (F.count("*") == F.max("node_id") + 1)
+         & (2 * F.count_if(leaf) == F.count("*") + 1)).alias("sound"))
+
+
 def _fixed_scores(t: Inputs) -> DataFrame:
     model = fixed_model.model()
     return forest.with_raw_score(t.enriched, features.core_feature_columns(t.enriched), model)
@@ -733,6 +819,13 @@ def train_evaluate(t: Inputs) -> DataFrame:
     return metrics.binary_metrics(metrics.confusion_matrix(scored))
 
 
+@query("train_evaluate_totals", """
+SELECT count(*) FILTER (label = 0) AS normal, count(*) FILTER (label = 1) AS attacks FROM unified WHERE split = 'test'""", "unified")
+def train_evaluate_totals(t: Inputs) -> DataFrame:
+    """The confusion matrix covers every test row under its true label."""
+    return train_evaluate(t).select((F.col("tn") + F.col("fp")).alias("normal"), (F.col("fn") + F.col("tp")).alias("attacks"))
+
+
 # ================================================================ context
 def _rule(name: str, flag, suppresses, flag_sql: str, suppress_sql: str) -> None:
     select = f"SELECT id, is_anomaly AND ({flag_sql}) AS flag, {suppress_sql} AS suppress FROM rules"
@@ -924,14 +1017,39 @@ RUN_SQL = """SELECT s.id, s.is_anomaly, s.severity, s.threat_score, a.alert_id,
 FROM scored s LEFT JOIN alerts a ON a.id = s.id"""
 
 
-@query("process_logs", RUN_SQL, "scored", "alerts")
+def _parsed_logs(t: Inputs) -> DataFrame:
+    """Raw JSON lines, parsed, validated and enriched."""
+    parsed = _parsed(t).withColumn("id", F.col("id").cast("long"))
+    return enrich.enrich_logs(parsed, _ingest_ts())
+
+
+def _parsed_run(t: Inputs) -> detection.Detection:
+    """The run over the valid raw lines, with the given score of each log."""
+    given = t.logs.select("id", "anomaly_score", "is_anomaly", "confidence")
+    return detection.detect(_parsed_logs(t).join(given, "id"))
+
+
+@query("process_logs", RUN_SQL, "scored", "alerts", parsed=True)
 def process_logs(t: Inputs) -> DataFrame:
-    return detection.run_logs(t.run())
+    return detection.run_logs(_parsed_run(t))
+
+
+@query("process_logs_fitted_invariants", """
+SELECT count(*) AS logs, CAST(0 AS BIGINT) AS inconsistent, true AS share_kept FROM raw WHERE reason = 'OK'""", "raw")
+def process_logs_fitted_invariants(t: Inputs) -> DataFrame:
+    """Each valid log once, its fields in agreement, and the share of anomalies that the model was fitted to."""
+    severe = F.col("severity").isin("LOW", "MEDIUM", "HIGH", "CRITICAL")
+    agree = ((F.col("severity") == "NORMAL") == ~F.col("is_anomaly")) & \
+        ((F.col("severity") == "SUPPRESSED") == F.col("suppressed")) & \
+        (severe | (F.col("alert_id").isNull() & (F.col("threat_score") == 0))) & F.col("threat_score").between(0, 100)
+    return process_logs_fitted(t).agg(
+        F.count_distinct("id").alias("logs"), F.count_if(~F.coalesce(agree, F.lit(False))).alias("inconsistent"),
+        (F.abs(F.avg(F.col("is_anomaly").cast("double")) - K.DEFAULT_CONTAMINATION) < 0.02).alias("share_kept"))
 
 
 @query("process_logs_fitted")
 def process_logs_fitted(t: Inputs) -> DataFrame:
-    enriched = t.enriched.drop("is_anomaly", "anomaly_score", "confidence")
+    enriched = _parsed_logs(t)
     model = training.train_on_logs(enriched)
     return detection.run_logs(detection.predict_and_detect(enriched, model))
 
@@ -978,14 +1096,11 @@ SELECT r.id, 'ok' AS status, CASE WHEN r.valid THEN x.is_anomaly ELSE false END
   CASE WHEN r.valid THEN x.severity ELSE 'NORMAL' END AS severity,
   CASE WHEN r.valid THEN x.threat_score ELSE 0 END AS threat_score,
   CASE WHEN r.valid THEN x.alert_id END AS alert_id, CASE WHEN r.valid THEN x.suppressed ELSE false END AS suppressed
-FROM (SELECT id, reason = 'OK' AS valid FROM raw) r JOIN (""" + RUN_SQL + ") x ON x.id = r.id",
-       "raw", "scored", "alerts")
+FROM (SELECT id, reason = 'OK' AS valid FROM raw) r LEFT JOIN (""" + RUN_SQL + ") x ON x.id = r.id",
+       "raw", "scored", "alerts", parsed=True)
 def ingest_response(t: Inputs) -> DataFrame:
     # logs that fail validation never reach the run, so they take the defaults
-    checked = validate.validate_types(t.raw)
-    processed = detection.run_logs(t.run())
-    accepted = checked.filter(F.col("reason") == validate.OK).select("id").join(processed, "id")
-    return detection.ingest_response(checked, accepted)
+    return detection.ingest_response(t.raw, detection.run_logs(_parsed_run(t)))
 
 
 @query("log_feed", """
@@ -1098,13 +1213,13 @@ def score_vs_confidence(t: Inputs) -> DataFrame:
 
 # ================================================================ streams
 @query("stream_process_logs", """
-SELECT CAST(id AS VARCHAR) AS id, timestamp_utc AS timestamp, src_ip, is_anomaly, severity, threat_score FROM scored""", "scored")
+SELECT CAST(id AS VARCHAR) AS id, timestamp_utc AS timestamp, src_ip, is_anomaly, severity, threat_score FROM scored""", "scored", parsed=True)
 def stream_process_logs(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(f"{_streamed(t)}/logs").select(
         "id", "timestamp", "src_ip", "is_anomaly", "severity", "threat_score")
 
 
-@query("stream_correlation_cooldown", "SELECT id AS log_id, severity, repeat_count FROM alerts", "alerts")
+@query("stream_correlation_cooldown", "SELECT id AS log_id, severity, repeat_count FROM alerts", "alerts", parsed=True)
 def stream_correlation_cooldown(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(f"{_streamed(t)}/alerts").select(
         "log_id", "severity", F.col("factors.repeat_count").alias("repeat_count"))
@@ -1112,9 +1227,10 @@ def stream_correlation_cooldown(t: Inputs) -> DataFrame:
 
 @query("stream_stats", whole("""
 SELECT count(*) AS total_logs, sum(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS anomalies, sum(rule_hits) AS suppressed,
-  sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows, sum(peak_adjusted) AS adjusted FROM evaluated""", "anomalies", "suppressed", "suppressed_rows", "adjusted"), "evaluated")
+  sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows, sum(peak_adjusted) AS adjusted FROM evaluated""", "anomalies", "suppressed", "suppressed_rows", "adjusted"), "evaluated", parsed=True)
 def stream_stats(t: Inputs) -> DataFrame:
-    counters = flow.stream_stats(context.evaluate_context(_stream_events(t)))
+    logs = _stream_events(t, _stream_source(t)).filter("id >= 0")
+    counters = flow.stream_stats(context.evaluate_context(logs))
     path = t.path("counters")
     writer = (counters.writeStream.outputMode("complete").trigger(availableNow=True)
               .option("checkpointLocation", t.path("counters-state"))
@@ -1134,22 +1250,8 @@ def session_counts(t: Inputs) -> DataFrame:
 
 
 @query("stream_late_rows", """
-SELECT src_ip, max(secs) AS last_seconds, count(*) AS events FROM numbered GROUP BY src_ip, session_no""", "numbered")
+SELECT CAST(id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS copies FROM points WHERE gate IS NULL AND id % 50 = 7""",
+       "points", parsed=True)
 def stream_late_rows(t: Inputs) -> DataFrame:
-    """Watermarked session counts; all sessions but the last are closed by the watermark itself."""
-    live = context.evaluate_context(_stream_events(t)).filter(scoring.gate().isNull())
-    counts = correlation.stream_session_counts(
-        live.select("src_ip", "ts").withWatermark("ts", "0 seconds"))
-    path = t.path("sessions")
-    writer = (counters_to(counts, path).option("checkpointLocation", t.path("sessions-state")))
-    writer.start().awaitTermination()
-    # every update of a session replaces the one before
-    done = t.spark.read.parquet(path)
-    last = done.groupBy("src_ip", "session.start").agg(F.max_by("events", "events").alias("events"),
-                                                      F.max("session.end").alias("end"))
-    return last.select("src_ip", (F.unix_seconds("end") - K.CORRELATION_GAP_SECONDS).alias("last_seconds"), "events")
-
-
-def counters_to(df: DataFrame, path: str):
-    return (df.writeStream.outputMode("complete").trigger(availableNow=True)
-              .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)))
+    """Every 50th log arrives days late: what is live of it is set apart, and nothing else."""
+    return flow.late_rows(t.spark, _streamed(t, "id % 50 = 7")).select("id", "copies")
