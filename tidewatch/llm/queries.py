@@ -68,7 +68,82 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (op1_mixing, op2_pii, op3_embedding_dedup, op4_packing, op5_exact_dedup,
                                         op6_simhash, op7_quality, op8_url_filter, op9_language_id, op10_secrets)}
 
+_HOST = r"regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1)"
+
+
+def _lowered(text: str) -> str:
+    return f"translate({text}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+
+
+def _rule_sql(value: int) -> str:
+    """The deciding rule's text (0) or verdict (1) as a CASE, longest rules first."""
+    arms = [f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') "
+            f"THEN '{(host + path, verdict)[value]}'"
+            for verdict, host, path in sorted(URL_RULES, key=lambda rule: -len(rule[1] + rule[2]))]
+    return f"CASE {' '.join(arms)} END"
+
+
+URL_SQL = f"""
+    WITH RECURSIVE split AS (
+      SELECT page_id, html, {_lowered(_HOST.format('url'))} AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    ruled AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS said FROM split),
+    hosts AS (SELECT DISTINCT host FROM split WHERE host <> ''),
+    links AS (
+      SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{url_filter.LINK.replace("'", "''")}', 1))) AS link
+      FROM split WHERE host <> ''),
+    linked AS (
+      SELECT src, {_lowered(_HOST.format("('x:' || regexp_extract(link, '(//.*)', 1))"))} AS dst FROM links
+      WHERE regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')),
+    parents AS (
+      SELECT h.host, p.host AS parent, row_number() OVER (PARTITION BY h.host ORDER BY length(p.host) DESC) AS place
+      FROM hosts h JOIN hosts p ON ends_with(h.host, '.' || p.host)),
+    edges AS (
+      SELECT src, dst, sum(n) AS n FROM (
+        SELECT src, dst, count(*) AS n FROM linked WHERE dst <> '' AND src <> dst GROUP BY ALL
+        UNION ALL SELECT host, parent, 1 FROM parents WHERE place = 1
+        UNION ALL SELECT parent, host, 1 FROM parents WHERE place = 1) GROUP BY src, dst),
+    moves AS (
+      SELECT kind, src, dst, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY kind, src) AS share FROM (
+        SELECT 'allow' AS kind, src, dst, n FROM edges UNION ALL SELECT 'block', dst, src, n FROM edges)),
+    start AS (
+      SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM (
+        SELECT said AS kind, host, count(*) AS n FROM ruled WHERE said IS NOT NULL AND host <> '' GROUP BY ALL)),
+    ranks AS (
+      SELECT 0 AS turn, kind, host, CAST(rank AS DOUBLE) AS rank FROM start
+      UNION ALL
+      SELECT turn, kind, host, sum(rank) FROM (
+        SELECT r.turn + 1 AS turn, m.kind, m.dst AS host, r.rank * m.share AS rank
+        FROM ranks r JOIN moves m ON m.kind = r.kind AND m.src = r.host
+        UNION ALL
+        SELECT t.turn + 1, s.kind, s.host, s.rank * (1 - {url_filter.DAMPING})
+        FROM start s, (SELECT DISTINCT turn FROM ranks) t)
+      WHERE turn <= {url_filter.ROUNDS} GROUP BY turn, kind, host),
+    doubted AS (
+      SELECT host FROM ranks WHERE turn = {url_filter.ROUNDS} GROUP BY host
+      HAVING coalesce(sum(rank) FILTER (kind = 'block'), 0) > 0
+        AND sum(rank) FILTER (kind = 'block') >= {url_filter.DISTRUST_SHARE} * sum(rank))
+    SELECT page_id, host, path, rule,
+      coalesce(said, CASE WHEN host IN (SELECT host FROM doubted) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled"""
+
+# Compares all pairs of a label; the operator finds each pair at the threshold with probability 0.9994.
+EMBEDDING_SQL = f"""
+    WITH RECURSIVE usable AS (
+      SELECT vec_id, label, vec, sqrt(list_dot_product(vec, vec)) AS norm
+      FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings) WHERE label IS NOT NULL),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec) AND a.norm > 0 AND b.norm > 0
+      WHERE list_dot_product(a.vec, b.vec) / (a.norm * b.norm) >= {embedding_dedup.THRESHOLD}),
+    reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+    least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+    counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": EMBEDDING_SQL,
+    "op8_url_filter": URL_SQL,
     "op5_exact_dedup": """
         with seen as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
              groups as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from seen group by 1)
