@@ -40,17 +40,19 @@ class Detection:
 def detect(predicted: DataFrame, staged: bool = True, span_seconds: int = SPAN_SECONDS) -> Detection:
     """Context, score and response over enriched logs that carry an anomaly result.
 
-    The live rows feed correlation (rows and span summaries) and the cooldown,
-    so they are written once; they are the small share the model flagged and
-    no rule suppressed.
+    The live rows, the small share the model flagged and no rule suppressed,
+    are written once before correlation, which reads them twice, and once
+    after it, so that the run, the cooldown and the alerts share one
+    correlation.
     """
     evaluated = evaluate_context(predicted)
     live = live_rows(evaluated)
     if staged:
         live = stage(live, "live")
     live = finish_live(correlate(live, span_seconds, keep_spans=True))
-    # correlated rows are already laid out by address and span; only what an
-    # alert shows goes through the cooldown
+    if staged:
+        live = stage(live, "scored-live")
+    # only what an alert shows goes through the cooldown
     due = response_gate(live).select(*ALERT_INPUT, *SPAN_COLUMNS)
     passed = alert_cooldown(due, span_seconds)
     return Detection(evaluated, live.drop(*SPAN_COLUMNS), passed)
