@@ -253,6 +253,8 @@ def test_structural_confirmation():
                       ("der_key", key.hex().upper())):
         text = f"caf\u00e9 start {run} end"
         assert secrets.confirmed_spans(text) == [(kind, 11, 11 + len(run))]
+        for after in ("\nNext words", "\r\nend", ".\nX"):
+            assert secrets.confirmed_spans(f"caf\u00e9 start {run}{after}") == [(kind, 11, 11 + len(run))]
     broken = key[:-1] + b"\x00\x00"
     for run in (base64.b64encode(broken).decode(), "A" * 400, f"{part(b'[1]')}.{part(b'{}')}.aaaa", "/usr/local/lib/python3/site"):
         assert secrets.confirmed_spans(f"x {run} y") == []

@@ -120,20 +120,33 @@ def is_signed_token(run: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(body, dict)
 
 
+def _confirmed(run: str) -> str | None:
+    """Kind of key or token that a run is, if any."""
+    if "." in run:
+        return "jwt" if is_signed_token(run) else None
+    data = _decoded(run)
+    if not data:
+        return None
+    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    """Encoded runs that decode to a key or token."""
+    """Encoded runs that decode to a key or token.
+
+    The line after a run may be its last line or the text that follows, so a
+    run over several lines is also tried without its last line, and as its
+    first line alone.
+    """
     found = []
     for match in ENCODED.finditer(text):
         run = match[0]
-        if "." in run:
-            if is_signed_token(run):
-                found.append(("jwt", match.start(), match.end()))
-            continue
-        data = _decoded(run)
-        if data and is_der_key(data):
-            found.append(("der_key", match.start(), match.end()))
-        elif data and is_ssh_key(data):
-            found.append(("ssh_key", match.start(), match.end()))
+        tries = [run]
+        if "\n" in run:
+            tries = [run.split("\n", 1)[0].rstrip("\r"), run.rsplit("\n", 1)[0].rstrip("\r"), run]
+        for part in tries:
+            if kind := _confirmed(part):
+                found.append((kind, match.start(), match.start() + len(part)))
+                break
     return found
 
 
