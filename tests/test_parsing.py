@@ -27,6 +27,7 @@ CASES = [
     ({**GOOD, "bytes_sent": 1.5, "bytes_recv": 1e300}, "OK"),
     ({**GOOD, "duration": True}, "duration must be numeric"),
     ({**GOOD, "dst_port": 443.0}, "dst_port must be integer"),
+    ({**GOOD, "dst_port": 2**40}, "dst_port must be integer"),
     ({**GOOD, "src_port": "80", "dst_port": 1.5}, "src_port must be integer"),
     ({**GOOD, "protocol": None}, "OK"),
     ({**GOOD, "src_ip": None}, "src_ip must be string"),

@@ -91,6 +91,7 @@ ATTACK_BONUS = {
 }
 CORRELATION_GAP_SECONDS = 300
 PEAK_TOTAL_FACTOR = 0.85
+CORRELATION_POINTS = {5: 15, 3: 10, 2: 5}  # events in a session, at least -> points
 SEVERITY_RANGES = {"LOW": (0, 25), "MEDIUM": (26, 50), "HIGH": (51, 75), "CRITICAL": (76, 100)}
 SEVERITY_ORDER = ["NORMAL", "SUPPRESSED", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 

@@ -51,8 +51,10 @@ def _carried(rows: DataFrame) -> DataFrame:
 
 
 def correlation_points(repeat_count: Column) -> Column:
-    return (F.when(repeat_count >= 5, 15).when(repeat_count >= 3, 10)
-             .when(repeat_count >= 2, 5).otherwise(0))
+    points = F.lit(0)
+    for least, value in sorted(K.CORRELATION_POINTS.items()):
+        points = F.when(repeat_count >= least, value).otherwise(points)
+    return points
 
 
 def correlate(events: DataFrame, span_seconds: int = SPAN_SECONDS, keep_spans: bool = False) -> DataFrame:

@@ -47,7 +47,9 @@ def wrong_type() -> Column:
     """First field whose JSON type is not accepted."""
     checks = [(~F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")).rlike(_NUMBER),
                f"{f} must be numeric") for f in K.NUMERIC_FIELDS]
-    checks += [(F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")) != "BIGINT",
+    # a number beyond 32 bits would be read as null
+    checks += [((F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")) != "BIGINT")
+                | F.try_variant_get(F.col("_doc"), f"$.{f}", "int").isNull(),
                 f"{f} must be integer") for f in K.INTEGER_FIELDS]
     # an address that is not text cannot be classified as internal or external
     checks += [(F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")) != "STRING",

@@ -25,7 +25,7 @@ def detection_confusion(logs: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, *by: str) -> DataFrame:
     """Equal-width bins over each group's own range; the maximum falls in the last bin.
 
-    Empty bins are listed with 0.  Groups must be few: their ranges are broadcast.
+    Empty bins are listed with 0.
     """
     values = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     ranges = values.groupBy(*by).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
@@ -35,9 +35,11 @@ def histogram(df: DataFrame, column: str, bins: int, *by: str) -> DataFrame:
         "low": F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")),
         "high": F.when(flat, F.col("high") + 0.5).otherwise(F.col("high"))})
     width = (F.col("high") - F.col("low")) / bins
-    # one range row per group
-    small = F.broadcast(ranges)
-    placed = values.join(small, list(by)) if by else values.crossJoin(small)
+    if by:
+        placed = values.join(ranges, list(by))
+    else:
+        low, high = ranges.select("low", "high").first()  # one row
+        placed = values.withColumns({"low": F.lit(low).cast("double"), "high": F.lit(high).cast("double")})
     place = F.floor((F.col("_v") - F.col("low")) / width)
     counts = placed.groupBy(*by, F.least(place, F.lit(bins - 1)).alias("bin")).agg(
         F.count("*").alias("n"))

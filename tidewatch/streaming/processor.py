@@ -39,8 +39,7 @@ class AddressState:
 
 
 def severity_for(static_points: int, repeat_count: int, peak: bool) -> str:
-    bonus = 15 if repeat_count >= 5 else 10 if repeat_count >= 3 else 5 if repeat_count >= 2 else 0
-    total = static_points + bonus
+    total = static_points + max((v for least, v in K.CORRELATION_POINTS.items() if repeat_count >= least), default=0)
     if peak:
         total = int(total * K.PEAK_TOTAL_FACTOR)
     total = max(0, min(100, total))
