@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor, inf, nan
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 FINISH_ROWS = 1_000_000  # rows per interval that are counted value by value
 _ACCURACY = 10_000
@@ -107,14 +107,18 @@ def _resolve(values: DataFrame, wanted: list[_Rank], finish_rows: int) -> None:
         ranks[row["rank"]].answer = row["value"]
 
 
-def _ranks(values: DataFrame, wanted: dict[str, list[int]] | None, shares: Sequence[float],
+def _sizes(values: DataFrame, *more: Column) -> list[Row]:
+    """A row per key: numbers of values, of infinities and of NaN, and what else is asked for."""
+    value = F.col("value")
+    return values.groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if(value == -inf).alias("below"), F.count_if(value == inf).alias("above"),
+        F.count_if(F.isnan(value)).alias("nan"), *more).collect()
+
+
+def _ranks(values: DataFrame, sizes: list[Row], wanted: dict[str, list[int]] | None, shares: Sequence[float],
            finish_rows: int) -> dict[str, tuple[int, dict[int, float]]]:
     """Per key: number of values, and the value at every wanted rank (or at those beside every share)."""
     value = F.col("value")
-    infinite = float("inf")
-    sizes = values.groupBy("key").agg(
-        F.count("*").alias("n"), F.count_if(value == -infinite).alias("below"),
-        F.count_if(value == infinite).alias("above"), F.count_if(F.isnan(value)).alias("nan")).collect()
     out, open_ranks = {}, []
     for row in sizes:
         n, below = row["n"], row["below"]
@@ -131,14 +135,15 @@ def _ranks(values: DataFrame, wanted: dict[str, list[int]] | None, shares: Seque
             else:
                 answers[k] = inf if k < below + finite + row["above"] else nan
         out[row["key"]] = (n, answers)
-    _resolve(values.filter((value > -infinite) & (value < infinite)), open_ranks, finish_rows)
+    _resolve(values.filter((value > -inf) & (value < inf)), open_ranks, finish_rows)
     return {key: (n, {k: a.answer if isinstance(a, _Rank) else a for k, a in answers.items()})
             for key, (n, answers) in out.items()}
 
 
 def kth_smallest(df: DataFrame, column: str, k: int, finish_rows: int = FINISH_ROWS) -> float:
     """k-th smallest (0-based) value of a column; nulls are left out."""
-    found = _ranks(keyed_values(df, [column]), {column: [k]}, (), finish_rows)
+    values = keyed_values(df, [column])
+    found = _ranks(values, _sizes(values), {column: [k]}, (), finish_rows)
     return found[column][1][k]
 
 
@@ -148,17 +153,24 @@ def _between(low: float, high: float, weight: float) -> float:
     return (1 - weight) * low + weight * high
 
 
+def _percentiles(values: DataFrame, sizes: list[Row], wanted: Sequence[float],
+                 finish_rows: int) -> dict[str, list[float]]:
+    """Per key: its percentiles in the order wanted."""
+    out = {}
+    for key, (n, answers) in _ranks(values, sizes, None, wanted, finish_rows).items():
+        places = [q * (n - 1) for q in wanted]
+        out[key] = [_between(answers[floor(p)], answers[ceil(p)], p - floor(p)) for p in places]
+    return out
+
+
 def exact_percentiles(values: DataFrame, wanted: Sequence[float], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """(key, q, value) for every key and every wanted fraction.
 
     ``values`` has columns ``key`` and ``value``; the keys are names of
     columns, so few.
     """
-    rows = []
-    for key, (n, answers) in _ranks(values, None, wanted, finish_rows).items():
-        for q in wanted:
-            place = q * (n - 1)
-            rows.append((key, float(q), _between(answers[floor(place)], answers[ceil(place)], place - floor(place))))
+    found = _percentiles(values, _sizes(values), wanted, finish_rows)
+    rows = [(key, float(q), value) for key, at in found.items() for q, value in zip(wanted, at)]
     return values.sparkSession.createDataFrame(rows, "key string, q double, value double")
 
 
@@ -173,13 +185,11 @@ def describe(df: DataFrame, columns: Sequence[str], finish_rows: int = FINISH_RO
 
     A column of nulls only gives no row.
     """
-    wanted = [0.25, 0.5, 0.75]
     values = keyed_values(df, columns)
-    found = exact_percentiles(values, wanted, finish_rows).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("q", "value"))).alias("q"))
-    stats = values.groupBy("key").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    stats = stats.join(F.broadcast(found), "key")  # a row per column
-    shown = [F.col("q")[i]["value"].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
-    return stats.select(F.col("key").alias("feature"), "count", "mean", "std", "min", *shown, "max")
+    sizes = _sizes(values, F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                   F.min("value").alias("min"), F.max("value").alias("max"))
+    quarters = _percentiles(values, sizes, [0.25, 0.5, 0.75], finish_rows)
+    rows = [(r["key"], r["n"], r["mean"], r["std"], r["min"], *quarters[r["key"]], r["max"]) for r in sizes]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count long, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
