@@ -106,13 +106,18 @@ def _tree_samples(df: DataFrame, columns: Sequence[str], trees: int, size: int,
     uniform = (F.shiftrightunsigned(draw(F.lit(seed)), 11)) / F.lit(float(1 << 53))
     shares = _shares(trees, fraction)
     number = F.size(F.filter(F.array(*[F.lit(s) for s in shares]), lambda share: share <= F.col("_uniform")))
+    # few trees: distinct ones among more draws than needed; many: the first of all trees in a drawn order
+    draws = F.transform(F.sequence(F.lit(1), F.col("_number") * 4 + 8),
+                        lambda turn: F.pmod(draw(F.lit(seed + 1), turn), F.lit(trees)).cast("int"))
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                                      lambda tree: F.struct(draw(F.lit(seed + 1), tree).alias("rank"),
                                                            tree.alias("tree"))))
+    few = F.slice(F.array_distinct(draws), 1, F.col("_number"))
+    many = F.transform(F.slice(order, 1, F.col("_number")), lambda drawn: drawn["tree"])
     picked = (df.withColumn("_uniform", uniform).filter(F.col("_uniform") >= shares[0])
-              .withColumn("_trees", F.slice(order, 1, number)).drop("_uniform")
-              .withColumn("_tree", F.explode("_trees"))
-              .select("_row_key", *columns, F.col("_tree.tree").alias("tree_id"), F.col("_tree.rank").alias("_rank")))
+              .withColumn("_number", number)
+              .withColumn("tree_id", F.explode(F.when(F.col("_number") * 8 <= trees, few).otherwise(many)))
+              .select("_row_key", *columns, "tree_id", draw(F.lit(seed + 2), F.col("tree_id")).alias("_rank")))
     # the row limit is applied per map partition before the shuffle, too
     place = Window.partitionBy("tree_id").orderBy("_rank", "_row_key", *columns)
     picked = picked.withColumn("_place", F.row_number().over(place))

@@ -108,9 +108,13 @@ def nsl_standardize(df: DataFrame, synthetic: Synthetic | None = None, *keep: st
 
 
 # ------------------------------------------------------------ flow dataset (UNSW)
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(point) for point in range(0x2000, 0x200B))
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def unsw_clean_category(raw: Column) -> Column:
