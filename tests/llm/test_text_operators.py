@@ -260,6 +260,58 @@ def test_structural_confirmation():
         assert secrets.confirmed_spans(f"x {run} y") == []
 
 
+def key_forms():
+    """Kind and text of tokens and one-line keys, each different."""
+    import base64
+
+    def der(tag, content):
+        size = len(content)
+        head = bytes([size]) if size < 128 else bytes([0x82, size >> 8, size & 255])
+        return bytes([tag]) + head + content
+
+    part = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+    plain = lambda data: base64.b64encode(data).decode().rstrip("=")
+    forms = []
+    for k in range(5):
+        key = der(0x30, der(2, b"\0") + der(2, bytes(range(k + 1, 65 + k))) * 8)
+        fields = (b"none", b"none", b"", bytes(50 + k), bytes(90 + k))
+        lengths = [len(x).to_bytes(4, "big") + x for x in fields]
+        ssh = secrets.SSH_MAGIC + b"".join(lengths[:3]) + (1).to_bytes(4, "big") + b"".join(lengths[3:])
+        header, body, signature = b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"%d"}' % k, bytes([k]) * 32
+        forms.append({"jwt": ".".join(map(part, (header, body, signature))), "der": plain(key), "hex": key.hex(),
+                      "ssh": plain(ssh), "ssh_hex": ssh.hex(), "wrapped": base64.encodebytes(key).decode().strip()})
+    return {name: ({"jwt": "jwt", "ssh": "ssh_key", "ssh_hex": "ssh_key"}.get(name, "der_key"), [f[name] for f in forms])
+            for name in forms[0]}
+
+
+def placed(kind, runs, text):
+    at, out = 0, []
+    for run in runs:
+        at = text.index(run, at)
+        out.append((kind, at, at + len(run)))
+        at += len(run)
+    return out
+
+
+@pytest.mark.parametrize("form", ["jwt", "der", "hex", "ssh", "ssh_hex"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_every_key_of_a_list_is_found(form, end):
+    kind, runs = key_forms()[form]
+    for n in range(2, 6):
+        for before, after in (("", ""), ("keys:" + end, end + "Next words"), ("id 0123456789abcdefghij" + end, end)):
+            text = before + end.join(runs[:n]) + after
+            assert secrets.confirmed_spans(text) == placed(kind, runs[:n], text)
+
+
+def test_mixed_lists_and_wrapped_signatures():
+    forms = key_forms()
+    runs = [forms["jwt"][1][0], forms["der"][1][1], forms["ssh"][1][2], forms["jwt"][1][3], forms["hex"][1][4]]
+    text = "\n".join(runs)
+    assert [text[a:b] for _, a, b in secrets.confirmed_spans(text)] == runs
+    token = forms["jwt"][1][2]
+    assert secrets.confirmed_spans(f"{token[:-20]}\n{token[-20:]}\nend") == [("jwt", 0, len(token) + 1)]
+
+
 def test_languages(spark, sf, documents, no_documents):
     given = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     got = language_id.languages(given).toPandas().merge(given.select("doc_id", "lang").toPandas(), on="doc_id")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,10 +27,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 MIN_VALUE = 8
 
-# Candidates for decoding: a run of one alphabet, which may be broken by single line ends as in a key block.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*"
-                     r"(?:\.[A-Za-z0-9_-]+)*(?:\r?\n[A-Za-z0-9+/_-]{1,76})?={0,2}")
-HEXADECIMAL = re.compile(r"(?:[0-9A-Fa-f]{2})+")
+# Blocks to search for keys: runs of one alphabet, and those on the lines that follow directly.
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{16,}(?:\r?\n[A-Za-z0-9+/_.-]+)*")
+RUN = re.compile(r"[A-Za-z0-9+/_.-]+")
+# Where a key may begin in a block: a DER sequence or the magic bytes, in base64 or hex.
+DER_64, DER_HEX = re.compile(r"M(?=[A-P])"), re.compile(r"30(?=[0-9A-Fa-f]{2})")
+SSH_64, SSH_HEX = re.compile(r"b3BlbnNzaC1rZXktdjEA"), re.compile(r"(?i)6f70656e7373682d6b65792d763100")
+SIGNATURE = re.compile(r"[A-Za-z0-9_-]+")
+HEADER = re.compile(r"e(?=[w-z0-9_-])")  # an opening brace in base64
+SIGNATURE_CHARS = {"HS256": (43,), "HS384": (64,), "HS512": (86,), "ES256": (86,), "ES384": (128,), "ES512": (176,),
+                   "EdDSA": (86, 152), **{f"{kind}{size}": (342, 512, 683) for kind in ("RS", "PS")
+                                          for size in (256, 384, 512)}}
+DASHES = "-----"
+PADDING = re.compile("={0,2}")
 ADDED = ("jwt", "der_key", "ssh_key")
 SSH_MAGIC = b"openssh-key-v1\x00"
 ALGORITHM_OIDS = (  # fixed values: RSA, elliptic curve, Ed25519, X25519 in DER
@@ -45,17 +55,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _decoded(run: str) -> bytes | None:
-    """Bytes of a hex or base64 run (either alphabet, padded or not); null if it is neither."""
-    compact = run.replace("\r", "").replace("\n", "").rstrip("=")
-    if HEXADECIMAL.fullmatch(compact):
-        return bytes.fromhex(compact)
+def _decoded(run: str, is_hex: bool) -> bytes | None:
+    """Bytes of a hex or base64 run (either alphabet, not padded); null if it is neither."""
     try:
-        return base64.b64decode(compact.replace("-", "+").replace("_", "/") + "=" * (-len(compact) % 4), validate=True)
+        if is_hex:
+            return bytes.fromhex(run)
+        return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _chars(size: int, is_hex: bool) -> int:
+    """Characters that ``size`` bytes take, without padding."""
+    return 2 * size if is_hex else -(-4 * size // 3)
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """Tag and content of the DER items that fill ``data`` exactly; null if the lengths do not add up."""
     items, at = [], 0
@@ -108,45 +122,151 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= int.from_bytes(data[at:at + 4], "big") <= 64
 
 
-def is_signed_token(run: str) -> bool:
-    """Three base64url parts whose first is a JSON object that names an algorithm and whose second is JSON."""
-    parts = run.split(".")
-    if len(parts) != 3 or not all(parts[:2]):
-        return False
+def der_size(data: bytes) -> int | None:
+    """Size of the DER sequence that ``data`` begins with, by its own length; null if it is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    size = data[1] & 0x7F
+    return 2 + size + int.from_bytes(data[2:2 + size], "big") if 1 <= size <= 4 and len(data) >= 2 + size else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Size of the private key container that ``data`` begins with, by its own lengths; null if they do not fit."""
+    at, cipher = len(SSH_MAGIC), b""
+    for field in range(3):
+        length = int.from_bytes(data[at:at + 4], "big")
+        cipher = cipher if field else data[at + 4:at + 4 + length]
+        at += 4 + length
+    keys = int.from_bytes(data[at:at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):  # the public keys and the private part
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    at += 16 if cipher.endswith(b"@openssh.com") else 0  # tag of an authenticated cipher
+    return at if at <= len(data) else None
+
+
+def _object(part: str) -> dict | None:
+    """The JSON object that a base64url part decodes to, if any."""
     try:
-        header, body = (json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))) for part in parts[:2])
+        value = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (binascii.Error, ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(body, dict)
+        return None
+    return value if isinstance(value, dict) else None
 
 
-def _confirmed(run: str) -> str | None:
-    """Kind of key or token that a run is, if any."""
-    if "." in run:
-        return "jwt" if is_signed_token(run) else None
-    data = _decoded(run)
-    if not data:
-        return None
-    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+class _Block:
+    """The characters of a block without its line ends, and where each line begins, in them and in the text."""
+
+    def __init__(self, text: str, start: int, stop: int):
+        self.lines, self.places, parts, size = [], [], [], 0
+        for run in RUN.finditer(text, start, stop):
+            self.lines.append(size)
+            self.places.append(run.start())
+            parts.append(run[0])
+            size += len(run[0])
+        self.chars = "".join(parts)
+
+    def place(self, at: int) -> int:
+        line = bisect.bisect_right(self.lines, at) - 1
+        return self.places[line] + at - self.lines[line]
+
+    def line_end(self, at: int) -> int:
+        """First end of a line at ``at`` or later."""
+        line = bisect.bisect_left(self.lines, at)
+        return self.lines[line] if line < len(self.lines) else len(self.chars)
+
+    def ends(self, at: int) -> bool:
+        """Whether no character of the alphabet follows in the line; dashes may close a key block."""
+        return self.line_end(at) == at or self.chars[at] == "." or self.chars.startswith(DASHES, at)
+
+    def end(self, at: int) -> int:
+        """First place at ``at`` or later where a key can end."""
+        stop = self.line_end(at)
+        marks = [mark for mark in (self.chars.find(".", at, stop), self.chars.find(DASHES, at, stop)) if mark >= 0]
+        return min(marks, default=stop)
+
+    def der_key(self, at: int, is_hex: bool) -> int | None:
+        """End of the DER key that begins at ``at``; its own length says where that is."""
+        size = der_size(_decoded(self.chars[at:at + _chars(6, is_hex)], is_hex) or b"")
+        upto = at + _chars(size or 0, is_hex)
+        if not size or upto > len(self.chars) or not self.ends(upto):
+            return None
+        return upto if is_der_key(_decoded(self.chars[at:upto], is_hex) or b"") else None
+
+    def ssh_key(self, at: int, upto: int, is_hex: bool) -> int | None:
+        """End of the key container that begins at ``at``, at the end of a line; ``upto`` where it is cut off."""
+        part = re.match(r"[0-9A-Fa-f]+" if is_hex else r"[A-Za-z0-9+/_-]+", self.chars[at:upto])[0]
+        dashes = part.find(DASHES)
+        part = part if dashes < 0 else part[:dashes]
+        data = _decoded(part[:len(part) - (len(part) % 2 if is_hex else len(part) % 4 == 1)], is_hex)
+        if not data or not is_ssh_key(data):
+            return None
+        size = ssh_size(data)
+        return at + len(part) if size is None else min(self.end(at + _chars(size, is_hex)), at + len(part))
+
+    def token(self, dots: list[int], k: int, low: int) -> tuple[int, int] | None:
+        """Start and end of the signed token with its first dot at ``dots[k]``, not before ``low``."""
+        if _object(self.chars[dots[k] + 1:dots[k + 1]]) is None:
+            return None
+        start = max(low, dots[k - 1] + 1 if k else 0)
+        first, last = bisect.bisect_left(self.lines, start), bisect.bisect_left(self.lines, dots[k])
+        starts = {start, *(line for line in self.lines[first:last] if self.chars[line] in "eCDI"),
+                  *(m.start() for m in HEADER.finditer(self.chars, start, dots[k]))}
+        for at in sorted(starts, reverse=True):
+            header = _object(self.chars[at:dots[k]])
+            if header is not None and isinstance(header.get("alg"), str):
+                break
+        else:
+            return None
+        signature = SIGNATURE.match(self.chars, dots[k + 1] + 1)
+        if not signature:
+            return None
+        for size in SIGNATURE_CHARS.get(header["alg"], ()):  # a signature over several lines
+            upto = signature.start() + size
+            if upto <= signature.end() and self.line_end(upto) == upto:
+                return at, upto
+        return at, min(self.line_end(signature.start() + 1), signature.end())
+
+    def keys(self) -> Iterator[tuple[str, int, int]]:
+        """Kind, start and end of the keys and tokens, one after the other."""
+        found = []
+        for pattern, is_hex in ((DER_64, False), (DER_HEX, True)):
+            low = 0
+            for match in pattern.finditer(self.chars):
+                if match.start() >= low and (upto := self.der_key(match.start(), is_hex)):
+                    low = upto
+                    found.append(("der_key", match.start(), upto))
+        for pattern, is_hex in ((SSH_64, False), (SSH_HEX, True)):
+            starts = [match.start() for match in pattern.finditer(self.chars)]
+            for at, limit in zip(starts, [*starts[1:], len(self.chars)]):
+                if upto := self.ssh_key(at, limit, is_hex):
+                    found.append(("ssh_key", at, upto))
+        dots = [match.start() for match in re.finditer(r"\.", self.chars)]
+        low = 0
+        for k in range(len(dots) - 1):
+            if dots[k] > low and (token := self.token(dots, k, low)):
+                low = token[1]
+                found.append(("jwt", *token))
+        return iter(sorted(found, key=lambda span: span[1:]))
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Encoded runs that decode to a key or token.
 
-    The line after a run may be its last line or the text that follows, so a
-    run over several lines is also tried without its last line, and as its
-    first line alone.
+    A key tells its own length, and a token is made of JSON objects, so each
+    is cut out of its block exactly, whatever lines come before and after;
+    the search goes on behind it.
     """
     found = []
     for match in ENCODED.finditer(text):
-        run = match[0]
-        tries = [run]
-        if "\n" in run:
-            tries = [run.split("\n", 1)[0].rstrip("\r"), run.rsplit("\n", 1)[0].rstrip("\r"), run]
-        for part in tries:
-            if kind := _confirmed(part):
-                found.append((kind, match.start(), match.start() + len(part)))
-                break
+        block = _Block(text, *match.span())
+        for kind, at, upto in block.keys():
+            end = block.place(upto - 1) + 1
+            found.append((kind, block.place(at), end + len(PADDING.match(text, end)[0])))
     return found
 
 
