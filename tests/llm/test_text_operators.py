@@ -312,6 +312,35 @@ def test_mixed_lists_and_wrapped_signatures():
     assert secrets.confirmed_spans(f"{token[:-20]}\n{token[-20:]}\nend") == [("jwt", 0, len(token) + 1)]
 
 
+MARKS = ["jwt={}", "KEY_B64={}", "?ticket={}&x=1", "https://host.tld/v/{}", "https://host.tld/v/{}/next page", "a.{}",
+         "0x{}", "'{}'", '{{"key":"{}"}}', '"text\\n{}\\nmore"', "A=1\\r\\n{}", "-----BEGIN KEY-----{}-----END KEY-----"]
+
+
+@pytest.mark.parametrize("form", ["jwt", "der", "hex", "ssh", "ssh_hex"])
+def test_keys_after_marks(form):
+    kind, runs = key_forms()[form]
+    for mark in MARKS:
+        if form == "jwt" and "-----END" in mark or form != "jwt" and "next" in mark:
+            continue  # dashes and slashes belong to the alphabets
+        text = mark.format(runs[1])
+        assert secrets.confirmed_spans(text) == placed(kind, runs[1:2], text), mark
+
+
+def test_indented_and_escaped_blocks():
+    kind, blocks = key_forms()["wrapped"]
+    for end in ("\n    ", "\r\n\t", "  \n", "\\n", "\\r\\n", "\\\\n"):
+        for before, after in (("key: |" + end, end + "next: 1"), ('"-----BEGIN KEY-----' + end, end + '-----END KEY-----"')):
+            runs = [block.replace("\n", end) for block in blocks[:2]]
+            text = (before + runs[0] + after) + "\n" + (before + runs[1] + after)
+            assert secrets.confirmed_spans(text) == placed(kind, runs, text), end
+
+
+def test_long_runs_stay_linear():
+    for text in ("MIIB" * 250_000, "30820100" * 100_000, "MAA\n" * 250_000, "eyJ" * 300_000 + ".eyJ.x", "a." * 400_000,
+                 "\\" * 20_000, "\n".join(["a" * 16 + " " * 40] * 2_000)):
+        assert secrets.confirmed_spans(text) == []
+
+
 def test_languages(spark, sf, documents, no_documents):
     given = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     got = language_id.languages(given).toPandas().merge(given.select("doc_id", "lang").toPandas(), on="doc_id")

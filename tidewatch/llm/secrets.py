@@ -27,8 +27,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 MIN_VALUE = 8
 
-# Blocks to search for keys: runs of one alphabet, and those on the lines that follow directly.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{16,}(?:\r?\n[A-Za-z0-9+/_.-]+)*")
+# Blocks to search for keys: runs of one alphabet, and those on the lines that follow directly, indented or not.
+# A key may begin anywhere in a block, so it does not matter what stands before one.
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}(?:[\t\x20]*\r?\n[\t\x20]*[A-Za-z0-9+/_.-]+)*")
+ESCAPED = re.compile(r"\\+r\\+n|\\+n")  # a line end written as an escape
 RUN = re.compile(r"[A-Za-z0-9+/_.-]+")
 # Where a key may begin in a block: a DER sequence or the magic bytes, in base64 or hex.
 DER_64, DER_HEX = re.compile(r"M(?=[A-P])"), re.compile(r"30(?=[0-9A-Fa-f]{2})")
@@ -259,8 +261,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
 
     A key tells its own length, and a token is made of JSON objects, so each
     is cut out of its block exactly, whatever lines come before and after;
-    the search goes on behind it.
+    the search goes on behind it.  Lines may be indented, and line ends may be
+    written as escapes.
     """
+    if "\\" in text:  # as many characters, so that places stay
+        text = ESCAPED.sub(lambda match: "\n".rjust(len(match[0])), text)
     found = []
     for match in ENCODED.finditer(text):
         block = _Block(text, *match.span())
