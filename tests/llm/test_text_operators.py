@@ -358,6 +358,21 @@ def test_languages(spark, sf, documents, no_documents):
     assert language_id.fit(no_documents).predict(["text", None or ""])[0] == ["und", "und"]
 
 
+def test_unlearned_scripts_and_letter_junk_are_rejected(spark, sf):
+    given = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    chance = np.random.default_rng(4)
+    scripts = [(0x430, 0x450), (0x3b1, 0x3ca), (0x4e00, 0x6000), (97, 123)]
+    junk = [" ".join("".join(map(chr, chance.integers(low, high, chance.integers(3, 9)))) for _ in range(n))
+            for low, high in scripts for n in (5, 20, 100, 500) for _ in range(15)]
+    model = language_id.fit(given.filter(~language_id.held_out()))
+    assert np.mean(model.predict(junk)[2]) > 0.98
+    clean = [row.text for row in given.filter(language_id.held_out()).collect()]
+    for words in (5, 20, 100, 500):
+        assert np.mean(model.predict([" ".join(text.split()[:words]) for text in clean])[2]) < 0.02
+    few = language_id.fit(given.limit(3))
+    assert not few.predict([row.text for row in given.limit(3).collect()])[2].any() and few.predict(junk)[2].mean() > 0.7
+
+
 def test_long_texts_count_like_short_ones(monkeypatch):
     texts = ["Ab\u00e9 1c. def\nghi" * 40, "", "x", "line\nline two", "\n\n"]
     want = language_id.gram_counts(texts)

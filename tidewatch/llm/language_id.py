@@ -1,11 +1,15 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a vector of hashed letter trigrams: logarithmic counts times
-inverse document frequency, scaled to length one.  Document frequencies are
+inverse document frequency, half of the slots with a minus sign and folded onto
+the other half, scaled to length one.  Chance collisions so cancel out, and
+unrelated texts have a cosine near zero.  Document frequencies are
 counted over all training rows.  Per language, a bounded sample of training
 rows is clustered into a few centroids (spherical k-means).  A text takes the
 language of the centroid with the largest cosine and is rejected when even
-that cosine is too small, that is, when it lies far from every language.
+that cosine is too small, that is, when it lies far from every language.  How
+small is learned: per language and number of letters, from the cosines that
+training rows and their beginnings have to the centroids made without them.
 """
 
 from __future__ import annotations
@@ -18,11 +22,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-DIMS = 8192
+DIMS = 16384
+FOLDED = DIMS // 2
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1000  # rows that a language's centroids are fitted on
 MAX_LANGUAGES = 10_000
-MIN_COSINE = 0.02
+MIN_COSINE = 0.02  # only when no language has enough rows to learn a limit from
+LOW, MARGIN = 0.01, 0.5  # the limit is a share of a low quantile of the training rows
+FEWEST = 30  # texts that the limit for a number of letters is learned from
+BEGINNINGS = 300  # rows per language whose beginnings are taken
+BINS = 24  # powers of two of the number of letters
 CHUNK_CHARS = 1 << 19
 BATCH_ROWS = "500"
 UNKNOWN = "und"
@@ -95,21 +104,61 @@ def _sliced(text: str) -> np.ndarray:
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     out = np.log1p(counts) * idf
+    out = out[:, :FOLDED] - out[:, FOLDED:]
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     return out
 
 
+def _bins(counts: np.ndarray) -> np.ndarray:
+    """Power of two of the number of letters."""
+    return np.clip(np.log2(np.maximum(counts.sum(axis=1, dtype=np.float64), 1)).astype(np.int64), 0, BINS - 1)
+
+
+def _limits(texts: list[str], data: np.ndarray, nearest: np.ndarray, sums: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Limit per number of letters, from whole texts and their beginnings; NaN when there are too few.
+
+    A text is compared with the centroids as they are without it.
+    """
+    bins, cosines = [], []
+    own = np.arange(len(data))
+    for power in (*range(2, 14), None):
+        take = slice(None if power is None else BEGINNINGS)
+        counts = gram_counts([text if power is None else text[:3 << power - 1] for text in texts[take]])
+        part, at, whole = _vectors(counts, idf), nearest[take], data[take]
+        rest = sums[at] - whole
+        norms = np.linalg.norm(rest, axis=1)
+        near = part @ (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).T
+        near[own[:len(part)], at] = np.where(norms > 1e-3, (part * rest).sum(axis=1) / np.maximum(norms, 1e-3), -1)
+        best = near.max(axis=1)
+        seen = counts.any(axis=1) & (best > -1)
+        bins.append(_bins(counts)[seen])
+        cosines.append(best[seen])
+    most = MARGIN * np.quantile(cosines[-1], LOW) if len(cosines[-1]) else 0.0  # whole texts of every length
+    bins, cosines = np.concatenate(bins), np.concatenate(cosines)
+    out = np.full(BINS, np.nan)
+    learned = np.flatnonzero(np.bincount(bins, minlength=BINS) >= FEWEST)
+    if not len(learned):
+        return out
+    for k in learned:
+        out[k] = np.clip(MARGIN * np.quantile(cosines[bins == k], LOW), 0, max(0.0, most))
+    out[learned[-1]:] = out[learned[-1]]  # what is longer goes by the longest
+    out[:learned[0]] = 0  # too short to judge
+    return np.fmin.accumulate(out[::-1])[::-1]  # a shorter text never needs more
+
+
 @dataclass
 class LanguageModel:
     names: list[str]  # a language per centroid
     centroids: np.ndarray
     idf: np.ndarray
+    limits: np.ndarray  # smallest cosine by centroid and number of letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine to its nearest centroid, and whether the text is rejected."""
         best = np.zeros(len(texts), np.int64)
         cosine = np.zeros(len(texts))
         letters = np.zeros(len(texts), bool)
+        limit = np.zeros(len(texts))
         at = 0
         for group in _groups(texts):
             counts = gram_counts(group)
@@ -119,11 +168,12 @@ class LanguageModel:
                 near = _vectors(counts, self.idf) @ self.centroids.T
                 best[rows] = near.argmax(axis=1)
                 cosine[rows] = np.clip(near.max(axis=1), 0, 1)
+                limit[rows] = self.limits[best[rows], _bins(counts)]
             at += len(group)
         known = letters & bool(self.names)
         names = [self.names[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
         cosine[~known] = 0
-        return names, cosine, ~known | (cosine < MIN_COSINE)
+        return names, cosine, ~known | (cosine < limit)
 
 
 def _document_frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,9 +190,10 @@ def _clusters(idf: np.ndarray):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", "text"]).head(SAMPLE_PER_LANGUAGE)
         data = _vectors(gram_counts(list(rows.text)), idf)
-        data = data[data.any(axis=1)]
+        usable = data.any(axis=1)
+        texts, data = list(rows.text[usable]), data[usable]
         if not len(data):
-            return pd.DataFrame({"lang": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "limits": []})
         mean = data.mean(axis=0)
         chosen = [int((data @ mean).argmax())]
         while len(chosen) < min(CENTROIDS, len(data)):  # each next start is the text farthest from the others
@@ -154,7 +205,11 @@ def _clusters(idf: np.ndarray):
             empty = ~sums.any(axis=1)
             sums[empty] = centres[empty]
             centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        return pd.DataFrame({"lang": rows.lang.iloc[0], "centroid": list(centres.astype(np.float32))})
+        nearest = (data @ centres.T).argmax(axis=1)
+        sums = np.stack([data[nearest == k].sum(axis=0) for k in range(len(centres))])
+        limits = _limits(texts, data, nearest, sums, idf).astype(np.float32)
+        return pd.DataFrame({"lang": rows.lang.iloc[0], "centroid": list(centres.astype(np.float32)),
+                             "limits": [limits] * len(centres)})
     return fit
 
 
@@ -184,10 +239,13 @@ def fit(train: DataFrame) -> LanguageModel:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     shares = spark.createDataFrame(counts, "lang string, share double")
     sample = rows.join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "text", "draw")
-    centroids = sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<float>")
-    found = sorted((row["lang"], row["centroid"]) for row in centroids.collect())
-    return LanguageModel([name for name, _ in found],
-                         np.array([centre for _, centre in found], np.float32).reshape(-1, DIMS), idf)
+    centroids = sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<float>, limits array<float>")
+    found = sorted((row["lang"], row["centroid"], row["limits"]) for row in centroids.collect())
+    limits = np.array([limit for _, _, limit in found], np.float32).reshape(-1, BINS)
+    learned = limits[~np.isnan(limits).any(axis=1)]
+    limits = np.where(np.isnan(limits), learned.min(axis=0) if len(learned) else MIN_COSINE, limits)
+    return LanguageModel([name for name, _, _ in found],
+                         np.array([centre for _, centre, _ in found], np.float32).reshape(-1, FOLDED), idf, limits)
 
 
 def _told(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
