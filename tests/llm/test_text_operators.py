@@ -211,6 +211,22 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert got[0] == "email:29:44"
 
 
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    texts = [f"Reach staff contact user{k}@host{k}.org" for k in range(9)]
+    texts += [f"Reach staff contact emp{k}{k}55" for k in range(3)]  # first hop
+    texts += [f"Badge of worker emp{k}{k}55" for k in range(3)]
+    texts += ["Badge of worker emp98765"]  # second hop: its context follows from accepted identifiers only
+    texts += [f"see 7a of9 list mail{k}@host{k}.org" for k in range(9)] + ["see 8b of7 list handle42"]
+    texts += [f"ref 12 no45 mail{k}@host{k}.net" for k in range(9)] + ["ref 12 no77 acct_991"]  # digit words before it
+    texts += ["Ordinary words with item42x here"]
+    got = [r.spans for r in pii.personal_data(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for at, text in enumerate(texts):
+        found = [text[int(a):int(b)] for kind, a, b in (s.split(":") for s in got[at].split(",") if s) if kind == "id"]
+        wanted = text.split()[-1] if any(w in text for w in ("emp", "handle42", "acct_991")) else None
+        assert (wanted in found) if wanted else not set(found) & {"item42x"}, text
+
+
 def plain_secrets(text):
     rules = [("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
               lambda m: len(m[1]) >= 8),

@@ -7,7 +7,9 @@ is an *instance* of it.  Patterns and instances form a graph that is scored in
 turns: a pattern's confidence is the mean confidence of its distinct
 instances, an instance's that of a noisy-or over its patterns, and seeds keep
 confidence one.  Instances whose confidence reaches ``ACCEPT`` through patterns
-with enough distinct seeds become additional spans of kind ``id``.
+with enough distinct seeds become additional spans of kind ``id``.  They count
+as seeds from then on, so that further patterns find support, until nothing
+new is accepted.
 
 All of it is DataFrame functions.
 """
@@ -29,9 +31,9 @@ OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TOKEN = r"(?<![^\s,;|\"'()<>])[^\s,;|\"'()<>0-9@]*+[0-9@][^\s,;|\"'()<>]*+"
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS = 3  # distinct seeds that a pattern needs
+MIN_SEEDS = 3  # distinct seeds or accepted instances that a pattern needs
 ACCEPT = 0.8
-ROUNDS = 3
+ROUNDS = 3  # of scoring, before instances are accepted
 MIN_LENGTH = 6
 
 
@@ -86,21 +88,28 @@ def _context(left: Column) -> Column:
 
 def _confident(occurrences: DataFrame) -> DataFrame:
     """Values to accept, from ``context``, ``value``, ``seed`` rows."""
-    edges = (occurrences.filter("context is not null").groupBy("context", "value")
-             .agg(F.max("seed").alias("seed")))
-    supported = edges.groupBy("context").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    edges = stage(edges.join(supported.select("context"), "context"), "pattern-graph")
-    instances = edges.groupBy("value").agg(F.max("seed").cast("double").alias("confidence"))
-    for _ in range(ROUNDS):
-        patterns = (edges.join(instances, "value").groupBy("context")
-                    .agg(F.avg("confidence").alias("strength")))
-        doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.col("strength")))
-        instances = (edges.join(patterns, "context").groupBy("value")
-                     .agg(F.max("seed").alias("seed"), F.sum(doubt).alias("doubt"))
-                     .select("value", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("doubt"))
-                             .alias("confidence")))
-    return (instances.filter(F.col("confidence") >= ACCEPT)
-            .join(edges.filter("seed = 0").select("value").distinct(), "value", "left_semi").select("value"))
+    edges = stage(occurrences.filter("context is not null").groupBy("context", "value")
+                  .agg(F.max("seed").alias("seed")), "pattern-graph")
+    known = stage(edges.filter("seed = 1").select("value", F.lit(1.0).alias("known")).distinct(), "pattern-known")
+    n, before = known.count(), -1
+    while n != before:  # what is accepted stays so, hence this ends
+        supported = (edges.join(known, "value").groupBy("context").agg(F.count("*").alias("n"))
+                     .filter(F.col("n") >= MIN_SEEDS).select("context"))
+        used = stage(edges.join(supported, "context").join(known, "value", "left")
+                     .select("context", "value", "seed", F.coalesce("known", F.lit(0.0)).alias("known")),
+                     "pattern-supported")
+        instances = used.groupBy("value").agg(F.max("known").alias("confidence"))
+        for _ in range(ROUNDS):
+            patterns = (used.join(instances, "value").groupBy("context")
+                        .agg(F.avg("confidence").alias("strength")))
+            doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.col("strength")))
+            instances = (used.join(patterns, "context").groupBy("value")
+                         .agg(F.max("known").alias("known"), F.sum(doubt).alias("doubt"))
+                         .select("value", F.greatest("known", 1 - F.exp("doubt")).alias("confidence")))
+        accepted = instances.filter(F.col("confidence") >= ACCEPT).withColumnRenamed("confidence", "known")
+        known = stage(known.unionByName(accepted).groupBy("value").agg(F.max("known").alias("known")), "pattern-known")
+        n, before = known.count(), n
+    return known.join(used.filter("seed = 0").select("value").distinct(), "value", "left_semi").select("value")
 
 
 def _texts(kind: str, spans: Column) -> Column:

@@ -11,22 +11,24 @@ def find_spans(text: Column, pattern: str, where: Column) -> Column:
     """All leftmost non-overlapping matches as ``{at, upto, match, left}``, where ``where`` holds.
 
     Positions are code points from 0, the end exclusive; ``left`` is the text
-    before the match, back to the previous match and at most
-    ``CONTEXT_CHARS`` long.  Splitting at the pattern gives what lies between
+    before the match, earlier matches included, at most ``CONTEXT_CHARS``
+    long.  Splitting at the pattern gives what lies between
     the matches, so running lengths give the positions.
     """
     matches = F.when(where, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(
         "array<struct<at:int,upto:int,match:string,left:string>>").alias("found"))
     pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("match"))
 
     def step(state: Column, pair: Column) -> Column:
         at = state["pos"] + F.length(pair["gap"])
         upto = at + F.length(pair["match"])
+        left = F.right(F.concat(state["tail"], F.right(pair["gap"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        tail = F.right(F.concat(left, F.right(pair["match"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
         found = F.struct(at.alias("at"), upto.alias("upto"), pair["match"].alias("match"),
-                         F.right(pair["gap"], F.lit(CONTEXT_CHARS)).alias("left"))
-        return F.struct(upto.alias("pos"), F.concat(state["found"], F.array(found)).alias("found"))
+                         left.alias("left"))
+        return F.struct(upto.alias("pos"), tail.alias("tail"), F.concat(state["found"], F.array(found)).alias("found"))
 
     none = F.array().cast("array<struct<at:int,upto:int,match:string,left:string>>")
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda state: state["found"])).otherwise(none)
