@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import (embedding_dedup, exact_dedup, language_id, mixing, packing, pii, quality, secrets, simhash,
-                           url_filter)
+from tidewatch.llm import (embedding_dedup, exact_dedup, hard_negatives, language_id, mixing, packing, periodicity, pii,
+                           quality, secrets, simhash, url_filter)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # Parts of a thousand: the largest source is held back, the sources not named share the rest.
@@ -64,9 +65,31 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def repeated_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by a hash of its id, repeats a stretch of its words up to the end."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicity.run_digests(periodicity.periodic_runs(_read(spark, sf_dir, "documents"), repeated_words))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (op1_mixing, op2_pii, op3_embedding_dedup, op4_packing, op5_exact_dedup,
-                                        op6_simhash, op7_quality, op8_url_filter, op9_language_id, op10_secrets)}
+                                        op6_simhash, op7_quality, op8_url_filter, op9_language_id, op10_secrets,
+                                        op12_hard_negatives, op13_periodic_runs)}
 
 _HOST = r"regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1)"
 
@@ -141,7 +164,28 @@ EMBEDDING_SQL = f"""
     SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
     FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
 
+NEGATIVES_SQL = """
+    WITH usable AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+        CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+      FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec) WHERE a.vec_id % 50 = 0),
+    positives AS (
+      SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other AS negative_id,
+      positive_score, score AS negative_score
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+      AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER best <= 3"""
+
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": NEGATIVES_SQL,
     "op3_embedding_dedup": EMBEDDING_SQL,
     "op8_url_filter": URL_SQL,
     "op5_exact_dedup": """
