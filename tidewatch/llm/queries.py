@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm import (embedding_dedup, exact_dedup, hard_negatives, language_id, mixing, packing, periodicity, pii,
-                           quality, secrets, simhash, url_filter)
+                           quality, secrets, simhash, url_filter, warc)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # Parts of a thousand: the largest source is held back, the sources not named share the rest.
@@ -65,6 +65,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = _read(spark, sf_dir, "embeddings").withColumn("label", moved)
@@ -89,7 +93,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (op1_mixing, op2_pii, op3_embedding_dedup, op4_packing, op5_exact_dedup,
                                         op6_simhash, op7_quality, op8_url_filter, op9_language_id, op10_secrets,
-                                        op12_hard_negatives, op13_periodic_runs)}
+                                        op11_warc, op12_hard_negatives, op13_periodic_runs)}
 
 _HOST = r"regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1)"
 
@@ -185,6 +189,13 @@ NEGATIVES_SQL = """
     QUALIFY row_number() OVER best <= 3"""
 
 ORACLES: dict[str, str] = {
+    "op11_warc": """
+        with seen as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+                        sha256(coalesce(html, '')) as payload_digest from pages),
+             firsts as (select payload_digest, min(page_id) as first from seen where payload_bytes >= 100 group by 1)
+        select page_id, payload_bytes, payload_digest, if(page_id <> first, 'revisit', 'response') as record_type,
+          if(page_id <> first, first, null) as refers_to
+        from seen left join firsts using (payload_digest)""",
     "op12_hard_negatives": NEGATIVES_SQL,
     "op3_embedding_dedup": EMBEDDING_SQL,
     "op8_url_filter": URL_SQL,
