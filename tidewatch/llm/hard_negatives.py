@@ -97,37 +97,51 @@ def _in_long(scores: np.ndarray) -> np.ndarray:
     return np.clip(scores, _LONG.min, _LONG.max).astype(np.int64)
 
 
+class _Found:
+    """Rows that leave a unit, gathered as arrays."""
+
+    def __init__(self, *names: str):
+        self.names, self.parts = names, []
+
+    def add(self, *values) -> None:
+        """Arrays of one length, and numbers that hold for all of it."""
+        n = max((len(x) for x in values if isinstance(x, np.ndarray)), default=0)
+        if n:
+            self.parts.append([x if isinstance(x, np.ndarray) else np.full(n, x) for x in values])
+
+    def frame(self) -> pd.DataFrame:
+        columns = [np.concatenate(x) for x in zip(*self.parts)] or [np.zeros(0, np.int64)] * len(self.names)
+        return pd.DataFrame(dict(zip(self.names, columns, strict=True)))
+
+
 def _positives(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def find(unit: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = _Found("row", "anchor_id", "positive_id", "other", "score")
         for anchors, others, packed in _blocks(unit, ["dims", "label"]):
             rows, ids = others.row.to_numpy(), others.vec_id.to_numpy()
-            for anchor in anchors.itertuples():
-                scores = packed.scores([int(x) for x in anchor.vec])
-                best = _best(scores, np.flatnonzero(rows != anchor.row), n)
-                out.append(pd.DataFrame({"row": anchor.row, "anchor_id": anchor.vec_id, "positive_id": ids[best],
-                                         "other": rows[best], "score": _in_long(scores[best])}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {name: [] for name in ("row", "anchor_id", "positive_id", "other", "score")})
+            for row, anchor_id, vec in zip(anchors.row, anchors.vec_id, anchors.vec, strict=True):
+                scores = packed.scores([int(x) for x in vec])
+                best = _best(scores, np.flatnonzero(rows != row), n)
+                found.add(row, anchor_id, ids[best], rows[best], _in_long(scores[best]))
+        return found.frame()
     return find
 
 
 def _negatives(n: int, low: int, high: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def find(unit: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = _Found("row", "positive_score", "negative_id", "other", "score")
         for anchors, others, packed in _blocks(unit, ["dims"]):
             rows, ids, labels = others.row.to_numpy(), others.vec_id.to_numpy(), others.label.to_numpy()
-            for anchor in anchors.itertuples():
-                scores = packed.scores([int(x) for x in anchor.vec])
-                differs = labels != anchor.label
-                for positive in map(int, anchor.wanted):
-                    inside = differs & (scores >= -(-low * positive // 100)) & (scores <= high * positive // 100)
-                    best = _best(scores, np.flatnonzero(inside), n)
-                    if len(best):
-                        out.append(pd.DataFrame({"row": anchor.row, "positive_score": positive, "negative_id": ids[best],
-                                                 "other": rows[best], "score": _in_long(scores[best])}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {name: [] for name in ("row", "positive_score", "negative_id", "other", "score")})
+            for label, same in anchors.groupby("label", sort=False):
+                differ = np.flatnonzero(labels != label)
+                for row, vec, wanted in zip(same.row, same.vec, same.wanted, strict=True):
+                    scores = packed.scores([int(x) for x in vec])[differ]
+                    for positive in map(int, wanted):
+                        least, most = -(-low * positive // 100), high * positive // 100
+                        inside = np.flatnonzero((scores >= least) & (scores <= most))
+                        best = _best(scores, inside, n)
+                        found.add(row, positive, ids[differ[best]], rows[differ[best]], _in_long(scores[best]))
+        return found.frame()
     return find
 
 
