@@ -59,13 +59,14 @@ def test_staged_tables_live_below_the_shared_folder(spark, tmp_path, monkeypatch
     assert not list(tmp_path.rglob("*.parquet"))
 
 
-def test_plans_split_by_address_and_time(spark, sf):
-    """Rows are never shuffled by the address alone; only span summaries are."""
-    plan = driver.queries()["event_correlation"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_key" in plan and "_span" in plan
-    by_key_only = [text for text in plan.split("Exchange hashpartitioning(")[1:]
-                   if "_span" not in text.split(")")[0]]
-    assert len(by_key_only) == 1  # the fold over span summaries
+def test_plans_split_by_address_and_block(spark, sf):
+    """Rows are never shuffled by the address alone; only block summaries of few addresses are."""
+    from tidewatch.operators.correlation import correlate
+    from verification.queries import Inputs
+    plan = correlate(Inputs(spark, sf).live, 6)._jdf.queryExecution().executedPlan().toString()
+    by_key = [text.split(")")[0] for text in plan.split("Exchange hashpartitioning(")[1:]]
+    assert any("_block" in keys for keys in by_key) and all(keys.startswith("_key") for keys in by_key)
+    assert len([keys for keys in by_key if "_block" not in keys]) == 1  # the fold over block summaries
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 

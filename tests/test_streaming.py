@@ -65,7 +65,7 @@ def batch_run(spark, path):
     valid, _ = validate.split_valid(validate.parse_logs(read_log_text(spark, path)))
     logs = predicted(enrich.enrich_logs(valid)).filter(F.col("ts") < F.lit(FAR))
     logs = logs.withColumn("id", F.col("id").cast("int"))
-    return detection.detect(logs, staged=False, span_seconds=900)
+    return detection.detect(logs, staged=False, blocks=5)
 
 
 def test_stream_equals_batch(spark, tmp_path):

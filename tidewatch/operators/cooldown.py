@@ -1,19 +1,25 @@
-"""Per-address alert cooldown, split over time spans.
+"""Per-address alert cooldown, split over blocks of equal count.
 
 An alert passes when the time since the last passed alert of its address has
 reached the cooldown of its own severity, so each decision depends on
-earlier ones.  Two facts make it parallel and exact:
+earlier ones.  Three facts make it parallel and exact:
 
 * with ``ready = time - cooldown``, the alert following one passed at ``t`` is
   the first row whose ``ready`` is at least ``t``; such a row is always a new
   running maximum of ``ready``, so all other rows can be dropped by a window;
-* only alerts of the last 300 s matter at the start of a span, so a span acts
-  as a step function from "last passed before" to "last passed inside".
-
-The step functions are computed per (address, span), applied in order per
-address, and the spans then decide their rows.  A step function has at most
-one row per distinct candidate time in the first 300 s of its span, fewer as
-its steps run together, so the ordered part reads a small share of the rows.
+* a block acts on what lies before it only through one number, the time of
+  the last pass, and as a *step function* of it: "last passed before" to
+  "last passed inside".  Step functions compose, and composition is
+  associative;
+* a step matters only if an earlier row of the address has a time that leads
+  to it, and only within the longest cooldown before the block.
+
+So every block of an address that crosses blocks becomes a step function, the
+functions are composed in a tree whose nodes take ``FAN`` neighbours each, the
+tree is walked down again to find the last pass before every block, and then
+all blocks decide their rows in parallel.  Addresses inside one block need
+none of that.  A node holds the steps of at most ``FAN`` nodes below it, after
+those that no earlier row leads to are left out.
 """
 
 from __future__ import annotations
@@ -21,15 +27,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions.columns import lookup
-from tidewatch.operators.spans import MICROS, SPAN_COLUMNS, SPAN_SECONDS, before, span_order, with_span
+from tidewatch.operators.blocks import (BLOCK_COLUMNS, MICROS, before, block_order, crossing, only, with_block_value,
+                                        with_blocks)
+from tidewatch.session import stage
 
+FAN_BITS = 5
+FAN = 1 << FAN_BITS
 _LONGEST = max(K.COOLDOWN_SECONDS.values()) * MICROS
-_HELPERS = [*SPAN_COLUMNS, "_ready", "_first", "_last"]
+_SLOT = _LONGEST // 1024  # earlier rows are told by their first and last time in such a slot
+_NEVER = np.iinfo(np.int64).min
+_HELPERS = [*BLOCK_COLUMNS, "_ready", "_first", "_last"]
+_STEPS = "_key string, _node long, _upto long, _result long"
 
 
 def cooldown_seconds(severity: Column) -> Column:
@@ -37,54 +51,157 @@ def cooldown_seconds(severity: Column) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Rows that set a new maximum of ``_ready`` in their span; ``_first`` opens a span."""
-    highest = F.max("_ready").over(before(span_order()))
+    """Rows that set a new maximum of ``_ready`` in their block; ``_first`` opens a block of an address."""
+    highest = F.max("_ready").over(before(block_order()))
     rows = rows.withColumn("_highest", highest)
     rows = rows.withColumn("_first", F.col("_highest").isNull())
     return rows.filter(F.col("_first") | (F.col("_ready") > F.col("_highest"))).drop("_highest")
 
 
+class Steps:
+    """Step function of the last pass: entered with ``last``, the first step whose ``upto`` reaches it tells the result.
+
+    Beyond the last step nothing passes, and ``last`` stays.
+    """
+
+    def __init__(self, upto: np.ndarray, result: np.ndarray):
+        # neighbouring steps with one result are one step
+        keep = np.append(result[1:] != result[:-1], True)[:len(result)]
+        self.upto, self.result = upto[keep], result[keep]
+
+    def __call__(self, last: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.upto, last)
+        inside = np.minimum(at, len(self.upto) - 1)
+        return np.where(at < len(self.upto), self.result[inside], last)
+
+    def then(self, later: Steps) -> Steps:
+        """Both, one after the other."""
+        fresh = later.upto > self.upto[-1]
+        return Steps(np.concatenate([self.upto, later.upto[fresh]]),
+                     np.concatenate([later(self.result), later.result[fresh]]))
+
+    def frame(self, key: str, node: int) -> pd.DataFrame:
+        return pd.DataFrame({"_key": key, "_node": node, "_upto": self.upto, "_result": self.result})
+
+
+def _jump_to_end(follower: np.ndarray) -> np.ndarray:
+    """The last candidate reached from each one; ``follower`` is the candidate itself where none follows."""
+    while True:
+        further = follower[follower]
+        if np.array_equal(further, follower):
+            return follower
+        follower = further
+
+
+def _block_steps(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The step function of one block, without the steps that no earlier row leads to."""
+    mine = rows[rows._own].sort_values("_ready")
+    us, ready = mine._us.to_numpy(), mine._ready.to_numpy()
+    at = np.searchsorted(ready, us)
+    reach = _jump_to_end(np.where(at < len(us), at, np.arange(len(us))))
+    since = np.concatenate([[_NEVER], ready[:-1]])  # a step takes what lies behind this, up to ready
+    earlier = rows[~rows._own].sort_values("_us")
+    low, high = earlier._earlier.to_numpy(), earlier._us.to_numpy()
+    slot = np.searchsorted(high, since, side="right")
+    reached = slot < len(high)
+    reached[reached] = low[slot[reached]] <= ready[reached]
+    reached[0] = True  # also taken when nothing has passed before
+    return Steps(ready[reached], us[reach[reached]]).frame(key[0], int(key[1]))
+
+
+def _functions(rows: pd.DataFrame) -> list[tuple[int, Steps]]:
+    """The nodes of one group in their order."""
+    ordered = rows.sort_values(["_node", "_upto"])
+    return [(int(node), Steps(part._upto.to_numpy(), part._result.to_numpy()))
+            for node, part in ordered.groupby("_node", sort=True)]
+
+
+def _composed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    parts = [steps for _, steps in _functions(rows)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.then(part)
+    return whole.frame(key[0], int(key[1]))
+
+
+def _walked(key: tuple, entered: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The last pass before each node of a group, given the one before the group (none for an address's first)."""
+    last = np.array([entered._last.iloc[0] if len(entered) else _NEVER], np.int64)
+    out = []
+    for node, steps in _functions(rows) if len(rows) else []:
+        if last[0] != _NEVER:
+            out.append((key[0], node, int(last[0])))
+        last = steps(last)
+    return pd.DataFrame(out, columns=["_key", "_node", "_last"])
+
+
+def _led_to(candidates: DataFrame) -> DataFrame:
+    """Times of earlier rows that can matter to each block, as ``_earlier`` to ``_us`` of a slot."""
+    starts = candidates.groupBy("_key", "_block").agg(F.min("_us").alias("_start"))  # two rows per block at most
+    window = F.floor(F.col("_us") / _LONGEST)
+    slots = (candidates.groupBy("_key", F.floor(F.col("_us") / _SLOT).alias("_slot"), window.alias("_window"), "_block")
+             .agg(F.min("_us").alias("_earlier"), F.max("_us").alias("_us")))
+    place = F.floor(F.col("_start") / _LONGEST)
+    wanted = starts.select("_key", F.col("_block").alias("_for"), "_start", F.explode(F.array(place - 1, place)).alias("_window"))
+    return (slots.join(F.broadcast(wanted), ["_key", "_window"])
+            .filter((F.col("_block") < F.col("_for")) & (F.col("_us") > F.col("_start") - _LONGEST))
+            .groupBy("_key", F.col("_for").alias("_block"), "_slot")
+            .agg(F.min("_earlier").alias("_earlier"), F.max("_us").alias("_us")))
+
+
+def _last_before(candidates: DataFrame, fan_bits: int) -> DataFrame:
+    """``_last``, the time of the last pass before a block, for (address, block) where there is one."""
+    mine = candidates.select("_key", "_block", "_us", "_ready")
+    unused = F.lit(0).cast("long")
+    both = mine.withColumns({"_earlier": unused, "_own": F.lit(True)}).unionByName(
+        _led_to(mine).drop("_slot").withColumns({"_ready": unused, "_own": F.lit(False)}))
+    levels = [stage(both.groupBy("_key", "_block").applyInPandas(_block_steps, _STEPS), "steps")]
+    top = levels[0].agg(F.max("_node")).first()[0]
+    group = F.shiftright("_node", fan_bits).alias("_node")
+    while top >> fan_bits:
+        top >>= fan_bits
+        levels.append(stage(levels[-1].groupBy("_key", group).applyInPandas(_composed, _STEPS), "steps"))
+    entered = candidates.sparkSession.createDataFrame([], "_key string, _node long, _last long")
+    for level in reversed(levels):
+        entered = entered.groupBy("_key", "_node").cogroup(level.groupBy("_key", group)).applyInPandas(
+            _walked, "_key string, _node long, _last long")
+    return stage(entered.withColumnRenamed("_node", "_block"), "entered")
+
+
 class _Batch:
     """Array view of one Arrow batch of candidates: which follows which inside the batch.
 
-    Segment 0 continues the span of the batch before; every ``_first`` row
+    Segment 0 continues the block of the batch before; every ``_first`` row
     opens the next segment.
     """
 
-    def __init__(self, batch: pa.RecordBatch, width: int):
+    def __init__(self, batch: pa.RecordBatch):
         def array(name: str) -> np.ndarray:
             return batch.column(name).to_numpy(zero_copy_only=False)
 
         self.first = array("_first").astype(bool)
-        self.us, self.ready, self.start = array("_us"), array("_ready"), array("_span")
+        self.us, self.ready = array("_us"), array("_ready")
         self.segment = np.cumsum(self.first)
         self.continues = not self.first[0]
         self.final = self.segment == self.segment[-1]
-        self._stride = width + 2 * _LONGEST
-        self._line = self.segment * self._stride + (self.ready - self.start + _LONGEST)
-        self.follower = self.first_ready(self.segment, self.us - self.start, np.arange(len(self.us)))
-
-    def first_ready(self, segment, offset, otherwise) -> np.ndarray:
-        """Index of the segment's first candidate ready at ``offset``, else ``otherwise``."""
-        wanted = segment * self._stride + np.maximum(offset + _LONGEST, 0)
-        at = np.searchsorted(self._line, wanted, side="left")
+        self._levels = np.unique(self.ready)
+        self._line = self._place(self.segment, self.ready)
+        self.follower = self.first_ready(self.segment, self.us, np.arange(len(self.us)))
+
+    def _place(self, segment: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """Numbers in the order of (segment, time)."""
+        return segment * (len(self._levels) + 1) + np.searchsorted(self._levels, time)
+
+    def first_ready(self, segment, time, otherwise) -> np.ndarray:
+        """Index of the segment's first candidate ready at ``time``, else ``otherwise``."""
+        at = np.searchsorted(self._line, self._place(segment, time))
         inside = np.minimum(at, len(self.us) - 1)
         found = (at < len(self.us)) & (self.segment[inside] == segment)
         return np.where(found, inside, otherwise)
 
-    def last_reached(self) -> np.ndarray:
-        """For each candidate, the last one passed if it is passed itself."""
-        reach = self.follower
-        while True:
-            further = reach[reach]
-            if np.array_equal(further, reach):
-                return reach
-            reach = further
-
     def passed(self, opening: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Mask of passed candidates; segments begin at ``opening`` with ``last`` passed before."""
-        at = self.first_ready(self.segment[opening], last - self.start[opening],
-                              np.full(len(opening), -1))
+        at = self.first_ready(self.segment[opening], last, np.full(len(opening), -1))
         at = at[at >= 0]
         mask = np.zeros(len(self.us), dtype=bool)
         while len(at):
@@ -94,147 +211,36 @@ class _Batch:
         return mask
 
 
-class _OpenSpan:
-    """Step function of a span that may go on in the next batch."""
-
-    def __init__(self, key, start: int, upto: np.ndarray, result: np.ndarray, ready: int):
-        self.key, self.start, self.upto, self.result, self.ready = key, start, upto, result, ready
-
-    def extend(self, upto: np.ndarray, result: np.ndarray) -> None:
-        self.upto = np.concatenate([self.upto, upto])
-        self.result = np.concatenate([self.result, result])
-        # neighbouring steps with one result are one step
-        keep = np.append(self.result[1:] != self.result[:-1], True)
-        self.upto, self.result = self.upto[keep], self.result[keep]
-
-    def advance(self, batch: _Batch, reach: np.ndarray) -> None:
-        """Carry every step through the batch's continuing segment."""
-        zeros = np.zeros(len(self.result), dtype=np.int64)
-        at = batch.first_ready(zeros, self.result - self.start, np.full(len(zeros), -1))
-        self.result = np.where(at >= 0, batch.us[reach[at]], self.result)
-
-    def rows(self) -> pa.RecordBatch:
-        return _steps(pa.array([self.key] * len(self.upto), pa.string()),
-                      np.full(len(self.upto), self.start), self.upto, self.result)
-
-
-def _steps(keys, start, upto, result) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(upto), pa.array(result)],
-                                      names=["_key", "_span", "_upto", "_result"])
-
-
-def _step_functions(width: int):
-    """Kernel: candidates ordered per span -> rows (span, upto, result).
-
-    A span entered with the last pass at L ends with ``result`` of the first
-    row whose ``upto`` is at least L, or with L itself when there is none.
-    Memory is one batch and the steps of one span.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: _OpenSpan | None = None
-        for record in batches:
-            if not record.num_rows:
-                continue
-            batch = _Batch(record, width)
-            reach = batch.last_reached()
-            result = batch.us[reach]
-            before = held.ready if held and batch.continues else 0
-            earlier = np.concatenate([[before], batch.ready[:-1]])
-            entry = batch.first | (earlier < batch.start)
-            key = record.column("_key")
-            if batch.continues:
-                held.advance(batch, reach)
-                mine = entry & (batch.segment == 0)
-                held.extend(batch.ready[mine], result[mine])
-                held.ready = int(batch.ready[batch.segment == 0][-1])
-                if batch.final[0]:
-                    continue
-            if held:
-                yield held.rows()
-            closed = np.flatnonzero(entry & ~batch.final & (batch.segment > 0))
-            if len(closed):
-                same = ((batch.segment[closed][1:] == batch.segment[closed][:-1])
-                        & (result[closed][1:] == result[closed][:-1]))
-                closed = closed[np.append(~same, True)]
-                yield _steps(key.take(pa.array(closed)), batch.start[closed], batch.ready[closed], result[closed])
-            mine = entry & batch.final
-            held = _OpenSpan(key[record.num_rows - 1].as_py(), int(batch.start[-1]),
-                             np.zeros(0, np.int64), np.zeros(0, np.int64), int(batch.ready[-1]))
-            held.extend(batch.ready[mine], result[mine])
-        if held:
-            yield held.rows()
-    return run
-
-
-def _apply_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: step functions ordered per address -> last pass before each span."""
-    last, taken = None, False
-    for batch in batches:
-        new_key = batch.column("_new_key").to_pylist()
-        new_span = batch.column("_new_span").to_pylist()
-        upto, result = batch.column("_upto").to_pylist(), batch.column("_result").to_pylist()
-        rows, values = [], []
-        for i in range(batch.num_rows):
-            if new_key[i]:
-                last = None
-            if new_span[i]:
-                taken = False
-                if last is not None:
-                    rows.append(i)
-                    values.append(last)
-            if not taken and (last is None or upto[i] >= last):
-                last, taken = result[i], True
-        picked = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_key").take(picked), batch.column("_span").take(picked),
-             pa.array(values, pa.int64())], names=["_key", "_span", "_last"])
-
-
-def _decide(width: int):
-    """Kernel: candidates with the last pass before their span -> passed rows, batch by batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
-        for record in batches:
-            if not record.num_rows:
-                continue
-            batch = _Batch(record, width)
-            opening = np.flatnonzero(batch.first)
-            before = record.column("_last").to_numpy()[opening]
-            if batch.continues:
-                opening, before = np.append(0, opening), np.append(last, before)
-            mask = batch.passed(opening, before)
-            recent = batch.us[mask & batch.final]
-            last = int(recent[-1]) if len(recent) else int(before[-1])
-            yield record.filter(pa.array(mask))
-    return run
-
-
-def _last_before(candidates: DataFrame, width: int) -> DataFrame:
-    steps = candidates.select("_key", "_span", "_us", "_ready", "_first").mapInArrow(
-        _step_functions(width), "_key string, _span long, _upto long, _result long")
-    order = Window.partitionBy("_key").orderBy("_span", "_upto")
-    steps = steps.withColumn("_before", F.lag("_span").over(order))
-    steps = steps.withColumns({
-        "_new_key": F.col("_before").isNull(),
-        "_new_span": F.col("_before").isNull() | (F.col("_before") != F.col("_span"))})
-    return steps.drop("_before").mapInArrow(
-        _apply_in_order, "_key string, _span long, _last long")
-
-
-def alert_cooldown(alerts: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates with the last pass before their block -> passed rows, batch by batch."""
+    last = _NEVER
+    for record in batches:
+        if not record.num_rows:
+            continue
+        batch = _Batch(record)
+        opening = np.flatnonzero(batch.first)
+        earlier = record.column("_last").to_numpy()[opening]
+        if batch.continues:
+            opening, earlier = np.append(0, opening), np.append(last, earlier)
+        mask = batch.passed(opening, earlier)
+        recent = batch.us[mask & batch.final]
+        last = int(recent[-1]) if len(recent) else int(earlier[-1])
+        yield record.filter(pa.array(mask))
+
+
+def alert_cooldown(alerts: DataFrame, blocks: int | None = None, fan_bits: int = FAN_BITS) -> DataFrame:
     """Rows of ``alerts`` that pass the cooldown of their address.
 
     ``alerts`` needs ``src_ip``, ``ts``, ``id`` and ``severity``; all of its
     columns are kept.  Ties in time are ordered by ``id``.
     """
-    width = span_seconds * MICROS
-    rows = with_span(alerts, span_seconds)
-    rows = rows.withColumn(
+    rows = with_blocks(alerts, blocks).withColumn(
         "_ready", F.col("_us") - cooldown_seconds(F.col("severity")) * F.lit(MICROS))
-    carried = _last_before(_candidates(rows), width)
-    # a carry older than the longest cooldown has no effect, like no carry at all
-    rows = rows.join(carried, ["_key", "_span"], "left")
-    rows = rows.withColumn(
-        "_last", F.coalesce(F.col("_last"), F.col("_span") - F.lit(2 * _LONGEST)))
+    keys = crossing(rows)
     candidates = _candidates(rows)
-    return candidates.mapInArrow(_decide(width), candidates.schema).drop(*_HELPERS)
+    if keys is None:
+        candidates = candidates.withColumn("_last", F.lit(_NEVER))
+    else:
+        entered = _last_before(_candidates(only(rows.select("_key", "_block", "_us", "_ready", "id"), keys)), fan_bits)
+        candidates = with_block_value(candidates, entered).withColumn("_last", F.coalesce("_last", F.lit(_NEVER)))
+    return candidates.mapInArrow(_decide, candidates.schema).drop(*_HELPERS)

@@ -3,10 +3,11 @@
 A session ends when more than 300 s pass without an event.  The count is
 exact and needs no per-address task over raw rows:
 
-1. per (address, span): local sessions by window functions;
-2. per (address, span): one summary row, folded over the spans of an address
-   to learn how many events of a still open session precede the span;
-3. that carry is added to the rows of the span's first local session.
+1. per (address, block): local sessions by window functions;
+2. for addresses that cross blocks, one summary row per block, folded over the
+   blocks of an address to learn how many events of a still open session
+   precede the block;
+3. that carry is added to the rows of the block's first local session.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch import constants as K
-from tidewatch.operators.spans import (MICROS, SPAN_COLUMNS, SPAN_SECONDS, gap_exceeds, so_far,
-                                       span_order, with_span)
+from tidewatch.operators.blocks import (BLOCK_COLUMNS, MICROS, block_order, crossing, gap_exceeds, only, so_far,
+                                        with_block_value, with_blocks)
 
 _HELPERS = ["_row", "_open", "_breaks", "_carry"]
 
 
-def _local_sessions(events: DataFrame, span_seconds: int) -> DataFrame:
-    order = span_order()
-    rows = with_span(events, span_seconds).withColumns({
+def _local_sessions(rows: DataFrame) -> DataFrame:
+    order = block_order()
+    rows = rows.withColumns({
         "_row": F.row_number().over(order),
         "_breaks": gap_exceeds(order, K.CORRELATION_GAP_SECONDS)})
     # row number at which the current local session began
@@ -31,23 +32,23 @@ def _local_sessions(events: DataFrame, span_seconds: int) -> DataFrame:
 
 
 def _carried(rows: DataFrame) -> DataFrame:
-    """(address, span, events of the open session before the span), non-zero only."""
-    spans = rows.groupBy("_key", "_span").agg(
+    """(address, block, events of the open session before the block), non-zero only."""
+    blocks = rows.groupBy("_key", "_block").agg(
         F.count("*").alias("_n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"),
         F.max("_open").alias("_tail_open"))
-    order = Window.partitionBy("_key").orderBy("_span")
+    order = Window.partitionBy("_key").orderBy("_block")
     joins = F.coalesce(
         F.col("_from") - F.lag("_to").over(order) <= K.CORRELATION_GAP_SECONDS * MICROS,
         F.lit(False))
-    spans = spans.withColumn("_joins", joins).withColumn(
+    blocks = blocks.withColumn("_joins", joins).withColumn(
         "_add", F.col("_n") - F.col("_tail_open") + 1)
     starts_new = ~F.col("_joins") | (F.col("_tail_open") > 1)
-    spans = spans.withColumn("_sum", F.sum("_add").over(so_far(order)))
+    blocks = blocks.withColumn("_sum", F.sum("_add").over(so_far(order)))
     floor = F.max(F.when(starts_new, F.col("_sum") - F.col("_add"))).over(so_far(order))
-    spans = spans.withColumn("_tail", F.col("_sum") - floor)
+    blocks = blocks.withColumn("_tail", F.col("_sum") - floor)
     carry = F.when(F.col("_joins"), F.lag("_tail").over(order))
-    return (spans.withColumn("_carry", carry)
-                 .filter(F.col("_carry") > 0).select("_key", "_span", "_carry"))
+    return (blocks.withColumn("_carry", carry)
+                  .filter(F.col("_carry") > 0).select("_key", "_block", "_carry"))
 
 
 def correlation_points(repeat_count: Column) -> Column:
@@ -57,20 +58,25 @@ def correlation_points(repeat_count: Column) -> Column:
     return points
 
 
-def correlate(events: DataFrame, span_seconds: int = SPAN_SECONDS, keep_spans: bool = False) -> DataFrame:
+def correlate(events: DataFrame, blocks: int | None = None, keep_blocks: bool = False) -> DataFrame:
     """Add ``repeat_count`` and ``correlation_points`` to scored events.
 
     ``events`` needs ``src_ip``, ``ts`` and ``id`` and should hold only
-    anomalous, unsuppressed rows.  ``keep_spans`` leaves the span columns for
-    a cooldown with the same ``span_seconds``.
+    anomalous, unsuppressed rows.  ``keep_blocks`` leaves the block columns
+    for a cooldown over the same layout.
     """
-    rows = _local_sessions(events, span_seconds)
-    rows = rows.join(_carried(rows), ["_key", "_span"], "left")
+    events = with_blocks(events, blocks)
+    keys = crossing(events)
+    rows = _local_sessions(events)
+    if keys is None:
+        rows = rows.withColumn("_carry", F.lit(None).cast("long"))
+    else:
+        rows = with_block_value(rows, _carried(_local_sessions(only(events, keys))))
     position = F.col("_row") - F.col("_open") + 1
     carry = F.when(F.col("_open") == 1, F.coalesce(F.col("_carry"), F.lit(0))).otherwise(0)
     rows = rows.withColumn("repeat_count", (position + carry).cast("long"))
     rows = rows.withColumn("correlation_points", correlation_points(F.col("repeat_count")))
-    return rows.drop(*_HELPERS, *([] if keep_spans else SPAN_COLUMNS))
+    return rows.drop(*_HELPERS, *([] if keep_blocks else BLOCK_COLUMNS))
 
 
 def ip_history_size(correlated: DataFrame) -> DataFrame:
@@ -80,15 +86,16 @@ def ip_history_size(correlated: DataFrame) -> DataFrame:
     return latest.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ip_history_size"))
 
 
-def gap_sessions(events: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def gap_sessions(events: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row per gap session: src_ip, first_ts, last_ts, events.
 
-    Sessions are first formed inside spans, so an address contributes at most
-    a few rows per span to the step that joins them.
+    Sessions are first formed inside blocks.  Only the first and the last one
+    of a block can go on in another, so the step that joins them sees inner
+    sessions of an address as finished rows.
     """
-    local = _local_sessions(events, span_seconds).groupBy("_key", "_span", "_open").agg(
+    local = _local_sessions(with_blocks(events, blocks)).groupBy("_key", "_block", "_open").agg(
         F.min("_us").alias("_from"), F.max("_us").alias("_to"), F.count("*").alias("_n"))
-    order = Window.partitionBy("_key").orderBy("_from")
+    order = Window.partitionBy("_key").orderBy("_block", "_from")
     apart = F.coalesce(
         F.col("_from") - F.lag("_to").over(order) > K.CORRELATION_GAP_SECONDS * MICROS, F.lit(False))
     numbered = local.withColumn("_apart", apart.cast("int")).withColumn(

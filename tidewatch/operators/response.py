@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch import constants as K
 from tidewatch.functions.columns import iso_utc
 from tidewatch.operators.cooldown import alert_cooldown
-from tidewatch.operators.spans import SPAN_SECONDS
 
 ALERT_INPUT = ["id", "ts", "severity", "threat_score", "src_ip", "dst_ip", "event_type",
                "message", "anomaly_score", "confidence", "factors"]
@@ -57,9 +56,9 @@ def create_alerts(passed: DataFrame) -> DataFrame:
         F.col("id").alias("log_id"), "ts")
 
 
-def respond(scored: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def respond(scored: DataFrame, blocks: int | None = None) -> DataFrame:
     """Alerts of all scored rows that pass the gate and the cooldown."""
-    return create_alerts(alert_cooldown(response_gate(scored), span_seconds))
+    return create_alerts(alert_cooldown(response_gate(scored), blocks))
 
 
 def action_rows(alerts: DataFrame) -> DataFrame:

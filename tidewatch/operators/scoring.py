@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch import constants as K
 from tidewatch.functions import columns as C
 from tidewatch.operators.correlation import correlate
-from tidewatch.operators.spans import SPAN_SECONDS
-from tidewatch.session import stage
 
 
 def gate() -> Column:
@@ -120,17 +118,11 @@ def quiet_rows(evaluated: DataFrame) -> DataFrame:
     return quiet.withColumn("factors", _factors(F.lit(False)))
 
 
-def score_live(evaluated: DataFrame, staged: bool = True,
-               span_seconds: int = SPAN_SECONDS) -> DataFrame:
-    """Scored rows only.  Correlation reads its input twice, so it is staged by default."""
-    live = live_rows(evaluated)
-    if staged:
-        live = stage(live, "live")
-    return finish_live(correlate(live, span_seconds))
+def score_live(evaluated: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Scored rows only."""
+    return finish_live(correlate(live_rows(evaluated), blocks))
 
 
-def threat_score(evaluated: DataFrame, staged: bool = True,
-                 span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def threat_score(evaluated: DataFrame, blocks: int | None = None) -> DataFrame:
     """Every row with points, ``threat_score``, ``severity`` and ``factors``."""
-    live = score_live(evaluated, staged, span_seconds)
-    return live.unionByName(quiet_rows(evaluated))
+    return score_live(evaluated, blocks).unionByName(quiet_rows(evaluated))

@@ -13,7 +13,7 @@ from tidewatch.operators.predict import predict_logs
 from tidewatch.operators.response import ALERT_INPUT, alert_id, create_alerts, response_gate
 from tidewatch.operators.scoring import finish_live, gate, live_rows, quiet_rows
 from tidewatch.operators.correlation import correlate
-from tidewatch.operators.spans import SPAN_COLUMNS, SPAN_SECONDS
+from tidewatch.operators.blocks import BLOCK_COLUMNS, with_blocks
 from tidewatch.session import stage
 
 
@@ -37,35 +37,32 @@ class Detection:
         return self.live.unionByName(quiet_rows(self.evaluated))
 
 
-def detect(predicted: DataFrame, staged: bool = True, span_seconds: int = SPAN_SECONDS) -> Detection:
+def detect(predicted: DataFrame, staged: bool = True, blocks: int | None = None) -> Detection:
     """Context, score and response over enriched logs that carry an anomaly result.
 
     The live rows, the small share the model flagged and no rule suppressed,
-    are written once before correlation, which reads them twice, and once
-    after it, so that the run, the cooldown and the alerts share one
-    correlation.
+    are laid out in blocks once, for correlation and cooldown, and written
+    again after correlation, so that the run, the cooldown and the alerts
+    share one correlation.
     """
     evaluated = evaluate_context(predicted)
-    live = live_rows(evaluated)
-    if staged:
-        live = stage(live, "live")
-    live = finish_live(correlate(live, span_seconds, keep_spans=True))
+    live = finish_live(correlate(with_blocks(live_rows(evaluated), blocks), keep_blocks=True))
     if staged:
         live = stage(live, "scored-live")
     # only what an alert shows goes through the cooldown
-    due = response_gate(live).select(*ALERT_INPUT, *SPAN_COLUMNS)
-    passed = alert_cooldown(due, span_seconds)
-    return Detection(evaluated, live.drop(*SPAN_COLUMNS), passed)
+    due = response_gate(live).select(*ALERT_INPUT, *BLOCK_COLUMNS)
+    passed = alert_cooldown(due)
+    return Detection(evaluated, live.drop(*BLOCK_COLUMNS), passed)
 
 
 def predict_and_detect(enriched: DataFrame, model: Model | None, staged: bool = True,
-                       span_seconds: int = SPAN_SECONDS) -> Detection:
+                       blocks: int | None = None) -> Detection:
     """Full run with a fitted model.  Model scores are the costly part, so all
     evaluated rows are staged once and every later step reads that table."""
     predicted = predict_logs(enriched, model)
     if staged:
         predicted = stage(predicted, "predicted")
-    return detect(predicted, staged, span_seconds)
+    return detect(predicted, staged, blocks)
 
 
 def run_logs(run: Detection) -> DataFrame:
