@@ -20,7 +20,7 @@ from tidewatch.sources.datasets import path_exists
 from tidewatch.sources.sinks import overwrite_batch
 from tidewatch.streaming.processor import follow_addresses
 
-# stays ahead of disorder between sources; live rows later than this are not scored, see late_rows
+# stays ahead of disorder between sources; live rows later than this are set apart unscored, see late_rows
 DEFAULT_DELAY = "60 seconds"
 _CLOCK = "_clock"
 _SHOWN = ["id", "timestamp", "src_ip", "dst_ip", "event_type", "log_level", "message", "ts"]
@@ -38,6 +38,8 @@ def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column |
     ``passed`` marks the rows that raise an alert.  Only readable timestamps
     that are not ahead of ``now`` (by default the time of the batch) move the
     watermark, so a log with a broken or future time cannot make others late.
+    ``late`` marks live rows whose readable time is behind the watermark when
+    they arrive; they come out at once, without score, severity and factors.
     """
     use_rocksdb_state(predicted.sparkSession)
     evaluated = evaluate_context(predicted)
@@ -47,7 +49,9 @@ def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column |
     followed = follow_addresses(live, _CLOCK)
     scored = finish_live(followed.withColumn(
         "correlation_points", correlation_points(F.col("repeat_count"))))
-    quiet = quiet_rows(evaluated).withColumn("passed", F.lit(False))
+    scored = scored.withColumns({name: F.when(~F.col("late"), F.col(name))
+                                 for name in ("correlation_points", "threat_score", "severity", "factors")})
+    quiet = quiet_rows(evaluated).withColumns({"passed": F.lit(False), "late": F.lit(False)})
     return scored.unionByName(quiet)
 
 
@@ -60,10 +64,13 @@ def _totals(spark: SparkSession, counters: DataFrame, root: str, batch_id: int)
 
 
 def fan_out(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` target: logs, alerts, audit rows, and counters as changes and as running totals."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    """``foreachBatch`` target: logs, alerts, audit rows, late rows, and counters as changes and as running totals."""
+    def write(everything: DataFrame, batch_id: int) -> None:
+        everything = everything.persist()
+        batch = everything.filter(~F.col("late"))
         try:
+            shown = [F.col(n).cast("string") if n == "id" else F.col(n) for n in _SHOWN]
+            overwrite_batch(everything.filter("late").select(*shown), f"{root}/late", batch_id)
             overwrite_batch(log_payload(batch), f"{root}/logs", batch_id)
             alerts = create_alerts(batch.filter("passed"))
             overwrite_batch(alerts, f"{root}/alerts", batch_id)
@@ -78,7 +85,7 @@ def fan_out(root: str) -> Callable[[DataFrame, int], None]:
             stored = batch.sparkSession.read.parquet(f"{root}/stats/batch_id={batch_id}")
             overwrite_batch(_totals(batch.sparkSession, stored, root, batch_id), f"{root}/totals", batch_id)
         finally:
-            batch.unpersist()
+            everything.unpersist()
     return write
 
 
@@ -110,21 +117,8 @@ def start_intake(raw: DataFrame, root: str, checkpoint: str, ingest_ts: Column |
 
 
 def late_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Received logs that came too late to be scored, with the number of ``copies`` missing from ``logs``.
-
-    A log is late when the flow has already released live logs of its time or
-    later but not this one.  Equal logs are told apart by their number only.
-    """
-    names = [n for n in _SHOWN if n not in ("ts", "timestamp")]
-    key = F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names], F.unix_micros("ts"))
-    received = spark.read.parquet(f"{root}/received").select(*_SHOWN, key.alias("_key"))
-    logs = spark.read.parquet(f"{root}/logs")
-    logged = logs.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_logged"))
-    until = logs.filter(~F.col("severity").isin("NORMAL", "SUPPRESSED")).agg(F.max("ts")).first()[0]
-    counted = received.groupBy(*_SHOWN, "_key").agg(F.count("*").alias("_received"))
-    missing = F.col("_received") - F.coalesce("_logged", F.lit(0))
-    return (counted.join(logged, "_key", "left").withColumn("copies", missing)
-            .filter((F.col("copies") > 0) & (F.col("ts") <= F.lit(until))).drop("_key", "_logged", "_received"))
+    """Live logs that came too late to be scored, as the flow set them apart; equal ones are counted in ``copies``."""
+    return spark.read.parquet(f"{root}/late").groupBy(*_SHOWN).agg(F.count("*").alias("copies"))
 
 
 def stream_stats(evaluated: DataFrame) -> DataFrame:
