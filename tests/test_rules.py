@@ -123,3 +123,24 @@ def test_alert_page_limits(spark):
         response.recent_alerts(spark.range(1), 0)
     with pytest.raises(ValueError):
         response.recent_alerts(spark.range(1), 501)
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_whitelist_table(spark, limit):
+    from tidewatch.operators.whitelist import with_listed
+    table = spark.createDataFrame([(e,) for e in (
+        "10.0.0.7", " 10.0.0.8 ", "10.9.", "172.16.4.", "192.168.128.0/17", "8.8.8.8/32", "0.0.0.0/33", "", None, "host-a",
+        "10.0.0.7", "11.0.0.0/08")], "entry string")
+    rows = [("10.0.0.7", "x", True), ("10.0.0.70", "x", False), ("x", "10.0.0.8", True), ("10.9.255.1", None, True),
+            ("10.90.1.1", "172.16.4.3", True), ("172.16.40.3", "172.16.4", False), ("192.168.127.255", "192.168.128.0", True),
+            ("192.168.255.255", None, True), ("192.168.127.1", "", False), ("8.8.8.8", "10.9.1.1", True), (None, None, False),
+            ("host-a", "", True), ("192.168.300.1", "192.168.128.01", False), ("", "", False)]
+    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(rows * 2)],
+                                  "id int, src_ip string, dst_ip string, want boolean")
+    found = with_listed(frame, table, broadcast_entries=limit)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (limit == 0) and ("BroadcastHashJoin" in plan) == (limit > 0)
+    got = found.collect()
+    assert len(got) == 2 * len(rows) and [r for r in got if r["_listed"] != r["want"]] == []
+    empty = with_listed(frame, table.limit(0), broadcast_entries=limit)
+    assert empty.filter("_listed").count() == 0 and empty.count() == 2 * len(rows)

@@ -4,14 +4,17 @@ import json
 import random
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Row, functions as F
 
 from tidewatch.operators import context, enrich, validate
 from tidewatch.operators.correlation import gap_sessions, stream_session_counts
 from tidewatch.plans import detection
 from tidewatch.sources.logs import read_log_text, stream_log_text
-from tidewatch.streaming import flow
-from tidewatch.streaming.processor import AddressState
+from tidewatch.operators.response import alert_retention, create_alerts
+from tidewatch.sources import sinks
+from tidewatch.streaming import flow, progress, retention
+from tidewatch.streaming.processor import AddressProcessor, AddressState
 
 BASE = datetime(2024, 1, 1, 20, 0, tzinfo=timezone.utc)
 FAR = datetime(2024, 1, 9, tzinfo=timezone.utc)
@@ -189,3 +192,174 @@ def test_bad_and_future_times_do_not_make_others_late(spark, tmp_path):
     names = ["logs", "alerts", "actions", "in_cooldown", "rule_hits"]
     assert last.agg(*[F.sum(n) for n in names]).first() == stats.agg(*[F.sum(n) for n in names]).first()
     assert last.agg(F.sum("actions")).first()[0] == spark.read.parquet(f"{out}/actions").count() > 0
+
+
+class FakeState:
+    """State of one address in memory, counting what is read."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.reads = {}, {}, set(), 0
+
+    def getMapState(self, name, *_):
+        owner, held = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def containsKey(self, key):
+                return key in held
+
+            def getValue(self, key):
+                value = held[key]
+                owner.reads += len(value[0]) if isinstance(value[0], list) else 1
+                return value
+
+            def updateValue(self, key, value):
+                held[key] = value
+
+            def removeKey(self, key):
+                del held[key]
+        return Map()
+
+    def getValueState(self, name, *_):
+        held = self.values
+
+        class Value:
+            def exists(self):
+                return name in held
+
+            def get(self):
+                return held[name]
+
+            def update(self, value):
+                held[name] = value
+
+            def clear(self):
+                held.pop(name, None)
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def live(us, row_id, clock=True):
+    return Row(src_ip="a", clock=us if clock else None, us=us, id=row_id, points=30, peak=False, payload=Row(n=1))
+
+
+def test_a_timer_reads_released_rows_only():
+    state, processor = FakeState(), AddressProcessor("struct<n:int>")
+    processor.init(state)
+    waiting = [live(10_000_000 + k * 1_000_000, str(k)) for k in range(100_000)]  # a bucket each
+    assert not list(processor.handleInputRows(("a",), iter(waiting[50_000:]), Clock(0)))
+    assert not list(processor.handleInputRows(("a",), iter(waiting[:50_000]), Clock(0)))
+    assert not list(processor.handleInputRows(("a",), iter([live(10_500_000, "x")]), Clock(0)))
+    state.reads = 0
+    out = list(processor.handleExpiredTimer(("a",), Clock(11_000), Clock(11_000)))
+    assert [(r.id, r.repeat_count, r.passed) for r in out] == [("0", 1, True), ("x", 2, False)]
+    assert state.reads == 3  # the number of parts, and a row in each of two
+    assert len(state.maps["waiting"]) == 99_999
+
+
+def test_late_rows_and_rows_without_a_clock():
+    state, processor = FakeState(), AddressProcessor("struct<n:int>")
+    processor.init(state)
+    out = list(processor.handleInputRows(("a",), iter(
+        [live(4_999_999, "late"), live(5_000_000, "on time"), live(1_000_000, "no clock", False)]), Clock(5000)))
+    assert [(r.id, r.late, r.repeat_count) for r in out] == [("late", True, None)]
+    out = list(processor.handleExpiredTimer(("a",), Clock(6000), Clock(6000)))
+    assert [(r.id, r.us, r.repeat_count) for r in out] == [("no clock", 1_000_000, 1), ("on time", 5_000_000, 2)]
+    idle, = state.timers - {6000}
+    assert idle % 1000 == 1 and 305_000 < idle < 307_000 and state.values
+    list(processor.handleExpiredTimer(("a",), Clock(idle), Clock(idle)))
+    assert not state.values
+
+
+def test_a_batch_counts_when_all_its_sinks_are_written(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    write_files(source, 80, 3)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        raw = stream_log_text(spark, str(source), 1)
+        flow.start(flow.score_stream(predicted(flow.enriched_stream(raw)), "200 seconds"), out, state).awaitTermination()
+
+    written, write = [], flow.overwrite_batch
+
+    def failing(rows, path, batch_id):
+        if batch_id == 1 and path.endswith("actions"):
+            raise RuntimeError("no space")
+        written.append((path, batch_id))
+        write(rows, path, batch_id)
+    monkeypatch.setattr(flow, "overwrite_batch", failing)
+    with pytest.raises(Exception, match="no space"):
+        run()
+    assert (f"{out}/alerts", 1) in written  # written, yet not to be seen
+    for sink in ("logs", "alerts"):
+        assert {r["batch_id"] for r in sinks.read_committed(spark, out, sink).collect()} <= {0}
+    monkeypatch.setattr(flow, "overwrite_batch", write)
+    run()
+    logs, alerts = (sinks.read_committed(spark, out, sink) for sink in ("logs", "alerts"))
+    assert logs.count() == 80 == logs.select("id").distinct().count()
+    assert sinks.read_committed(spark, out, "actions").select("alert_id").distinct().count() == alerts.count() > 0
+
+
+def test_retention_takes_new_batches_only(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(i, f"10.0.0.{i % 9}", BASE + timedelta(seconds=i * 7 % 101), ["LOW", "HIGH"][i % 2]) for i in range(60)]
+    alerts = create_alerts(spark.createDataFrame(rows, "id long, src_ip string, ts timestamp, severity string").selectExpr(
+        "*", "1 threat_score", "src_ip dst_ip", "'x' event_type", "'' message", "0D anomaly_score", "0D confidence",
+        "named_struct('a', 1) factors")).cache()
+
+    def batch(n):
+        sinks.overwrite_batch(alerts.filter(f"log_id % 4 = {n}"), f"{root}/alerts", n)
+
+    def kept():
+        return [r["log_id"] for r in retention.kept_alerts(spark, root).orderBy(F.desc("ts"), F.desc("log_id")).collect()]
+
+    def want(batches):
+        held = alerts.filter(F.col("log_id") % 4 < batches)
+        return [r["log_id"] for r in alert_retention(held, 20).collect()]
+
+    for n in range(4):
+        batch(n)
+        sinks.commit_batch(spark, root, n, flow.SINKS)
+        assert retention.retain_alerts(spark, root, 20) == n
+        assert kept() == want(n + 1)
+    batch(2)  # a repeated batch
+    sinks.commit_batch(spark, root, 2, flow.SINKS)
+    assert retention.retain_alerts(spark, root, 20) == 3 and kept() == want(4)
+    alerts.limit(0).write.parquet(f"{root}/kept/upto=4")  # left by a step that failed before its log
+    batch(0)
+    sinks.overwrite_batch(alerts.limit(0), f"{root}/alerts", 4)
+    sinks.commit_batch(spark, root, 4, flow.SINKS)
+    assert retention.retain_alerts(spark, root, 20) == 4 and kept() == want(4)
+
+
+def test_progress_becomes_a_table(spark, tmp_path):
+    source = tmp_path / "in"
+    write_files(source, 30, 4)
+    told = progress.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(told)
+    try:
+        query = flow.start_intake(stream_log_text(spark, str(source), 1), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        assert told.wait(query)
+    finally:
+        spark.streams.removeListener(told)
+    rows = progress.progress_rows(spark, str(tmp_path / "progress"))
+    found = sorted((r["batch_id"], r["input_rows"]) for r in rows.collect())
+    assert [n for n, _ in found] == list(range(5)) and sum(n for _, n in found) == 32
+    summary, bins = progress.latency(rows, 10)
+    times = sorted(r["batch_ms"] for r in rows.collect())
+    assert times[0] <= summary.first()["mean"] <= times[-1] and bins.agg(F.sum("n")).first()[0] == 5

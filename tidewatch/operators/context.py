@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions import columns as C
+from tidewatch.operators.whitelist import with_listed
 
 
 def _hour() -> Column:
@@ -44,8 +45,8 @@ def whitelist_flag() -> Column:
             | _address("dst_ip").isin(K.WHITELISTED_IPS))
 
 
-def whitelist_suppresses() -> Column:
-    return whitelist_flag() & (_confidence() < K.WHITELIST_CONFIDENCE)
+def whitelist_suppresses(listed: Column | None = None) -> Column:
+    return (whitelist_flag() if listed is None else listed) & (_confidence() < K.WHITELIST_CONFIDENCE)
 
 
 def peak_flag() -> Column:
@@ -62,14 +63,21 @@ def _anomalous() -> Column:
     return F.coalesce(F.col("is_anomaly"), F.lit(False))
 
 
-def evaluate_context(df: DataFrame) -> DataFrame:
+def evaluate_context(df: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
     """Add ``suppress``, ``context_reason``, ``adjusted_score``, ``context_flags``,
-    ``rule_hits`` (suppressing rules matched) and ``peak_adjusted``."""
+    ``rule_hits`` (suppressing rules matched) and ``peak_adjusted``.
+
+    A table ``whitelist`` with a column ``entry`` (addresses, dotted prefixes,
+    subnets) takes the place of the fixed list of trusted addresses.
+    """
     on = _anomalous()
+    if whitelist is not None:
+        df = with_listed(df, whitelist)
+    listed = whitelist_flag() if whitelist is None else F.col("_listed")
     hits = {
         "_maintenance": on & maintenance_suppresses(),
         "_backup": on & backup_suppresses(),
-        "_whitelist": on & whitelist_suppresses(),
+        "_whitelist": on & whitelist_suppresses(listed),
         "_internal": on & internal_suppresses(),
         "_peak": on & peak_flag(),
     }
@@ -82,7 +90,7 @@ def evaluate_context(df: DataFrame) -> DataFrame:
     flags = F.array_compact(F.array(
         F.when(on & maintenance_flag(), F.lit("maintenance_window")),
         F.when(on & backup_flag(), F.lit("backup_traffic")),
-        F.when(on & whitelist_flag(), F.lit("whitelisted_ip")),
+        F.when(on & listed, F.lit("whitelisted_ip")),
         F.when(peak, F.lit("peak_hours")),
         F.when(i, F.lit("internal_traffic"))))
     # the last matching rule gives the reason
@@ -102,7 +110,7 @@ def evaluate_context(df: DataFrame) -> DataFrame:
         "context_flags": flags,
         "rule_hits": m.cast("int") + b.cast("int") + w.cast("int") + i.cast("int"),
         "peak_adjusted": peak.cast("int"),
-    }).drop(*hits)
+    }).drop(*hits, "_listed")
 
 
 def suppression_stats(evaluated: DataFrame) -> DataFrame:

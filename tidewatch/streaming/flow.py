@@ -17,11 +17,12 @@ from tidewatch.operators.validate import parse_logs, split_valid
 from tidewatch.plans.feeds import log_payload
 from tidewatch.session import use_rocksdb_state
 from tidewatch.sources.datasets import path_exists
-from tidewatch.sources.sinks import overwrite_batch
+from tidewatch.sources.sinks import commit_batch, overwrite_batch
 from tidewatch.streaming.processor import follow_addresses
 
 # stays ahead of disorder between sources; live rows later than this are set apart unscored, see late_rows
 DEFAULT_DELAY = "60 seconds"
+SINKS = ["late", "logs", "alerts", "actions", "stats", "totals"]
 _CLOCK = "_clock"
 _SHOWN = ["id", "timestamp", "src_ip", "dst_ip", "event_type", "log_level", "message", "ts"]
 
@@ -64,7 +65,11 @@ def _totals(spark: SparkSession, counters: DataFrame, root: str, batch_id: int)
 
 
 def fan_out(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` target: logs, alerts, audit rows, late rows, and counters as changes and as running totals."""
+    """``foreachBatch`` target: logs, alerts, audit rows, late rows, and counters as changes and as running totals.
+
+    The batch is committed when all of them are written; ``read_committed``
+    shows whole batches only, also after a failure between two sinks.
+    """
     def write(everything: DataFrame, batch_id: int) -> None:
         everything = everything.persist()
         batch = everything.filter(~F.col("late"))
@@ -84,6 +89,7 @@ def fan_out(root: str) -> Callable[[DataFrame, int], None]:
             overwrite_batch(counters, f"{root}/stats", batch_id)
             stored = batch.sparkSession.read.parquet(f"{root}/stats/batch_id={batch_id}")
             overwrite_batch(_totals(batch.sparkSession, stored, root, batch_id), f"{root}/totals", batch_id)
+            commit_batch(batch.sparkSession, root, batch_id, SINKS)
         finally:
             everything.unpersist()
     return write

@@ -15,7 +15,7 @@ from tidewatch.plans import detection, feeds, reports, training
 from tidewatch.session import stage, use_utc, work_path
 from tidewatch.sources import datasets, logs as log_sources, model_store, sinks
 from tidewatch.sources.schemas import LOG_SCHEMA, NSL_SCHEMA
-from tidewatch.streaming import flow
+from tidewatch.streaming import flow, progress, retention
 from verification import bridge, fixed_model
 from verification.oracle import (NSL_CATEGORY, UNSW_CLEAN, UNSW_FLOW, UNSW_PORT, UNSW_PROTO, UNSW_RISK,
                                  UNSW_STATE, dbl, keyword_sum, log2_of, pick, sql, table_case, text)
@@ -237,8 +237,10 @@ def save_load_model(t: Inputs) -> DataFrame:
        "SELECT timestamp, alert_id, action, target, severity FROM actions", "actions")
 def write_action_log(t: Inputs) -> DataFrame:
     path = t.path("actions")
-    sinks.write_action_log(t.run().alerts(), path)
-    return t.spark.read.parquet(path).drop("dt")
+    alerts = t.run().alerts()
+    for _ in range(2):  # the second time replaces the first
+        sinks.write_action_log(alerts, path, "first")
+    return t.spark.read.parquet(path).drop("dt", "run")
 
 
 _CUTS = ["2024-01-05 08:00:00", "2024-01-05 16:00:00", "2024-01-06 00:00:00", "2024-01-06 12:00:00"]
@@ -253,34 +255,27 @@ def _closing(number: int, stamp: str) -> str:
         "event_type": "ddos", "log_level": "INFO", "message": ""})
 
 
-def _stream_source(t: Inputs, late: str = "false") -> str:
-    """The raw lines as files in the order of their times; rows for which ``late`` holds come last of all."""
-    root = t.path("lines")
+def _stretches(t: Inputs, late: str = "false") -> list[DataFrame]:
+    """The raw lines in stretches of rising time; rows for which ``late`` holds come last of all."""
     seen = validate.parse_logs(t.raw.select("value", F.col("id").alias("number")))
     seen = enrich.with_event_time(seen, _ingest_ts()).select(
         "value", F.coalesce("ts", _ingest_ts()).alias("ts"), F.expr(late.replace("id", "number")).alias("late"))
     edges = [None, *_CUTS, None]
-    groups = [seen.filter("not late" + (f" and ts >= timestamp'{low}'" if low else "")
-                          + (f" and ts < timestamp'{high}'" if high else ""))
-              for low, high in zip(edges, edges[1:])]
-    # the file source takes files by age, so a stretch of time is one file and one batch
-    lines = [group.select("value").coalesce(1) for group in groups]
+    parts = [seen.filter("not late" + (f" and ts >= timestamp'{low}'" if low else "")
+                         + (f" and ts < timestamp'{high}'" if high else "")).select("value")
+             for low, high in zip(edges, edges[1:])]
     if late != "false":
-        # the watermark must have moved two batches before a row counts as late
-        lines += [t.spark.createDataFrame([(_closing(-n, "2024-01-08T00:00:00Z"),)], "value string") for n in (1, 2, 3)]
-        lines.append(seen.filter("late").select("value").coalesce(1))
-    lines.append(t.spark.createDataFrame([(_closing(-9, "2024-01-09T00:00:00Z"),)], "value string"))
-    for n, part in enumerate(lines):  # one after the other, so that the files have the order of their writing
-        part.write.text(f"{root}/{n:02}")
-    return f"{root}/*"
+        parts.append(t.spark.createDataFrame([(_closing(-1, "2024-01-08T00:00:00Z"),)], "value string"))
+        parts.append(seen.filter("late").select("value"))
+    return [*parts, t.spark.createDataFrame([(_closing(-9, "2024-01-09T00:00:00Z"),)], "value string")]
 
 
 def _stream_events(t: Inputs, source: str) -> DataFrame:
-    """The raw lines as a stream of enriched logs with their given score, one file a batch."""
+    """The raw lines as a stream of enriched logs with their given score."""
     spark = use_utc(t.spark.newSession())
     # state is split once and for all when a stream first starts
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
-    raw = log_sources.stream_log_text(spark, source, max_files=1)
+    raw = log_sources.stream_log_text(spark, source)
     logs = flow.enriched_stream(raw, _ingest_ts()).withColumn("id", F.col("id").cast("long"))
     given = t.logs.select("id", "anomaly_score", "is_anomaly", "confidence")
     return logs.join(given, "id", "left").withColumns({
@@ -297,11 +292,22 @@ def _streamed(t: Inputs, late: str = "false") -> str:
 
 
 def _run_stream(t: Inputs, late: str) -> str:
-    root, source = t.path("stream"), _stream_source(t, late)
-    scored = flow.score_stream(_stream_events(t, source), DELAY)
-    flow.start(scored, root, t.path("stream-state")).awaitTermination()
-    raw = log_sources.stream_log_text(t.spark, source, max_files=1)
-    flow.start_intake(raw, root, t.path("intake-state"), _ingest_ts()).awaitTermination()
+    """A stretch is written in as many files as it has partitions and is one batch; the flow goes on from its state."""
+    root, lines, state = t.path("stream"), t.path("lines"), t.path("stream-state")
+    for n, part in enumerate(_stretches(t, late)):
+        part.write.text(f"{lines}/{n:02}")
+        scored = flow.score_stream(_stream_events(t, f"{lines}/*"), DELAY)
+        flow.start(scored, root, state).awaitTermination()
+    told = progress.ProgressTable(t.spark, f"{root}/progress")
+    t.spark.streams.addListener(told)
+    try:
+        raw = log_sources.stream_log_text(t.spark, f"{lines}/*")
+        intake = flow.start_intake(raw, root, t.path("intake-state"), _ingest_ts())
+        intake.awaitTermination()
+        assert told.wait(intake)
+    finally:
+        t.spark.streams.removeListener(told)
+    retention.start_retention(t.spark, root, t.path("retention-state")).awaitTermination()
     return root
 
 
@@ -316,7 +322,7 @@ UNION ALL SELECT 'rejected', reason, count(*) FROM raw WHERE reason <> 'OK' GROU
 def fanout_sinks(t: Inputs) -> DataFrame:
     root = _streamed(t)
     read = t.spark.read.parquet
-    parts = [read(f"{root}/{sink}").groupBy("severity").agg(F.count("*").alias("n"))
+    parts = [sinks.read_committed(t.spark, root, sink).groupBy("severity").agg(F.count("*").alias("n"))
              .select(F.lit(sink).alias("sink"), "severity", "n") for sink in ("logs", "alerts", "actions")]
     stats = read(f"{root}/stats").groupBy("severity").agg(F.sum("logs").alias("n"))
     totals = read(f"{root}/totals")
@@ -842,6 +848,29 @@ _rule("rule_whitelist", context.whitelist_flag, context.whitelist_suppresses, "f
 _rule("rule_internal", context.internal_suppresses, context.internal_suppresses, "s_internal", "s_internal")
 
 
+@query("rule_whitelist_table", """
+SELECT * FROM (WITH single AS (SELECT src_ip AS entry FROM enriched WHERE id % 97 = 0),
+  prefixes AS (SELECT regexp_extract(dst_ip, '^[0-9]+[.][0-9]+[.][0-9]+[.]') AS entry FROM enriched WHERE id % 1001 = 1),
+  subnets AS (SELECT regexp_extract(src_ip, '^[0-9]+[.][0-9]+[.]') AS entry FROM enriched WHERE id % 1009 = 2),
+  listed AS (SELECT DISTINCT address FROM (SELECT src_ip AS address FROM enriched UNION SELECT dst_ip FROM enriched)
+    WHERE address IN (SELECT entry FROM single)
+      OR regexp_extract(address, '^[0-9]+[.][0-9]+[.][0-9]+[.]') IN (SELECT entry FROM prefixes)
+      OR regexp_extract(address, '^[0-9]+[.][0-9]+[.]') IN (SELECT entry FROM subnets))
+SELECT id, coalesce(is_anomaly AND whitelisted, false) AS whitelisted,
+  coalesce(is_anomaly AND (s_maintenance OR s_backup OR s_internal OR (whitelisted AND confidence < 0.6)), false) AS suppress
+FROM (SELECT *, src_ip IN (SELECT address FROM listed) OR dst_ip IN (SELECT address FROM listed) AS whitelisted
+  FROM evaluated))""", "enriched", "evaluated")
+def rule_whitelist_table(t: Inputs) -> DataFrame:
+    """The trusted addresses come from a table: single ones, prefixes and subnets taken from the logs themselves."""
+    logs = t.enriched
+    listed = (logs.filter("id % 97 = 0").select(F.col("src_ip").alias("entry"))
+              .unionByName(logs.filter("id % 1001 = 1").select(F.regexp_extract("dst_ip", r"^([0-9]+\.){3}", 0).alias("entry")))
+              .unionByName(logs.filter("id % 1009 = 2").select(
+                  F.concat(F.regexp_extract("src_ip", r"^[0-9]+\.[0-9]+", 0), F.lit(".0.0/16")).alias("entry"))))
+    return context.evaluate_context(logs, listed).select(
+        "id", F.array_contains("context_flags", "whitelisted_ip").alias("whitelisted"), "suppress")
+
+
 @query("context_gate", """
 SELECT id, suppress, context_reason, adjusted_score, flags FROM evaluated WHERE NOT is_anomaly""", "evaluated")
 def context_gate(t: Inputs) -> DataFrame:
@@ -1212,6 +1241,27 @@ def score_vs_confidence(t: Inputs) -> DataFrame:
 
 
 # ================================================================ streams
+@query("stream_alert_retention", f"{ALERT_SQL} ORDER BY secs DESC, alerts.id DESC LIMIT 500", "alerts", parsed=True)
+def stream_alert_retention(t: Inputs) -> DataFrame:
+    """The alerts kept by the compaction that follows the flow."""
+    return _alerts_shown(retention.kept_alerts(t.spark, _streamed(t)))
+
+
+@query("stream_latency", whole("""SELECT count(*) + 1 AS input_rows, true AS one_bin_per_batch, true AS mean_in_range,
+  true AS p95_in_range FROM raw""", "input_rows"), "raw")
+def stream_latency(t: Inputs) -> DataFrame:
+    """What must hold of the latency figures: every line counted once, every batch in one bin, figures inside the range."""
+    rows = progress.progress_rows(t.spark, f"{_streamed(t)}/progress")
+    summary, bins = progress.latency(rows)
+    told = rows.agg(F.sum("input_rows").alias("input_rows"), F.count("*").alias("batches"),
+                    F.min("batch_ms").alias("low"), F.max("batch_ms").alias("high")).first()
+    low, high = F.lit(told["low"]), F.lit(told["high"])
+    return summary.select(
+        F.lit(told["input_rows"]).cast("long").alias("input_rows"),
+        F.lit(bins.agg(F.sum("n")).first()[0] == told["batches"]).alias("one_bin_per_batch"),
+        F.col("mean").between(low, high).alias("mean_in_range"), F.col("p95").between(low, high).alias("p95_in_range"))
+
+
 @query("stream_process_logs", """
 SELECT CAST(id AS VARCHAR) AS id, timestamp_utc AS timestamp, src_ip, is_anomaly, severity, threat_score FROM scored""", "scored", parsed=True)
 def stream_process_logs(t: Inputs) -> DataFrame:
@@ -1229,7 +1279,10 @@ def stream_correlation_cooldown(t: Inputs) -> DataFrame:
 SELECT count(*) AS total_logs, sum(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS anomalies, sum(rule_hits) AS suppressed,
   sum(CASE WHEN suppress THEN 1 ELSE 0 END) AS suppressed_rows, sum(peak_adjusted) AS adjusted FROM evaluated""", "anomalies", "suppressed", "suppressed_rows", "adjusted"), "evaluated", parsed=True)
 def stream_stats(t: Inputs) -> DataFrame:
-    logs = _stream_events(t, _stream_source(t)).filter("id >= 0")
+    lines = t.path("lines")
+    for n, part in enumerate(_stretches(t)):
+        part.write.text(f"{lines}/{n:02}")
+    logs = _stream_events(t, f"{lines}/*").filter("id >= 0")
     counters = flow.stream_stats(context.evaluate_context(logs))
     path = t.path("counters")
     writer = (counters.writeStream.outputMode("complete").trigger(availableNow=True)
