@@ -1,7 +1,10 @@
 """Operators on texts against brute force, with odd rows and empty tables."""
 
+import base64
 import hashlib
+import json
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -413,3 +416,41 @@ def test_quality(spark, sf, documents, no_documents):
     assert quality.quality(no_documents, labels).count() == 0
     alone = quality.quality(documents, labels.filter("false")).toPandas()
     assert set(alone.score) == {0.5}
+
+
+def test_many_tokens_in_one_text(spark):
+    """Half a million matches of a kind in one text; contexts and positions as in a short one."""
+    n = 500_000
+    text = " ".join(f"id{k % 10}x" for k in range(n)) + " Customer mail: user9x at end"
+    mails = " ".join(f"u{k}@h.org" for k in range(20_000))
+    texts = [text, mails, "1.2.3.4 " * 30_000, *[f"Customer mail: user{k}@host{k}.org" for k in range(9)]]
+    got = {r.doc_id: r for r in pii.personal_data(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = text.index("user9x")
+    assert got[0].spans.split(",")[-1] == f"id:{at}:{at + 6}"
+    assert got[1].n_email == 20_000 and got[1].spans.split(",")[-1] == f"email:{len(mails) - 12}:{len(mails)}"
+    assert got[2].n_ip == 30_000 and got[2].base_sha256 == digest(plain_pii(texts[2]))
+
+
+def test_headers_in_long_lines():
+    """A token at the end of a line that holds a million places where a header could begin."""
+    def part(value):
+        return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'k': chr(34) + chr(92) + '}]{['})}.{part({'sub': 'x'})}.{'s' * 43}"
+    started = time.monotonic()
+    for junk in ("ey" * 1_000_000, *[base64.urlsafe_b64encode((mark * 250_000).encode()).decode().rstrip("=")
+                                     for mark in ('{"a":', '{"', "[", "{", '"\\')]):
+        text = f"{junk}.{part({})}.{'x' * 50} {token}"
+        assert [text[a:b] for _, a, b in secrets.confirmed_spans(text)] == [token]
+        inside = f"{junk}{token}"  # four alignments, one of which is right
+        assert [text[-len(token):] for _, a, b in secrets.confirmed_spans(inside)] in ([], [token])
+    assert time.monotonic() - started < 20
+
+
+@pytest.mark.parametrize("value", [{"alg": "none"}, {"alg": "RS256", "x": {"y": [1, "}", {"z": '\\"'}]}}, {"alg": "\u00e9"}])
+def test_last_object(value):
+    for before in (b"", b"junk", b'"', b"{{[", b'{"a": "', b"\\"):
+        for written in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1)):
+            data = before + written.encode()
+            assert secrets._last_object(data + b" \n") == len(before)
+    assert secrets._last_object(b"}") is None and secrets._last_object(b'{"a"]}') is None and secrets._last_object(b"") is None

@@ -36,10 +36,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_.-]+")
 DER_64, DER_HEX = re.compile(r"M(?=[A-P])"), re.compile(r"30(?=[0-9A-Fa-f]{2})")
 SSH_64, SSH_HEX = re.compile(r"b3BlbnNzaC1rZXktdjEA"), re.compile(r"(?i)6f70656e7373682d6b65792d763100")
 SIGNATURE = re.compile(r"[A-Za-z0-9_-]+")
-HEADER = re.compile(r"e(?=[w-z0-9_-])")  # an opening brace in base64
 SIGNATURE_CHARS = {"HS256": (43,), "HS384": (64,), "HS512": (86,), "ES256": (86,), "ES384": (128,), "ES512": (176,),
                    "EdDSA": (86, 152), **{f"{kind}{size}": (342, 512, 683) for kind in ("RS", "PS")
                                           for size in (256, 384, 512)}}
+JSON_SPACE = b" \t\r\n"
+BRACKETS = re.compile(rb'"\\*|[][{}]')
 DASHES = "-----"
 PADDING = re.compile("={0,2}")
 ADDED = ("jwt", "der_key", "ssh_key")
@@ -47,7 +48,6 @@ SSH_MAGIC = b"openssh-key-v1\x00"
 ALGORITHM_OIDS = (  # fixed values: RSA, elliptic curve, Ed25519, X25519 in DER
     bytes.fromhex("06092a864886f70d010101"), bytes.fromhex("06072a8648ce3d0201"),
     bytes.fromhex("06032b6570"), bytes.fromhex("06032b656e"))
-BATCH_ROWS = "1000"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -160,6 +160,29 @@ def _object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def _last_object(data: bytes) -> int | None:
+    """Where the JSON object begins that ends with ``data``, by its brackets alone.
+
+    Read from the end, a quote closes a string that the nearest quote before
+    it opens that is not escaped, so one pass finds the bracket that matches
+    the last one.
+    """
+    end = len(data.rstrip(JSON_SPACE)) - 1
+    if end < 0 or data[end] != ord("}"):
+        return None
+    depth, in_string = 0, False
+    for match in BRACKETS.finditer(data[end::-1]):
+        mark = match[0][:1]
+        if mark == b'"':
+            if not in_string or (len(match[0]) - 1) % 2 == 0:  # behind it, in this direction, its backslashes
+                in_string = not in_string
+        elif not in_string:
+            depth += 1 if mark in b"}]" else -1
+            if depth == 0:
+                return end - match.start() if mark == b"{" else None
+    return None
+
+
 class _Block:
     """The characters of a block without its line ends, and where each line begins, in them and in the text."""
 
@@ -210,20 +233,44 @@ class _Block:
         size = ssh_size(data)
         return at + len(part) if size is None else min(self.end(at + _chars(size, is_hex)), at + len(part))
 
+    def header(self, start: int, dot: int) -> tuple[int, dict] | None:
+        """The last place from ``start`` on, and the JSON object with an algorithm that is written from there to ``dot``.
+
+        Every place has one of four alignments; the text is decoded once for
+        each, and only one bracket of it can open an object that ends at the
+        dot, so the work is linear in the text.
+        """
+        found = []
+        for base in range(start, min(start + 4, dot)):
+            data = _decoded(self.chars[base:dot], False)
+            opened = _last_object(data) if data else None
+            if opened is None:
+                continue
+            at = self._written_from(data, base, opened, start)
+            if at is not None and (value := _object(self.chars[at:dot])) and isinstance(value.get("alg"), str):
+                found.append((at, value))
+        return max(found, key=lambda place: place[0], default=None)
+
+    def _written_from(self, data: bytes, base: int, opened: int, start: int) -> int | None:
+        """The character that the object at byte ``opened`` is written from; white space may lead a line or the block."""
+        if opened % 3 == 0:
+            return base + opened // 3 * 4
+        space = opened - len(data[:opened]) + len(data[:opened].rstrip(JSON_SPACE))
+        for byte in range(opened // 3 * 3, space - 1, -3):
+            at = base + byte // 3 * 4
+            line = bisect.bisect_left(self.lines, at)
+            if at == start or (line < len(self.lines) and self.lines[line] == at):
+                return at
+        return None
+
     def token(self, dots: list[int], k: int, low: int) -> tuple[int, int] | None:
         """Start and end of the signed token with its first dot at ``dots[k]``, not before ``low``."""
         if _object(self.chars[dots[k] + 1:dots[k + 1]]) is None:
             return None
-        start = max(low, dots[k - 1] + 1 if k else 0)
-        first, last = bisect.bisect_left(self.lines, start), bisect.bisect_left(self.lines, dots[k])
-        starts = {start, *(line for line in self.lines[first:last] if self.chars[line] in "eCDI"),
-                  *(m.start() for m in HEADER.finditer(self.chars, start, dots[k]))}
-        for at in sorted(starts, reverse=True):
-            header = _object(self.chars[at:dots[k]])
-            if header is not None and isinstance(header.get("alg"), str):
-                break
-        else:
+        place = self.header(max(low, dots[k - 1] + 1 if k else 0), dots[k])
+        if place is None:
             return None
+        at, header = place
         signature = SIGNATURE.match(self.chars, dots[k + 1] + 1)
         if not signature:
             return None
@@ -296,12 +343,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts per fixed format, a digest of its base spans, and all spans.
 
-    Whole texts are searched; null counts as empty and has no span.  Spans of
-    different kinds may overlap; those with one start go in the order of the
+    Whole texts are searched, in time linear in their length; null counts as
+    empty and has no span.  Texts reach Python in batches that Spark bounds by
+    bytes.  Spans of different kinds may overlap; those with one start go in the order of the
     kinds.  Rows that repeat an id are searched one by one; an empty table
     gives no rows; other columns are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, "
                                    "base_sha256 string, spans string")
