@@ -16,9 +16,9 @@ All of it is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.llm.spans import find_spans
+from tidewatch.llm.spans import with_spans
 from tidewatch.session import stage
 
 # Fixed formats.  A match begins where the last one ended or where a run begins, which leaves the matches
@@ -69,11 +69,9 @@ def base_spans(rows: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     digit = text.rlike("[0-9]")
-    found = (rows.withColumn("email", find_spans(text, EMAIL, F.contains(text, F.lit("@"))))
-             .withColumn("ip", find_spans(text, IP, digit))
-             .withColumn("card", find_spans(text, CARD, digit))
-             .withColumn("phone", find_spans(text, PHONE, F.contains(text, F.lit("+"))))
-             .withColumn("tokens", find_spans(text, TOKEN, text.rlike("[0-9@]"))))
+    found = with_spans(rows, {
+        "email": (EMAIL, F.contains(text, F.lit("@"))), "ip": (IP, digit), "card": (CARD, digit),
+        "phone": (PHONE, F.contains(text, F.lit("+"))), "tokens": (TOKEN, text.rlike("[0-9@]"))})
     return found.withColumns({"ip": F.filter("ip", lambda span: _valid_ip(span["match"])),
                               "card": F.filter("card", lambda span: _valid_card(span["match"])),
                               "phone": F.filter("phone", lambda span: _valid_phone(span["match"]))})
@@ -116,29 +114,46 @@ def _texts(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda span: F.concat_ws(":", F.lit(kind), span["at"], span["upto"]))
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def _apart(found: DataFrame, min_length: int) -> DataFrame:
+    """Tokens of ``min_length`` characters or more that share no character with a base span, a row each."""
+    base = F.concat(*[F.transform(F.col(kind), lambda span: F.struct(
+        span["at"], span["upto"], span["match"], span["left"], F.lit(True).alias("base"))) for kind in KINDS])
+    tokens = F.transform(F.filter("tokens", lambda token: F.length(token["match"]) >= min_length), lambda token: F.struct(
+        token["at"], token["upto"], token["match"], token["left"], F.lit(False).alias("base")))
+    has_base = F.lit(False)
+    for kind in KINDS:
+        has_base = has_base | (F.size(kind) > 0)
+    plain = found.filter(~has_base).select("row", F.inline(tokens))
+    mixed = found.filter(has_base).select("row", F.inline(F.concat(base, tokens)))
+    forward, back = (Window.partitionBy("row").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                     for order in (F.asc("at"), F.desc("at")))
+    free = mixed.withColumns({
+        "_seen": F.max(F.when(F.col("base"), F.col("upto"))).over(forward),
+        "_next": F.min(F.when(F.col("base"), F.col("at"))).over(back)}).filter(
+        ~F.col("base") & (F.coalesce("_seen", F.lit(0)) <= F.col("at"))
+        & (F.col("_next").isNull() | (F.col("_next") >= F.col("upto"))))
+    return plain.drop("base").unionByName(free.drop("base", "_seen", "_next"))
+
+
+def personal_data(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """One row per document: counts per kind, a digest of the base spans, and all spans.
 
-    Whole texts are searched; null counts as empty and has no span.  Rows that
+    Whole texts are searched, in time linear in their length but for sorting
+    the spans of a text; null counts as empty and has no span.  Rows that
     repeat an id are searched one by one; an empty table gives no rows; other
-    columns are ignored.  Added spans never overlap base ones.
+    columns are ignored.  Added spans have ``min_length`` characters or more
+    and never overlap base ones; the two words that are their context lie in
+    the ``CONTEXT_CHARS`` characters before them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = F.concat(*[F.transform(F.col(kind), lambda span: F.struct(span["at"], span["upto"])) for kind in KINDS])
-    found = base_spans(rows).withColumn("tokens", F.filter(
-        "tokens", lambda token: (F.length(token["match"]) >= MIN_LENGTH) & ~F.exists(
-            base, lambda span: (span["at"] < token["upto"]) & (token["at"] < span["upto"]))))
-    found = stage(found.drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-
-    def occurrences(column: str, seed: int) -> DataFrame:
-        return found.select("row", F.explode(column).alias("span")).select(
-            "row", "span.at", "span.upto", F.lower("span.match").alias("value"),
-            _context(F.col("span.left")).alias("context"), F.lit(seed).alias("seed"))
-
-    seeds = occurrences("email", 1)
-    for kind in KINDS[1:]:
-        seeds = seeds.unionByName(occurrences(kind, 1))
-    tokens = occurrences("tokens", 0)
+    found = stage(base_spans(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-spans")
+
+    def occurrences(spans: DataFrame, seed: int) -> DataFrame:
+        return spans.select("row", "at", "upto", F.lower("match").alias("value"),
+                            _context(F.col("left")).alias("context"), F.lit(seed).alias("seed"))
+
+    seeds = occurrences(found.select("row", F.inline(F.concat(*KINDS))), 1)
+    tokens = occurrences(_apart(found, min_length), 0)
     accepted = _confident(seeds.unionByName(tokens))
     added = (tokens.join(accepted, "value", "left_semi").groupBy("row")
              .agg(F.array_sort(F.collect_list(F.struct("at", "upto"))).alias("added")))
