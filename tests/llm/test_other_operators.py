@@ -218,7 +218,7 @@ def test_rules_with_no_list(spark):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline
-    from tests.llm.test_text_operators import plain_fingerprint
+    from tests.llm.test_near_copies import plain_jaccard
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
@@ -226,15 +226,16 @@ def test_pipeline(spark, sf):
     for r in rows:
         last[r.text] = max(last.get(r.text, r.doc_id), r.doc_id)
     rows = [r for r in rows if last[r.text] == r.doc_id]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    root = {i: i for i in prints}
+    texts = {r.doc_id: r.text for r in rows}
+    pairs = [(i, j) for i in texts for j in texts if j < i and plain_jaccard(texts[i], texts[j]) >= 0.8]
+    root = {i: i for i in texts}
     changed = True
     while changed:
         changed = False
-        for i in prints:
-            low = min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2)
-            if low < root[i]:
-                root[i], changed = low, True
+        for i, j in pairs:
+            low = min(root[i], root[j])
+            changed |= root[i] != root[j]
+            root[i] = root[j] = low
     kept = {r.doc_id: r for r in rows if root[r.doc_id] == r.doc_id}
     place = {r.doc_id: r.position for r in mixing.mixed(
         docs.filter(F.col("doc_id").isin(list(kept))), queries.SOURCE_WEIGHTS, queries.OTHER_WEIGHT,

@@ -19,11 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.llm.rows import numbered, without
 from tidewatch.session import stage
 
 CELL, KICKS = 4, 200
 SALTS = 16
 BUCKET_KEYS = 2048
+_ROW = "row number of the input"
 INDEX = ("bucket int, kind string, sha binary, octets long, live long, keep_id long, "
          "cells int, filter binary")
 
@@ -143,10 +145,10 @@ def _apply(changes: pd.DataFrame) -> pd.DataFrame:
     return bucket.frame(int(changes.bucket.iloc[0]))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, SHA-256 and byte length of every text; a null text counts as empty."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, SHA-256 and byte length of every text; a null text counts as empty.  ``more`` columns are kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"),
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"),
                        F.octet_length(text).cast("long").alias("octets"))
 
 
@@ -192,29 +194,38 @@ def _in_order(changes: pd.DataFrame) -> pd.DataFrame:
     return _apply(typed.iloc[np.argsort(rank.to_numpy(), kind="stable")])
 
 
+def _index_of(seen: DataFrame) -> DataFrame:
+    """The live keys of a new index over all rows of :func:`digests`."""
+    buckets = max(1, -(-seen.count() // BUCKET_KEYS))
+    return stage(update_index(None, buckets, seen), "cuckoo-index").filter("kind = 'key'")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: the row that stays of its equal texts, and the size of the group.
 
     Texts are equal when they are identical; null counts as empty.  Of equal
     texts the row with the largest ``doc_id`` stays.  A null id stays only when
-    no row of its group has an id; rows that repeat both id and text stay or
-    go together.  An empty table gives no rows; other columns are ignored.
+    no row of its group has an id; rows that repeat both id and text are told
+    alike.  Texts of any length are read whole.  An empty table gives no rows; other columns are ignored.
     """
     seen = stage(digests(docs), "digests")
-    buckets = max(1, -(-seen.count() // BUCKET_KEYS))
-    index = stage(update_index(None, buckets, seen), "cuckoo-index")
-    live = index.filter("kind = 'key'").select("sha", "keep_id", F.col("live").alias("group_size"))
+    live = _index_of(seen).select("sha", "keep_id", F.col("live").alias("group_size"))
     return seen.join(live, "sha").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"),
-                                                        F.unhex("text_sha256").alias("_sha")).distinct()
-    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
+    """One row of each group of equal texts, with all its columns: the one with the largest ``doc_id``.
+
+    Of rows that repeat both, and of equal texts without any id, one stays.
+    """
+    rows = numbered(docs)
+    seen = stage(digests(rows.select("doc.*", F.col("row").alias(_ROW)), _ROW), "digests")
+    live = _index_of(seen).select("sha", "keep_id")
+    chosen = (seen.join(live, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+              .groupBy("sha").agg(F.min(_ROW).alias("row")))
+    return without(rows, seen.select(F.col(_ROW).alias("row")).join(chosen.select("row"), "row", "left_anti"))
 
 
 def rows_of(index: DataFrame) -> Iterator:

@@ -17,6 +17,7 @@ stays linear however many near copies there are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.graph import connected_components
+from tidewatch.llm.rows import numbered, without
 from tidewatch.session import stage
 
 SHINGLE, SEED = 3, 42
 BUCKET_CAP = 64
-BATCH_ROWS = "1000"
+# Near copies: 128 bits over two-word shingles in six segments, verified on five-word shingles.
+PRINT_SHINGLE, SEGMENTS, SEGMENT_BITS, FLIPS, RADIUS = 2, 6, 21, 4, 26
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+MAX_ROUNDS = 40
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -61,7 +66,6 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and signed 64-bit fingerprint ``fp`` of every whole text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.mapInPandas(_fingerprints, "doc_id long, fp long")
 
@@ -93,7 +97,7 @@ def near_duplicates(docs: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
 
     A null or empty text has fingerprint zero and links like any other.  A row
     whose ``doc_id`` is null takes part in links and gets the smallest id of
-    its component, null if there is none.  Repeated rows give repeated rows,
+    its component, null if there is none.  Texts of any length are read whole.  Repeated rows give repeated rows,
     an empty table none; other columns are ignored.
     """
     prints = stage(fingerprints(docs), "fingerprints")
@@ -107,7 +111,133 @@ def near_duplicates(docs: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component (rows without id stay)."""
-    dropped = (near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+# ---------------------------------------------------------------- near copies
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """One 64-bit hash per shingle, repeats included; of a shorter text the whole is one."""
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    return np.fromiter((digest(b" ".join(words[k:k + shingle]), SEED) for k in range(n)), np.uint64, n)
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash made from each first one, with all its bits mixed."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_print(text: str | None, shingle: int = PRINT_SHINGLE, flips: int = FLIPS) -> tuple[int, int, list[int], list[int]]:
+    """A 128-bit SimHash as two signed integers, the keys of its segments, and the keys to look up.
+
+    Of the small Hamming ball around a segment those keys are looked up that a
+    near copy most likely has: the segment itself, and it with one of the
+    ``flips`` bits changed whose votes were closest.
+    """
+    hashes = _hashes(_words(text), shingle)
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at:at + (1 << 14)]
+        both = np.stack([part, _mixed(part)], axis=1).astype("<u8").view(np.uint8)
+        votes += 2 * np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(part)
+    bits = votes > 0
+    own, probes = [], []
+    for segment in range(SEGMENTS):
+        place = slice(segment * SEGMENT_BITS, (segment + 1) * SEGMENT_BITS)
+        key = segment << SEGMENT_BITS | int(bits[place] @ (1 << np.arange(SEGMENT_BITS)))
+        own.append(key)
+        probes += [key, *(key ^ (1 << int(bit)) for bit in np.argsort(np.abs(votes[place]), kind="stable")[:flips])]
+    low, high = np.packbits(bits, bitorder="little").view("<i8").tolist()
+    return low, high, own, probes
+
+
+def _wide_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [wide_print(text) for text in batch.text]
+        yield pd.DataFrame({"row": batch.row, **dict(zip(("low", "high", "own", "probes"), zip(*rows)))})
+
+
+def jaccard(one: str | None, other: str | None, shingle: int = NEAR_SHINGLE) -> float:
+    """Similarity of the sets of shingles of two texts; one for two texts without words."""
+    a, b = (set(_hashes(words, shingle).tolist()) if words else set() for words in (_words(one), _words(other)))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _verified(similarity: float):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [jaccard(one, other) >= similarity for one, other in zip(batch.one, batch.other, strict=True)]
+            yield batch.loc[near, ["a", "b"]]
+    return verify
+
+
+def _candidates(active: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a``, ``b`` that share a key and are close on all bits, and the keys that are crowded."""
+    table = active.select(F.explode("own").alias("key"), F.col("row").alias("b"), F.col("low").alias("low_b"),
+                          F.col("high").alias("high_b"), "order")
+    probes = active.select(F.explode("probes").alias("key"), F.col("row").alias("a"), "low", "high")
+    sizes = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("order", "b", "low_b", "high_b")).alias("first"))
+    crowded = stage(sizes.filter(F.col("n") > cap).select("key", "first.*"), "crowded")
+    shown = ["key", "b", "low_b", "high_b"]
+    targets = table.join(crowded.select("key"), "key", "left_anti").select(shown).unionByName(crowded.select(shown))
+    differ = (F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))))
+    pairs = probes.join(targets, "key").filter((F.col("a") != F.col("b")) & (differ <= RADIUS))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+
+
+def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int = BUCKET_CAP) -> DataFrame:
+    """The ``row`` of every document that is dropped as a copy or near copy of one that stays.
+
+    ``rows`` is a table of :func:`~tidewatch.llm.rows.numbered` documents.
+    Equal texts are one point.  Points link when they share a key, differ in
+    at most ``RADIUS`` of 128 bits and the Jaccard similarity of their
+    five-word shingles, computed on the whole texts, reaches ``similarity``.
+    Of linked points the one with the smallest ``doc_id`` stays.
+
+    The points of a key are compared with each other, or, where it is crowded
+    (more than ``cap``), with its first one.  Then the search is repeated
+    among what is left, until no key is crowded; if a round drops nothing,
+    the next one compares all.  So whatever the size of a group, no two
+    points stay that meet in a key and are similar.
+    """
+    text = F.coalesce("doc.text", F.lit(""))
+    plain = rows.select("row", text.alias("text"))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").cast("long").alias("doc_id"), "row")
+    same = stage(rows.select(F.sha2(text, 256).alias("sha"), order.alias("order")).groupBy("sha")
+                 .agg(F.min("order").alias("order")).select("order.row", "order"), "distinct-texts")
+    dropped = [rows.select("row").join(same.select("row"), "row", "left_anti")]
+    active = stage(plain.join(same.select("row"), "row", "left_semi").mapInPandas(
+        _wide_prints, "row long, low long, high long, own array<int>, probes array<int>").join(same, "row"), "wide-prints")
+    for _ in range(MAX_ROUNDS):
+        pairs, crowded = _candidates(active, cap)
+        with_texts = (pairs.join(plain.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
+                      .join(plain.select(F.col("row").alias("b"), F.col("text").alias("other")), "b"))
+        linked = stage(with_texts.select("a", "b", "one", "other").mapInPandas(_verified(similarity), "a long, b long"),
+                       "near-pairs")
+        roots = connected_components(linked).withColumnRenamed("node", "row")
+        members = active.select("row", "order").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        stay = members.groupBy("root").agg(F.min("order").alias("order")).select("order.row")
+        gone = stage(members.select("row").join(stay, "row", "left_anti"), "near-copies")
+        dropped.append(gone)
+        if crowded.isEmpty():
+            break
+        cap = cap if not gone.isEmpty() else 1 << 62
+        active = stage(active.join(gone, "row", "left_anti"), "wide-prints")
+    else:
+        raise RuntimeError(f"crowded keys after {MAX_ROUNDS} rounds")
+    return reduce(DataFrame.unionByName, dropped)
+
+
+def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int = BUCKET_CAP) -> DataFrame:
+    """The rows of ``docs``, with all columns, without copies and near copies of others (see :func:`near_copies`).
+
+    A null text counts as empty; texts of any length are read whole.  Of rows
+    that repeat id and text one stays, as of equal texts without any id.  An
+    empty table gives no rows.
+    """
+    rows = numbered(docs)
+    return without(rows, near_copies(rows, similarity, cap))
