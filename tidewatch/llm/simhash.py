@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm.graph import connected_components
 from tidewatch.llm.rows import numbered, without
@@ -175,34 +175,48 @@ def _verified(similarity: float):
     return verify
 
 
-def _candidates(active: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b`` that share a key and are close on all bits, and the keys that are crowded."""
-    table = active.select(F.explode("own").alias("key"), F.col("row").alias("b"), F.col("low").alias("low_b"),
-                          F.col("high").alias("high_b"), "order")
-    probes = active.select(F.explode("probes").alias("key"), F.col("row").alias("a"), "low", "high")
-    sizes = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("order", "b", "low_b", "high_b")).alias("first"))
-    crowded = stage(sizes.filter(F.col("n") > cap).select("key", "first.*"), "crowded")
-    shown = ["key", "b", "low_b", "high_b"]
-    targets = table.join(crowded.select("key"), "key", "left_anti").select(shown).unionByName(crowded.select(shown))
-    differ = (F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))))
-    pairs = probes.join(targets, "key").filter((F.col("a") != F.col("b")) & (differ <= RADIUS))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+def _keyed(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points by their own keys, and by the keys that they look up."""
+    own = active.select(F.explode("own").alias("key"), F.col("row").alias("b"), F.col("low").alias("low_b"),
+                        F.col("high").alias("high_b"), F.col("order").alias("order_b"))
+    return own, active.select(F.explode("probes").alias("key"), F.col("row").alias("a"), "low", "high", "order")
 
 
-def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int = BUCKET_CAP) -> DataFrame:
+def _differ() -> Column:
+    return F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
+
+
+def _nearest_first(active: DataFrame) -> DataFrame:
+    """Per point ``a`` the closest ``b`` among the first points of its keys, if one comes before it: a pair at most."""
+    own, probes = _keyed(active)
+    first = own.groupBy("key").agg(F.min(F.struct("order_b", "b", "low_b", "high_b")).alias("first")).select("key", "first.*")
+    found = probes.join(first, "key").withColumn("differ", _differ()).filter(
+        (F.col("order_b") < F.col("order")) & (F.col("differ") <= RADIUS))
+    return found.groupBy("a").agg(F.min(F.struct("differ", "order_b", "b")).alias("best")).select("a", "best.b")
+
+
+def _all_pairs(active: DataFrame) -> DataFrame:
+    """All pairs that share a key and are close on all bits."""
+    own, probes = _keyed(active)
+    pairs = probes.join(own, "key").filter((F.col("a") != F.col("b")) & (_differ() <= RADIUS))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The ``row`` of every document that is dropped as a copy or near copy of one that stays.
 
     ``rows`` is a table of :func:`~tidewatch.llm.rows.numbered` documents.
     Equal texts are one point.  Points link when they share a key, differ in
     at most ``RADIUS`` of 128 bits and the Jaccard similarity of their
     five-word shingles, computed on the whole texts, reaches ``similarity``.
-    Of linked points the one with the smallest ``doc_id`` stays.
 
-    The points of a key are compared with each other, or, where it is crowded
-    (more than ``cap``), with its first one.  Then the search is repeated
-    among what is left, until no key is crowded; if a round drops nothing,
-    the next one compares all.  So whatever the size of a group, no two
-    points stay that meet in a key and are similar.
+    First every point is compared with one point that comes before it in the
+    order of ``doc_id``, the closest of those that are the first ones of its
+    keys, and dropped if they link; that is repeated among what is left until
+    it drops nothing.  A group of copies of any size has shrunk to a few
+    points by then, at one comparison per point and round.  Then all pairs
+    that are left are compared, and of each linked group the point with the
+    smallest ``doc_id`` stays.  So no two points stay that link.
     """
     text = F.coalesce("doc.text", F.lit(""))
     plain = rows.select("row", text.alias("text"))
@@ -210,29 +224,30 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int =
     same = stage(rows.select(F.sha2(text, 256).alias("sha"), order.alias("order")).groupBy("sha")
                  .agg(F.min("order").alias("order")).select("order.row", "order"), "distinct-texts")
     dropped = [rows.select("row").join(same.select("row"), "row", "left_anti")]
-    active = stage(plain.join(same.select("row"), "row", "left_semi").mapInPandas(
-        _wide_prints, "row long, low long, high long, own array<int>, probes array<int>").join(same, "row"), "wide-prints")
-    for _ in range(MAX_ROUNDS):
-        pairs, crowded = _candidates(active, cap)
-        with_texts = (pairs.join(plain.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
+    active = stage(plain.mapInPandas(_wide_prints, "row long, low long, high long, own array<int>, probes array<int>")
+                   .join(same, "row"), "wide-prints")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        with_texts = (stage(pairs, "near-candidates")
+                      .join(plain.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
                       .join(plain.select(F.col("row").alias("b"), F.col("text").alias("other")), "b"))
-        linked = stage(with_texts.select("a", "b", "one", "other").mapInPandas(_verified(similarity), "a long, b long"),
-                       "near-pairs")
-        roots = connected_components(linked).withColumnRenamed("node", "row")
-        members = active.select("row", "order").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-        stay = members.groupBy("root").agg(F.min("order").alias("order")).select("order.row")
-        gone = stage(members.select("row").join(stay, "row", "left_anti"), "near-copies")
-        dropped.append(gone)
-        if crowded.isEmpty():
+        return stage(with_texts.select("a", "b", "one", "other").mapInPandas(_verified(similarity), "a long, b long"),
+                     "near-pairs")
+
+    for _ in range(MAX_ROUNDS):
+        gone = linked(_nearest_first(active)).select(F.col("a").alias("row"))
+        if gone.isEmpty():
             break
-        cap = cap if not gone.isEmpty() else 1 << 62
+        dropped.append(gone)
         active = stage(active.join(gone, "row", "left_anti"), "wide-prints")
-    else:
-        raise RuntimeError(f"crowded keys after {MAX_ROUNDS} rounds")
+    roots = connected_components(linked(_all_pairs(active))).withColumnRenamed("node", "row")
+    members = active.select("row", "order").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    stay = members.groupBy("root").agg(F.min("order").alias("order")).select("order.row")
+    dropped.append(members.select("row").join(stay, "row", "left_anti"))
     return reduce(DataFrame.unionByName, dropped)
 
 
-def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int = BUCKET_CAP) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all columns, without copies and near copies of others (see :func:`near_copies`).
 
     A null text counts as empty; texts of any length are read whole.  Of rows
@@ -240,4 +255,4 @@ def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, cap: int = BU
     empty table gives no rows.
     """
     rows = numbered(docs)
-    return without(rows, near_copies(rows, similarity, cap))
+    return without(rows, near_copies(rows, similarity))
