@@ -113,8 +113,16 @@ WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """Without white space of any kind at either end.
+
+    Trimming looks every end up in the whole list, so a text that begins and
+    ends with a visible ASCII character is taken as it is.
+    """
+    def visible(end: Column) -> Column:
+        return end.between("!", "~")
+
+    return F.when(visible(F.left(text, F.lit(1))) & visible(F.right(text, F.lit(1))), text).otherwise(
+        F.btrim(text, F.lit(WHITE_SPACE)))
 
 
 def unsw_clean_category(raw: Column) -> Column:

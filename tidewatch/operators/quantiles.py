@@ -21,8 +21,11 @@ from math import ceil, floor, inf, nan
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from tidewatch.session import stage
+
 FINISH_ROWS = 1_000_000  # rows per interval that are counted value by value
 _ACCURACY = 10_000
+QUARTERS = (0.25, 0.5, 0.75)
 
 
 def keyed_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,6 +45,19 @@ class _Rank:
     high: float = inf
     answer: float | None = None
 
+    def shrink(self, low: float, high: float, below: int, at_low: int, between: int, above: int) -> None:
+        """Move on to the part that holds the rank, given how many values lie where of ``low`` and ``high``."""
+        if self.k < below:
+            self.high, self.n = low, below
+        elif self.k >= self.n - above:
+            self.low, self.k, self.n = high, self.k - (self.n - above), above
+        elif self.k < below + at_low:
+            self.answer = low
+        elif self.k >= below + at_low + between:
+            self.answer = high
+        else:
+            self.low, self.high, self.k, self.n = low, high, self.k - below - at_low, between
+
 
 def _inside(values: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
     """Values joined to a small driver table of open intervals (key, low, high, ...)."""
@@ -72,18 +88,7 @@ def _narrow(values: DataFrame, ranks: dict[int, _Rank], margin: float) -> None:
         F.count_if((value > low) & (value < high)).alias("between"),
         F.count_if(value > high).alias("above"))
     for row in counted.collect():
-        r = ranks[row["rank"]]
-        if r.k < row["below"]:
-            r.high, r.n = row["from"], row["below"]
-        elif r.k >= r.n - row["above"]:
-            r.low, r.k, r.n = row["to"], r.k - (r.n - row["above"]), row["above"]
-        elif r.k < row["below"] + row["at_low"]:
-            r.answer = row["from"]
-        elif r.k >= row["below"] + row["at_low"] + row["between"]:
-            r.answer = row["to"]
-        else:
-            r.low, r.high = row["from"], row["to"]
-            r.k, r.n = r.k - row["below"] - row["at_low"], row["between"]
+        ranks[row["rank"]].shrink(*(row[name] for name in ("from", "to", "below", "at_low", "between", "above")))
 
 
 def _resolve(values: DataFrame, wanted: list[_Rank], finish_rows: int) -> None:
@@ -180,16 +185,65 @@ def exact_percentile(df: DataFrame, column: str, q: float, finish_rows: int = FI
     return rows[0]["value"] if rows else None
 
 
+def _quarter_ranks(told: Row, place: int) -> dict[int, float | _Rank]:
+    """What is known of the ranks beside the quarters of a column: a special value, or a rank among its numbers."""
+    n, below = told[f"n{place}"], told[f"below{place}"]
+    finite = n - below - told[f"above{place}"] - told[f"nan{place}"]
+    out: dict[int, float | _Rank] = {}
+    for q in QUARTERS:
+        for k in (floor(q * (n - 1)), ceil(q * (n - 1))):
+            special = -inf if k < below else inf if k < n - told[f"nan{place}"] else nan
+            out[k] = _Rank(str(place), k - below, finite) if below <= k < below + finite else special
+    return out
+
+
+def _nearest_bounds(rank: _Rank, sketch: list[float], finite: int) -> tuple[float, float]:
+    """The sketched values that should enclose a rank."""
+    at = min(range(len(QUARTERS)), key=lambda i: abs(QUARTERS[i] - (rank.k + 0.5) / finite))
+    return sketch[2 * at], sketch[2 * at + 1]
+
+
 def describe(df: DataFrame, columns: Sequence[str], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, one row each.
 
-    A column of nulls only gives no row.
+    A column of nulls only gives no row.  All columns are taken side by side
+    in one aggregate, which also sketches bounds for the quartiles; a second
+    one counts what lies where of these bounds, and only values strictly
+    between them, a few ten-thousandths, are looked at one by one.
     """
-    values = keyed_values(df, columns)
-    sizes = _sizes(values, F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                   F.min("value").alias("min"), F.max("value").alias("max"))
-    quarters = _percentiles(values, sizes, [0.25, 0.5, 0.75], finish_rows)
-    rows = [(r["key"], r["n"], r["mean"], r["std"], r["min"], *quarters[r["key"]], r["max"]) for r in sizes]
+    places = range(len(columns))
+    value = [F.col(f"v{i}") for i in places]
+    wide = stage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "described")
+    finite = [F.when((v > -inf) & (v < inf), v) for v in value]
+    shares = [share for q in QUARTERS for share in (q - 2.0 / _ACCURACY, q + 2.0 / _ACCURACY)]
+    told = wide.agg(*[stat.alias(f"{name}{i}") for i, v in enumerate(value) for name, stat in {
+        "n": F.count(v), "below": F.count_if(v == -inf), "above": F.count_if(v == inf), "nan": F.count_if(F.isnan(v)),
+        "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
+        "sketch": F.percentile_approx(finite[i], shares, _ACCURACY)}.items()]).first()
+    answers = {i: _quarter_ranks(told, i) for i in places if told[f"n{i}"]}
+    ranks = [(i, a) for i, known in answers.items() for a in known.values() if isinstance(a, _Rank)]
+    bounds = sorted({(i, *_nearest_bounds(r, told[f"sketch{i}"], r.n)) for i, r in ranks})
+    if bounds:
+        counts = wide.agg(*[F.count_if(test).alias(f"{name}{j}") for j, (i, low, high) in enumerate(bounds) for name, test in {
+            "below": finite[i] < low, "at_low": finite[i] == low, "between": (finite[i] > low) & (finite[i] < high),
+            "above": finite[i] > high}.items()]).first()
+        for i, r in ranks:
+            j = bounds.index((i, *_nearest_bounds(r, told[f"sketch{i}"], r.n)))
+            _, low, high = bounds[j]
+            r.shrink(low, high, *(counts[f"{name}{j}"] for name in ("below", "at_low", "between", "above")))
+        left = {(i, r.low, r.high) for i, r in ranks if r.answer is None}
+        near = [F.when((finite[i] > low) & (finite[i] < high), F.struct(F.lit(str(i)).alias("key"), value[i].alias("value")))
+                for i, low, high in {(i, min(x[1] for x in left if x[0] == i), max(x[2] for x in left if x[0] == i))
+                                     for i, _, _ in left}]
+        if near:
+            _resolve(wide.select(F.inline(F.array_compact(F.array(*near)))), [r for _, r in ranks if r.answer is None],
+                     finish_rows)
+    rows = []
+    for i, known in answers.items():
+        at = {k: a.answer if isinstance(a, _Rank) else a for k, a in known.items()}
+        wanted = [q * (told[f"n{i}"] - 1) for q in QUARTERS]
+        quarters = [_between(at[floor(p)], at[ceil(p)], p - floor(p)) for p in wanted]
+        rows.append((columns[i], *(told[f"{name}{i}"] for name in ("n", "mean", "std", "min")), *quarters, told[f"max{i}"]))
     return df.sparkSession.createDataFrame(
         rows, "feature string, count long, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double")
