@@ -9,19 +9,38 @@ from verification.check import TABLES, compare
 SELECTED = [
     "read_nsl_csv", "validate_types", "coerce_log_schema", "enrich_logs", "message_risk_score_texts",
     "expanded_features", "nsl_standardize", "unsw_standardize", "value_counts", "describe_features",
-    "iforest_path_length", "predict_logs", "context_evaluate", "event_correlation", "threat_score",
+    "iforest_path_length", "predict_logs", "context_evaluate", "rule_whitelist_table", "event_correlation", "threat_score",
     "score_factors", "alert_cooldown", "response_stats", "process_logs", "ingest_response", "alert_feed",
     "stat_tiles", "score_histogram", "severity_distribution", "fp_reduction", "session_counts"]
 
 
-@pytest.fixture(scope="module")
-def db(sf):
+STREAMS = ["stream_process_logs", "stream_correlation_cooldown", "stream_stats", "fanout_sinks", "stream_alert_retention",
+           "stream_latency", "stream_late_rows"]
+STREAM_SF = "/root/testdata/sf0.01"  # large enough for a late row with an unreadable time
+
+
+def connected(sf):
     connection = duckdb.connect()
     for table in TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     return connection
 
 
+@pytest.fixture(scope="module")
+def db(sf):
+    return connected(sf)
+
+
+@pytest.fixture(scope="module")
+def stream_db():
+    return connected(STREAM_SF)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_match_sql(spark, stream_db, name):
+    assert compare(spark, stream_db, name, STREAM_SF).startswith("ok")
+
+
 def test_registry():
     queries, oracles = driver.queries(), driver.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 115
