@@ -58,7 +58,7 @@ def scored(spark, *rows):
     from datetime import datetime, timedelta, timezone
     base = datetime(2024, 1, 1, 1, 0, 0, tzinfo=timezone.utc)
     data = [(i, base + timedelta(seconds=r[0]), *r[1:]) for i, r in enumerate(rows)]
-    return scoring.threat_score(spark.createDataFrame(data, SCORE), staged=False)
+    return scoring.threat_score(spark.createDataFrame(data, SCORE))
 
 
 def exfiltration(at, flags=()):
