@@ -85,3 +85,37 @@ def test_similarity_of_texts():
     assert simhash.jaccard("A b  c d e f", "a B c d\te\nF") == 1.0 == simhash.jaccard("", None) == simhash.jaccard(" ", "\t")
     for one, other in (("a b c d e f g", "a b c d e f h"), ("a b", "a b c"), ("a", ""), ("\u00c4 b c d e", "\u00e4 b c d e")):
         assert simhash.jaccard(one, other) == plain_jaccard(one, other)
+
+
+def test_sketch_follows_similarity():
+    """Differing bits of 256 stay near (1 - s) / 2 of them, whatever the order and number of the shingles."""
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(900)]
+    for kept in (1.0, 0.97, 0.9, 0.0):
+        one = r.choices(vocabulary, k=400)
+        other = [w if r.random() < kept else f"n{k}" for k, w in enumerate(one)]
+        sketches = [simhash.sketch(simhash._hashes([w.encode() for w in words], 5)) for words in (one, other)]
+        differ = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(*sketches))
+        expected = 128 * (1 - plain_jaccard(" ".join(one), " ".join(other)))
+        assert abs(differ - expected) <= 4.5 * (expected * (1 - expected / 256)) ** 0.5, (kept, differ, expected)
+    hashes = simhash._hashes([w.encode() for w in r.choices(vocabulary, k=700)], 5)
+    assert simhash.sketch(hashes) == simhash.sketch(hashes[::-1].repeat(2))
+
+
+def test_far_ends_of_a_group_are_not_compared(spark):
+    """Copies that share three words in four, but few shingles, meet in keys; the sketch leaves them out unread."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in r.sample(range(400), 24):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, DOC)
+    points = docs.select(docs.doc_id.alias("row"), "text").mapInPandas(simhash._wide_prints, simhash._WIDE)
+    active = points.withColumn("order", points.row)
+    own, probes = simhash._keyed(active)
+    meeting = probes.join(own, "key").filter("a <> b").count()
+    assert meeting > 5_000 and simhash._all_pairs(active).count() < meeting / 100
+    assert simhash.keep_one(docs).count() == 300

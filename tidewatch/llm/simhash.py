@@ -16,7 +16,7 @@ stays linear however many near copies there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -33,7 +33,11 @@ BUCKET_CAP = 64
 # Near copies: 128 bits over two-word shingles in six segments, verified on five-word shingles.
 PRINT_SHINGLE, SEGMENTS, SEGMENT_BITS, FLIPS, RADIUS = 2, 6, 21, 4, 26
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+# One bit of the smallest value of each of 256 hashes of the five-word shingles: texts at similarity s differ in
+# (1 - s) / 2 of them, 25.6 at 0.8 with a deviation of 4.8.
+SKETCH_WORDS, SKETCH_RADIUS = 4, 40
 MAX_ROUNDS = 40
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, 64 * SKETCH_WORDS, np.uint32) | np.uint32(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -131,6 +135,19 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """One bit per smallest value of differently multiplied hashes, as signed integers; order and repeats do not count."""
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), 256):
+        values = upper[at:at + 256, None] * _FACTORS
+        values ^= values >> np.uint32(16)
+        values *= np.uint32(0x85EBCA6B)
+        np.minimum(least, values.min(axis=0), out=least)
+    bits = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def wide_print(text: str | None, shingle: int = PRINT_SHINGLE, flips: int = FLIPS) -> tuple[int, int, list[int], list[int]]:
     """A 128-bit SimHash as two signed integers, the keys of its segments, and the keys to look up.
 
@@ -155,10 +172,17 @@ def wide_print(text: str | None, shingle: int = PRINT_SHINGLE, flips: int = FLIP
     return low, high, own, probes
 
 
+_MARKS = ("low", "high", *(f"sketch{k}" for k in range(SKETCH_WORDS)))
+_WIDE = f"row long, {', '.join(f'{name} long' for name in _MARKS)}, own array<int>, probes array<int>"
+
+
 def _wide_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [wide_print(text) for text in batch.text]
-        yield pd.DataFrame({"row": batch.row, **dict(zip(("low", "high", "own", "probes"), zip(*rows)))})
+        rows = []
+        for text in batch.text:
+            low, high, own, probes = wide_print(text)
+            rows.append((low, high, *sketch(_hashes(_words(text), NEAR_SHINGLE)), own, probes))
+        yield pd.DataFrame({"row": batch.row, **dict(zip((*_MARKS, "own", "probes"), zip(*rows)))})
 
 
 def jaccard(one: str | None, other: str | None, shingle: int = NEAR_SHINGLE) -> float:
@@ -177,28 +201,33 @@ def _verified(similarity: float):
 
 def _keyed(active: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points by their own keys, and by the keys that they look up."""
-    own = active.select(F.explode("own").alias("key"), F.col("row").alias("b"), F.col("low").alias("low_b"),
-                        F.col("high").alias("high_b"), F.col("order").alias("order_b"))
-    return own, active.select(F.explode("probes").alias("key"), F.col("row").alias("a"), "low", "high", "order")
+    own = active.select(F.explode("own").alias("key"), F.col("row").alias("b"), F.col("order").alias("order_b"),
+                        *[F.col(name).alias(f"{name}_b") for name in _MARKS])
+    return own, active.select(F.explode("probes").alias("key"), F.col("row").alias("a"), "order", *_MARKS)
+
+
+def _differ(names: Sequence[str]) -> Column:
+    return sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in names), F.lit(0))
 
 
-def _differ() -> Column:
-    return F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
+def _close() -> Column:
+    return (_differ(_MARKS[:2]) <= RADIUS) & (_differ(_MARKS[2:]) <= SKETCH_RADIUS)
 
 
 def _nearest_first(active: DataFrame) -> DataFrame:
     """Per point ``a`` the closest ``b`` among the first points of its keys, if one comes before it: a pair at most."""
     own, probes = _keyed(active)
-    first = own.groupBy("key").agg(F.min(F.struct("order_b", "b", "low_b", "high_b")).alias("first")).select("key", "first.*")
-    found = probes.join(first, "key").withColumn("differ", _differ()).filter(
-        (F.col("order_b") < F.col("order")) & (F.col("differ") <= RADIUS))
-    return found.groupBy("a").agg(F.min(F.struct("differ", "order_b", "b")).alias("best")).select("a", "best.b")
+    first = own.groupBy("key").agg(F.min(F.struct("order_b", *[c for c in own.columns if c not in ("key", "order_b")]))
+                                   .alias("first")).select("key", "first.*")
+    found = probes.join(first, "key").filter((F.col("order_b") < F.col("order")) & _close())
+    return (found.groupBy("a").agg(F.min(F.struct(_differ(_MARKS[2:]).alias("differ"), "order_b", "b")).alias("best"))
+            .select("a", "best.b"))
 
 
 def _all_pairs(active: DataFrame) -> DataFrame:
-    """All pairs that share a key and are close on all bits."""
+    """All pairs that share a key and are close on all bits of print and sketch."""
     own, probes = _keyed(active)
-    pairs = probes.join(own, "key").filter((F.col("a") != F.col("b")) & (_differ() <= RADIUS))
+    pairs = probes.join(own, "key").filter((F.col("a") != F.col("b")) & _close())
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -207,8 +236,11 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFra
 
     ``rows`` is a table of :func:`~tidewatch.llm.rows.numbered` documents.
     Equal texts are one point.  Points link when they share a key, differ in
-    at most ``RADIUS`` of 128 bits and the Jaccard similarity of their
-    five-word shingles, computed on the whole texts, reaches ``similarity``.
+    at most ``RADIUS`` of 128 bits and in at most ``SKETCH_RADIUS`` of the 256
+    bits of a sketch of their five-word shingles, and the Jaccard similarity
+    of these shingles, computed on the whole texts, reaches ``similarity``.
+    The sketch keeps texts apart that have most words in common but not their
+    shingles, such as the far ends of a large group of copies.
 
     First every point is compared with one point that comes before it in the
     order of ``doc_id``, the closest of those that are the first ones of its
@@ -224,8 +256,7 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFra
     same = stage(rows.select(F.sha2(text, 256).alias("sha"), order.alias("order")).groupBy("sha")
                  .agg(F.min("order").alias("order")).select("order.row", "order"), "distinct-texts")
     dropped = [rows.select("row").join(same.select("row"), "row", "left_anti")]
-    active = stage(plain.mapInPandas(_wide_prints, "row long, low long, high long, own array<int>, probes array<int>")
-                   .join(same, "row"), "wide-prints")
+    active = stage(plain.mapInPandas(_wide_prints, _WIDE).join(same, "row"), "wide-prints")
 
     def linked(pairs: DataFrame) -> DataFrame:
         with_texts = (stage(pairs, "near-candidates")
