@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Callable
 
@@ -223,14 +224,23 @@ SCALER_SQL = "SELECT * FROM (" + " UNION ALL ".join(
     f"FROM unified WHERE label = 0 AND split = 'train'" for i, c in enumerate(K.TABLE_FEATURES)) + ")"
 
 
-@query("save_load_model", SCALER_SQL, "unified")
+@query("save_load_model", f"""SELECT *, true AS same_forest, true AS same_settings,
+  (SELECT count(*) FROM unified WHERE label = 0 AND split = 'train') AS training_rows FROM ({SCALER_SQL})""", "unified")
 def save_load_model(t: Inputs) -> DataFrame:
+    """The stored scaler, and whether every node, the threshold and all other settings come back as they were."""
     path = t.path("model")
-    model_store.save_model(t.spark, _trained(t), path)
+    model = _trained(t)
+    model_store.save_model(t.spark, model, path)
     loaded = model_store.load_model(t.spark, path)
     assert model_store.model_n_features(t.spark, path) == loaded.n_features
+    nodes = [sorted((row.asDict() for row in m.forest), key=lambda n: (n["tree_id"], n["node_id"])) for m in (model, loaded)]
+    settings = [f.name for f in dataclasses.fields(model) if f.name != "forest"]
     table = t.spark.read.parquet(f"{path}/scaler")
-    return table.select("position", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return table.select(
+        "position", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+        F.lit(len(nodes[0]) > 0 and nodes[0] == nodes[1]).alias("same_forest"),
+        F.lit(all(getattr(model, name) == getattr(loaded, name) for name in settings)).alias("same_settings"),
+        F.lit(loaded.training_rows).cast("long").alias("training_rows"))
 
 
 @query("write_action_log",
@@ -959,8 +969,7 @@ def threat_score(t: Inputs) -> DataFrame:
     return t.scored.select("id", "threat_score", "severity", "repeat_count")
 
 
-@query("score_factors", f"""
-SELECT id, CASE WHEN severity = 'SUPPRESSED' THEN context_reason END AS reason,
+FACTORS_SQL = f"""CASE WHEN severity = 'SUPPRESSED' THEN context_reason END AS reason,
   CASE WHEN is_live THEN ml_points END AS ml_anomaly_base,
   CASE WHEN is_live AND bytes_sent > 100000 THEN bytes_sent END AS high_bytes_sent,
   CASE WHEN is_live AND dst_port IN ({', '.join(map(str, K.SUSPICIOUS_PORTS))}) THEN dst_port END AS suspicious_port,
@@ -970,7 +979,10 @@ SELECT id, CASE WHEN severity = 'SUPPRESSED' THEN context_reason END AS reason,
   CASE WHEN is_live THEN correlation_points END AS event_correlation,
   CASE WHEN is_live THEN repeat_count END AS repeat_count,
   CASE WHEN is_live THEN bonus_points END AS attack_pattern_bonus,
-  CASE WHEN is_live AND f_peak THEN true END AS peak_hours_reduction FROM scored""", "scored")
+  CASE WHEN is_live AND f_peak THEN true END AS peak_hours_reduction"""
+
+
+@query("score_factors", f"SELECT id, {FACTORS_SQL} FROM scored", "scored")
 def score_factors(t: Inputs) -> DataFrame:
     return t.scored.select("id", "factors.*")
 
@@ -1004,9 +1016,12 @@ def _alerts_shown(alerts: DataFrame) -> DataFrame:
                          "anomaly_score", "confidence", F.col("factors.repeat_count").alias("repeat_count"))
 
 
-@query("create_alert", ALERT_SQL, "alerts")
+@query("create_alert", f"""SELECT alert_id AS id, timestamp_utc AS timestamp, severity, threat_score, src_ip, dst_ip,
+  event_type, message, anomaly_score, confidence, {FACTORS_SQL} FROM (SELECT *, true AS is_live FROM alerts)""", "alerts")
 def create_alert(t: Inputs) -> DataFrame:
-    return _alerts_shown(t.run().alerts())
+    """Alerts with each of their factors in a column."""
+    return t.run().alerts().select("id", "timestamp", "severity", "threat_score", "src_ip", "dst_ip", "event_type",
+                                   "message", "anomaly_score", "confidence", "factors.*")
 
 
 @query("response_actions", "SELECT alert_id, position, action AS type, description, target FROM actions", "actions")
