@@ -1,8 +1,10 @@
 """Mixing, vectors, URLs, components and the pipeline against brute force."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -33,7 +35,7 @@ def test_components(spark):
 
 def test_mixing_is_fair(spark, documents, rows, no_documents):
     weights, other, block = {"src0": 7, "src1": 3, "src2": 5, "nothing": 4}, 6, 2
-    got = mixing.mixed(documents, weights, other, block).collect()
+    got = mixing.mixed(documents, weights, other, block, max_sources=0).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows)
     assert sorted(r.position for r in got) == list(range(len(rows)))
     ordered = sorted(got, key=lambda r: r.position)
@@ -58,13 +60,99 @@ def test_mixing_is_fair(spark, documents, rows, no_documents):
     for ids in by_source.values():
         assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert mixing.mixed(no_documents, weights, other, block).count() == 0
-    stored = mixing.in_mixed_order(documents, weights, other, block)
+    stored = mixing.in_mixed_order(documents, weights, other, block, max_sources=0)
     assert stored.columns == documents.columns
     place = {r.doc_id: r.position for r in ordered}
     first = [place[r.doc_id] for r in stored.select("doc_id").collect() if r.doc_id != 900004]
     assert first == sorted(first)
 
 
+def replay(rows, weights, other, block):
+    """Positions by serving slot after slot, from the groups' queues; equal ids are told apart by their count only."""
+    queues = defaultdict(list)
+    for r in rows:
+        queues["*" if r.source is None else r.source].append(r.doc_id)
+    for ids in queues.values():
+        ids.sort(key=lambda i: (i is not None, i or 0))
+    unnamed = [g for g in queues if g not in weights]
+    # Exact parts: fractions of the whole, whatever integers the operator takes for them.
+    part = {g: Fraction(weights[g]) if g in weights else Fraction(other, len(unnamed)) for g in queues}
+    left, out, begin, slot = {g: -(-len(ids) // block) for g, ids in queues.items()}, [], 0, 0
+    served, phase = dict.fromkeys(queues, 0), dict.fromkeys(queues, 0)
+    while left:
+        total = sum(part[g] for g in left)
+        ready = []
+        for g in left:
+            release = math.floor(phase[g] * total / part[g])
+            if begin + release <= slot:
+                ready.append((math.ceil((phase[g] + 1) * total / part[g]), g))
+        _, g = min(ready)
+        out += [(slot, g, i) for i in queues[g][served[g] * block:(served[g] + 1) * block]]
+        served[g] += 1
+        phase[g] += 1
+        left[g] -= 1
+        slot += 1
+        if not left[g]:  # the next phase starts with the groups that have blocks left
+            del left[g]
+            begin, phase = slot, dict.fromkeys(queues, 0)
+    return out
+
+
+def test_mixing_equals_a_replay_for_every_source(spark, documents, rows):
+    for weights, other, block in (({"src0": 7, "src1": 3, "src2": 5, "nothing": 4}, 6, 2), ({}, 1, 3),
+                                  (queries.SOURCE_WEIGHTS, queries.OTHER_WEIGHT, queries.BLOCK_ROWS)):
+        got = sorted(mixing.mixed(documents, weights, other, block).collect(), key=lambda r: r.position)
+        assert [r.position for r in got] == list(range(len(rows)))
+        assert all(r.grp == ("*" if r.source is None else r.source) and r.release <= r.slot < r.deadline for r in got)
+        assert [(r.slot, r.grp, r.doc_id) for r in got] == replay(rows, weights, other, block)
+
+
+def test_every_source_is_within_one_block(spark):
+    weights, other = {f"src{k}": 10 + 7 * k for k in range(6)}, 60
+    parts = mixing.shares(weights, other, [f"src{k}" for k in range(6, 20)])
+    assert all(Fraction(parts[f"src{k}"], sum(parts.values())) == Fraction(60, 14 * (sum(weights.values()) + 60))
+               for k in range(6, 20))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.expr("concat('src', id % 20)").alias("source"))
+    got = mixing.mixed(docs, weights, other, 4).groupBy("slot").agg(F.first("grp").alias("grp")).collect()
+    order = [r.grp for r in sorted(got, key=lambda r: r.slot)]
+    counts, total = Counter(), sum(parts.values())
+    for slot, grp in enumerate(order):
+        counts[grp] += 1
+        if max(counts.values()) == 500:  # a source of 2,000 rows has run out, the first phase ends
+            break
+        assert all(abs(counts[g] * total - (slot + 1) * w) < total for g, w in parts.items())
+    assert max(counts.values()) == 500
+
+
+def test_shares_of_many_sources():
+    for k in (1, 3, 7, 64, 97):
+        parts = mixing.shares({"a": 700, "b": 190}, 110, [f"s{n}" for n in range(k)])
+        rest = [w for g, w in parts.items() if g not in "ab"]
+        assert sum(parts.values()) <= mixing.MAX_PERIOD and parts["a"] * 190 == parts["b"] * 700
+        assert sum(rest) * 700 == parts["a"] * 110 and max(rest) - min(rest) <= 1
+    with pytest.raises(ValueError):
+        mixing.shares({"a": 9_000}, 1, ["s", "t"])
+
+
+def test_rows_without_an_id_are_spread_and_kept(spark):
+    docs = spark.range(0, 60_000, 1, 4).select(
+        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
+            F.expr("concat('s', id % 250)")).alias("source"), F.col("id").alias("row"))
+    stored = mixing.in_mixed_order(docs, {"hot": 5}, 200, 8, max_sources=30)
+    assert stored.columns == docs.columns
+    assert stored.agg(F.count("*"), F.countDistinct("row")).first() == (60_000, 60_000)
+    placed = mixing.mixed(docs, {"hot": 5}, 200, 8, max_sources=30)
+    assert placed.agg(F.count("*"), F.countDistinct("position"), F.max("position")).first() == (60_000, 60_000, 59_999)
+    assert placed.select("grp").distinct().count() == 32  # hot, 30 by themselves, the rest
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts would be joined again
+    try:
+        stored = mixing.in_mixed_order(docs, {"hot": 5}, 200, 8, max_sources=30)
+        sizes = [r["count"] for r in stored.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 30_000
+
+
 def test_schedule_stays_within_one_block():
     chance = random.Random(2)
     for _ in range(40):
