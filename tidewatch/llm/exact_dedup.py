@@ -210,11 +210,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"),
-                                                        F.unhex("text_sha256").alias("_sha")).distinct()
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Those that go are a stored table of ids and digests; where it is small
+    enough for a broadcast, no text is shuffled.
+    """
+    gone = stage(exact_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id"),
+                                                                  F.unhex("text_sha256").alias("_sha")).distinct(), "gone")
     sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
 
 
 def rows_of(index: DataFrame) -> Iterator:
