@@ -259,11 +259,12 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFra
     active = stage(plain.mapInPandas(_wide_prints, _WIDE).join(same, "row"), "wide-prints")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        with_texts = (stage(pairs, "near-candidates")
-                      .join(plain.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
-                      .join(plain.select(F.col("row").alias("b"), F.col("text").alias("other")), "b"))
-        return stage(with_texts.select("a", "b", "one", "other").mapInPandas(_verified(similarity), "a long, b long"),
-                     "near-pairs")
+        # Either text is looked up for itself: few pairs are broadcast, and only the texts of pairs are shuffled.
+        found = stage(pairs, "near-candidates")
+        one = found.join(plain.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
+        other = found.join(plain.select(F.col("row").alias("b"), F.col("text").alias("other")), "b")
+        return stage(one.join(other, ["a", "b"]).select("a", "b", "one", "other")
+                     .mapInPandas(_verified(similarity), "a long, b long"), "near-pairs")
 
     for _ in range(MAX_ROUNDS):
         gone = linked(_nearest_first(active)).select(F.col("a").alias("row"))
