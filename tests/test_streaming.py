@@ -363,3 +363,21 @@ def test_progress_becomes_a_table(spark, tmp_path):
     summary, bins = progress.latency(rows, 10)
     times = sorted(r["batch_ms"] for r in rows.collect())
     assert times[0] <= summary.first()["mean"] <= times[-1] and bins.agg(F.sum("n")).first()[0] == 5
+
+
+def test_long_buckets_and_payload_as_text_give_the_same_rows(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    write_files(source, 80, 3)
+    seen = []
+    monkeypatch.setattr("tidewatch.streaming.processor.AddressProcessor", lambda payload, bucket_ms: (
+        seen.append((payload, bucket_ms)), AddressProcessor(payload, bucket_ms))[1])
+    found = []
+    for bucket_ms in (1000, 600_000):
+        out = str(tmp_path / f"out{bucket_ms}")
+        stream = predicted(flow.enriched_stream(stream_log_text(spark, str(source), 1)))
+        flow.start(flow.score_stream(stream, "60 seconds", bucket_ms=bucket_ms), out,
+                   str(tmp_path / f"state{bucket_ms}")).awaitTermination()
+        found.append(sorted((r["id"], r["timestamp"], r["message"], r["severity"], r["threat_score"])
+                            for r in spark.read.parquet(f"{out}/logs").collect()))
+    assert found[0] == found[1] and len(found[0]) > 40
+    assert seen == [("string", 1000), ("string", 600_000)]  # a row's other columns are one text in the state

@@ -18,7 +18,7 @@ from tidewatch.plans.feeds import log_payload
 from tidewatch.session import use_rocksdb_state
 from tidewatch.sources.datasets import path_exists
 from tidewatch.sources.sinks import commit_batch, overwrite_batch
-from tidewatch.streaming.processor import follow_addresses
+from tidewatch.streaming.processor import BUCKET_MS, follow_addresses
 
 # stays ahead of disorder between sources; live rows later than this are set apart unscored, see late_rows
 DEFAULT_DELAY = "60 seconds"
@@ -33,7 +33,8 @@ def enriched_stream(raw: DataFrame, ingest_ts: Column | None = None) -> DataFram
     return enrich_logs(valid, ingest_ts)
 
 
-def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column | None = None) -> DataFrame:
+def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column | None = None,
+                 bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Every log with its score; live rows follow once the watermark has passed them.
 
     ``passed`` marks the rows that raise an alert.  Only readable timestamps
@@ -41,13 +42,17 @@ def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column |
     watermark, so a log with a broken or future time cannot make others late.
     ``late`` marks live rows whose readable time is behind the watermark when
     they arrive; they come out at once, without score, severity and factors.
+
+    A live row is released when the watermark has passed the ``bucket_ms`` it
+    lies in.  State is read and written by bucket: a flow that catches up with
+    stored logs takes them long, one that alerts as logs arrive short.
     """
     use_rocksdb_state(predicted.sparkSession)
     evaluated = evaluate_context(predicted)
     told = parse_timestamp(F.col("timestamp"), F.lit(None).cast("timestamp"))
     clock = F.when(told <= (F.current_timestamp() if now is None else now), told)
     live = live_rows(evaluated).withColumn(_CLOCK, clock).withWatermark(_CLOCK, delay)
-    followed = follow_addresses(live, _CLOCK)
+    followed = follow_addresses(live, _CLOCK, bucket_ms)
     scored = finish_live(followed.withColumn(
         "correlation_points", correlation_points(F.col("repeat_count"))))
     scored = scored.withColumns({name: F.when(~F.col("late"), F.col(name))

@@ -151,7 +151,9 @@ def follow_addresses(live: DataFrame, clock: str, bucket_ms: int = BUCKET_MS) ->
     """Add ``repeat_count``, ``passed`` and ``late`` to a stream of live rows with a watermark on ``clock``.
 
     Late rows carry no count.  Rows with a null ``clock`` are never late; they
-    wait for the watermark to reach their ``ts`` like all others.
+    wait for the watermark to reach their ``ts`` like all others.  Columns
+    that the state does not look at pass through it as one JSON text: a row
+    then crosses between Spark and Python as six values, however wide it is.
     """
     fields = [f for f in live.schema.fields if f.name not in ("src_ip", "ts", "id", clock)]
     times = {f.name for f in fields if isinstance(f.dataType, TimestampType)}  # kept as numbers in the state
@@ -168,10 +170,10 @@ def follow_addresses(live: DataFrame, clock: str, bucket_ms: int = BUCKET_MS) ->
         F.coalesce(F.array_contains("context_flags", "peak_hours"), F.lit(False)).alias("peak"),
         F.struct(*[stored(f.name) for f in fields]).alias("payload"))
     payload = rows.schema["payload"].dataType
-    output = (StructType.fromDDL("src_ip string, us long, id string").add("payload", payload)
-              .add("repeat_count", "long").add("passed", "boolean").add("late", "boolean"))
-    followed = rows.groupBy("src_ip").transformWithState(
-        AddressProcessor(payload.simpleString(), bucket_ms), output, "Append", "EventTime")
+    output = StructType.fromDDL("src_ip string, us long, id string, payload string, repeat_count long, passed boolean, late boolean")
+    followed = rows.withColumn("payload", F.to_json("payload")).groupBy("src_ip").transformWithState(
+        AddressProcessor("string", bucket_ms), output, "Append", "EventTime")
+    followed = followed.withColumn("payload", F.from_json("payload", payload))
 
     def shown(name: str):
         value = F.col(f"payload.{name}")
