@@ -381,3 +381,14 @@ def test_long_buckets_and_payload_as_text_give_the_same_rows(spark, tmp_path, mo
                             for r in spark.read.parquet(f"{out}/logs").collect()))
     assert found[0] == found[1] and len(found[0]) > 40
     assert seen == [("string", 1000), ("string", 600_000)]  # a row's other columns are one text in the state
+
+
+def test_a_given_ingest_time_behind_the_watermark_is_late(spark, tmp_path):
+    broken = json.dumps(dict(json.loads(line(7, BASE, "203.0.113.9", -0.3)), timestamp="no time"))
+    write_lines(tmp_path / "in", [[line(0, BASE + timedelta(seconds=2000), "203.0.113.9", -0.3)], [broken],
+                                  [line(8, FAR, "192.0.2.1", -0.3)]])
+    logs = predicted(flow.enriched_stream(stream_log_text(spark, str(tmp_path / "in"), 1), F.lit(BASE)))
+    out = str(tmp_path / "out")
+    flow.start(flow.score_stream(logs, "60 seconds"), out, str(tmp_path / "state")).awaitTermination()
+    assert [(r["id"], r["copies"]) for r in flow.late_rows(spark, out).collect()] == [("7", 1)]
+    assert "7" not in {r["id"] for r in spark.read.parquet(f"{out}/logs").collect()}

@@ -40,8 +40,10 @@ def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column |
     ``passed`` marks the rows that raise an alert.  Only readable timestamps
     that are not ahead of ``now`` (by default the time of the batch) move the
     watermark, so a log with a broken or future time cannot make others late.
-    ``late`` marks live rows whose readable time is behind the watermark when
+    ``late`` marks live rows whose event time is behind the watermark when
     they arrive; they come out at once, without score, severity and factors.
+    That holds for an ingest time too that stands for a broken one, if it was
+    given; the time of arrival never is behind.
 
     A live row is released when the watermark has passed the ``bucket_ms`` it
     lies in.  State is read and written by bucket: a flow that catches up with

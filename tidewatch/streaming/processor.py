@@ -150,8 +150,8 @@ def id_order(row_id: str):
 def follow_addresses(live: DataFrame, clock: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Add ``repeat_count``, ``passed`` and ``late`` to a stream of live rows with a watermark on ``clock``.
 
-    Late rows carry no count.  Rows with a null ``clock`` are never late; they
-    wait for the watermark to reach their ``ts`` like all others.  Columns
+    Late rows carry no count.  Rows with a null ``clock`` are late by their
+    ``ts``; ahead of the watermark they wait for it like all others.  Columns
     that the state does not look at pass through it as one JSON text: a row
     then crosses between Spark and Python as six values, however wide it is.
     """
@@ -165,7 +165,7 @@ def follow_addresses(live: DataFrame, clock: str, bucket_ms: int = BUCKET_MS) ->
     rows = live.select(
         F.coalesce("src_ip", F.lit("unknown")).alias("src_ip"),
         # a number, not the watermarked column itself: late rows must get here
-        F.unix_micros(clock).alias("clock"), F.unix_micros("ts").alias("us"), F.col("id").cast("string").alias("id"),
+        F.unix_micros(F.coalesce(clock, "ts")).alias("clock"), F.unix_micros("ts").alias("us"), F.col("id").cast("string").alias("id"),
         points.cast("int").alias("points"),
         F.coalesce(F.array_contains("context_flags", "peak_hours"), F.lit(False)).alias("peak"),
         F.struct(*[stored(f.name) for f in fields]).alias("payload"))
