@@ -119,3 +119,22 @@ def test_far_ends_of_a_group_are_not_compared(spark):
     meeting = probes.join(own, "key").filter("a <> b").count()
     assert meeting > 5_000 and simhash._all_pairs(active).count() < meeting / 100
     assert simhash.keep_one(docs).count() == 300
+
+
+def test_no_pair_is_left_out(spark):
+    """Repeated words rule the prints of these texts, which no key brings together, but hardly count as shingles."""
+    r = random.Random(11)
+    rows = []
+    for k in range(30):
+        base = r.choices([f"w{j}" for j in range(2000)], k=r.randint(90, 160))
+        rows += [(2 * k + side, " ".join([*base, *[f"{mark}{k}"] * 700])) for side, mark in enumerate("xy")]
+    rows += [(1000 + i, text) for i, text in planted(6, 100, (5, 60))]
+    texts = dict(rows)
+    pairs = {(i, j) for i in texts for j in texts if i < j and plain_jaccard(texts[i], texts[j]) >= 0.8}
+    docs = spark.createDataFrame(rows, DOC)
+    points = docs.select(docs.doc_id.alias("row"), "text").mapInPandas(simhash._wide_prints, simhash._WIDE)
+    met = {(p.a, p.b) for p in simhash._all_pairs(points.withColumn("order", points.row)).collect()}
+    assert not any((2 * k, 2 * k + 1) in met for k in range(30)) and all((2 * k, 2 * k + 1) in pairs for k in range(30))
+    assert pairs <= {(p.a, p.b) for p in simhash._sharing(docs.select(docs.doc_id.alias("row"), "text"), 0.8).collect()}
+    kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
+    assert not any({i, j} <= kept for i, j in pairs) and set(texts) - kept <= {j for _, j in pairs}

@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm.graph import connected_components
 from tidewatch.llm.rows import numbered, without
@@ -37,6 +37,7 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 # (1 - s) / 2 of them, 25.6 at 0.8 with a deviation of 4.8.
 SKETCH_WORDS, SKETCH_RADIUS = 4, 40
 MAX_ROUNDS = 40
+SET_ROWS = 500  # texts whose shingles leave Python together
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, 64 * SKETCH_WORDS, np.uint32) | np.uint32(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -231,15 +232,52 @@ def _all_pairs(active: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), SET_ROWS):
+            part = batch.iloc[at:at + SET_ROWS]
+            sets = [np.unique(_hashes(_words(text), NEAR_SHINGLE).view(np.int64)) for text in part.text]
+            yield pd.DataFrame({"row": part.row, "size": list(map(len, sets)), "shingles": sets})
+
+
+def _sharing(texts: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of ``texts`` (``row``, ``text``) whose similarity can reach ``similarity``, by prefix filtering.
+
+    Shingles are ordered by the number of texts that hold them, rare ones
+    first.  Of two sets of sizes m and n with Jaccard similarity s at least,
+    the larger has at most 1/s as many shingles, and the first
+    n - ceil(s * n) + 1 shingles of each hold the first one they share.  What
+    follows that shingle must be enough for the overlap wanted.  Shingles of
+    one text only come first of all and meet nothing, so they only count.
+    """
+    share = float(similarity)
+    sets = texts.mapInPandas(_shingle_sets, "row long, size int, shingles array<long>")
+    shingles = sets.select("row", "size", F.explode("shingles").alias("shingle"))
+    held = shingles.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).filter("texts > 1")
+    ordered = held.groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    wanted = F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1 - alone
+    first = stage(ordered.select("row", "size", alone.alias("alone"),
+                                 F.posexplode(F.slice("shared", 1, F.greatest(wanted, F.lit(0)).cast("int"))))
+                  .select("row", "size", (F.col("alone") + F.col("pos")).alias("pos"), F.col("col.shingle").alias("shingle")),
+                  "prefixes")
+    one, other = first.alias("one"), first.alias("other")
+    left = F.least(*[F.col(f"{side}.size") - F.col(f"{side}.pos") for side in ("one", "other")])
+    smaller, larger = (pick("one.size", "other.size") for pick in (F.least, F.greatest))
+    enough = left >= share / (1 + share) * (smaller + larger) - 1e-6
+    return (one.join(other, "shingle").filter((F.col("one.row") < F.col("other.row")) & (smaller >= share * larger - 1e-6) & enough)
+            .select(F.col("one.row").alias("a"), F.col("other.row").alias("b")).distinct())
+
+
 def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The ``row`` of every document that is dropped as a copy or near copy of one that stays.
 
     ``rows`` is a table of :func:`~tidewatch.llm.rows.numbered` documents.
-    Equal texts are one point.  Points link when they share a key, differ in
+    Equal texts are one point.  Points link when the Jaccard similarity of
+    their five-word shingles, computed on the whole texts, reaches
+    ``similarity``.  At first those are compared that share a key, differ in
     at most ``RADIUS`` of 128 bits and in at most ``SKETCH_RADIUS`` of the 256
-    bits of a sketch of their five-word shingles, and the Jaccard similarity
-    of these shingles, computed on the whole texts, reaches ``similarity``.
-    The sketch keeps texts apart that have most words in common but not their
+    bits of a sketch of these shingles.  The sketch keeps texts apart that have most words in common but not their
     shingles, such as the far ends of a large group of copies.
 
     First every point is compared with one point that comes before it in the
@@ -247,8 +285,10 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFra
     keys, and dropped if they link; that is repeated among what is left until
     it drops nothing.  A group of copies of any size has shrunk to a few
     points by then, at one comparison per point and round.  Then all pairs
-    that are left are compared, and of each linked group the point with the
-    smallest ``doc_id`` stays.  So no two points stay that link.
+    that are left are compared, and with them every pair of texts whose
+    shingles can reach ``similarity`` whatever their prints are (see
+    :func:`_sharing`); of each linked group the point with the smallest
+    ``doc_id`` stays.  So no two texts stay whose similarity reaches it.
     """
     text = F.coalesce("doc.text", F.lit(""))
     plain = rows.select("row", text.alias("text"))
@@ -272,11 +312,13 @@ def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFra
             break
         dropped.append(gone)
         active = stage(active.join(gone, "row", "left_anti"), "wide-prints")
-    roots = connected_components(linked(_all_pairs(active))).withColumnRenamed("node", "row")
+    # by the smaller side, as in ``without``: where the rows dropped so far fit a broadcast, no text is shuffled
+    gone = stage(reduce(DataFrame.unionByName, dropped), "gone")
+    pairs = _all_pairs(active).unionByName(_sharing(plain.join(gone, "row", "left_anti"), similarity)).distinct()
+    roots = connected_components(linked(pairs)).withColumnRenamed("node", "row")
     members = active.select("row", "order").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     stay = members.groupBy("root").agg(F.min("order").alias("order")).select("order.row")
-    dropped.append(members.select("row").join(stay, "row", "left_anti"))
-    return reduce(DataFrame.unionByName, dropped)
+    return gone.unionByName(members.select("row").join(stay, "row", "left_anti"))
 
 
 def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
