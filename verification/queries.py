@@ -13,7 +13,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import (context, correlation, enrich, features, forest, harmonize, metrics,
                                  predict, quantiles, response, scoring, validate)
 from tidewatch.plans import detection, feeds, reports, training
-from tidewatch.session import stage, use_utc, work_path
+from tidewatch.session import stage, use_small_methods, use_utc, work_path
 from tidewatch.sources import datasets, logs as log_sources, model_store, sinks
 from tidewatch.sources.schemas import LOG_SCHEMA, NSL_SCHEMA
 from tidewatch.streaming import flow, progress, retention
@@ -32,18 +32,23 @@ _STREAMED: dict[tuple[str, str, str], str] = {}
 class Inputs:
     """The derived views of one scale factor, built on demand.
 
-    The views over the given tables are written once per session and scale
-    factor, so that queries start from stored log and dataset rows.
+    The log views over the given tables are written once per session and scale
+    factor, so that queries start from stored log rows.  Dataset rows are plain
+    arithmetic on few columns, which costs less than reading them from a table
+    with all columns; they are written for small tables only, to be spread.
     """
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = use_utc(spark), sf
+        self.spark, self.sf = use_small_methods(use_utc(spark)), sf
 
-    def _view(self, build) -> DataFrame:
+    def _view(self, build, written: bool = True) -> DataFrame:
+        """The view, stored unless ``written`` is false and its table comes in enough splits."""
         key = (self.spark.sparkContext.applicationId, self.sf, build.__name__)
         if key not in _STAGED:
             view = build(self.spark, self.sf)
             cores = self.spark.sparkContext.defaultParallelism
+            if not written and view.rdd.getNumPartitions() >= cores:
+                return view
             # one small file is one task; large tables already come in many splits
             if view.rdd.getNumPartitions() < cores:
                 view = view.repartition(cores)
@@ -79,11 +84,11 @@ class Inputs:
 
     @property
     def nsl(self) -> DataFrame:
-        return self._view(bridge.nsl_like)
+        return self._view(bridge.nsl_like, written=False)
 
     @property
     def unsw(self) -> DataFrame:
-        return self._view(bridge.unsw_like)
+        return self._view(bridge.unsw_like, written=False)
 
     @property
     def nsl_std(self) -> DataFrame:
