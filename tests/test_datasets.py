@@ -119,3 +119,26 @@ def test_unified_round_trip(spark, tmp_path):
         datasets.write_unified_table(table, path, fmt)
         back = datasets.read_unified_table(spark, path, table.schema, fmt).select(*K.UNIFIED_COLUMNS)
         assert back.collect() == table.collect()
+
+
+def test_dataset_views_read_their_tables(spark, sf, tmp_path):
+    """A table of many splits is not copied first; the rows are those of the copy, by methods that are compiled."""
+    from tidewatch.session import METHOD_LIMIT
+    from verification.queries import Inputs
+
+    spark.conf.unset(METHOD_LIMIT)
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(64).write.parquet(f"{tmp_path}/{name}.parquet")
+    limits = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "20000"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        many, few = Inputs(spark, str(tmp_path)), Inputs(spark, sf)
+        for view in ("unsw", "nsl"):
+            got, want = getattr(many, view), getattr(few, view)
+            assert all(str(tmp_path) in file for file in got.inputFiles())
+            assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert spark.conf.get(METHOD_LIMIT) == "8000"
