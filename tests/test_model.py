@@ -152,6 +152,27 @@ def test_describe_does_not_depend_on_the_finish(spark, points):
         assert list(x)[1:] == pytest.approx(list(y)[1:])
 
 
+@pytest.mark.parametrize("finish", [10**6, 30])
+def test_describe_counts_by_bins_instead_of_sketches(spark, monkeypatch, finish):
+    """Steep, tied, constant and extreme columns; a sketch per column and round is what large tables cannot afford."""
+    rng = np.random.default_rng(6)
+    columns = {"steep": np.exp(rng.normal(0, 9, 3001)), "ties": rng.integers(0, 3, 3001) * 1.5, "same": np.full(3001, -7.25),
+               "signs": rng.normal(0, 1, 3001), "tiny": rng.integers(0, 9, 3001) * 5e-324, "hot": np.where(rng.random(3001) < 0.6, 1e9, rng.random(3001))}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], list(columns)).repartition(3)
+    with monkeypatch.context() as patch:
+        if finish > 3001:
+            patch.setattr(quantiles.F, "percentile_approx", lambda *_: pytest.fail("a sketch"))
+        got = {r["feature"]: r for r in quantiles.describe(df, list(columns), finish).collect()}
+    for name, values in columns.items():
+        row = got[name]
+        assert [row["min"], row["p25"], row["p50"], row["p75"], row["max"]] == pytest.approx(
+            np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist(), rel=1e-12, abs=0)
+        assert row["count"] == 3001 and row["mean"] == pytest.approx(values.mean()) and row["std"] == pytest.approx(values.std(ddof=1), rel=1e-9)
+    wide = spark.createDataFrame([(-1.7e308,), (1.0,), (2.0,), (1.7e308,), (math.inf,), (math.nan,), (None,)], "x double")
+    row = quantiles.describe(wide, ["x"], 1).first()
+    assert (row["count"], row["min"], row["p50"], row["p25"]) == (6, -1.7e308, (2.0 + 1.7e308) / 2, 1.25)
+
+
 @pytest.mark.parametrize("finish", [10**6, 20])
 def test_special_values_come_in_order(spark, finish):
     inf, nan = math.inf, math.nan

@@ -25,6 +25,7 @@ from tidewatch.session import stage
 
 FINISH_ROWS = 1_000_000  # rows per interval that are counted value by value
 _ACCURACY = 10_000
+BINS, BIN_ROUNDS = 1024, 3  # describe counts by that many parts of a stretch, and so often
 QUARTERS = (0.25, 0.5, 0.75)
 
 
@@ -185,65 +186,99 @@ def exact_percentile(df: DataFrame, column: str, q: float, finish_rows: int = FI
     return rows[0]["value"] if rows else None
 
 
-def _quarter_ranks(told: Row, place: int) -> dict[int, float | _Rank]:
+def _quarter_ranks(told: Row) -> dict[int, float | _Rank]:
     """What is known of the ranks beside the quarters of a column: a special value, or a rank among its numbers."""
-    n, below = told[f"n{place}"], told[f"below{place}"]
-    finite = n - below - told[f"above{place}"] - told[f"nan{place}"]
+    n, below, undefined = told["n"], told["below"], told["nan"]
+    finite = n - below - told["above"] - undefined
     out: dict[int, float | _Rank] = {}
     for q in QUARTERS:
         for k in (floor(q * (n - 1)), ceil(q * (n - 1))):
-            special = -inf if k < below else inf if k < n - told[f"nan{place}"] else nan
-            out[k] = _Rank(str(place), k - below, finite) if below <= k < below + finite else special
+            special = -inf if k < below else inf if k < n - undefined else nan
+            out[k] = _Rank(str(told["place"]), k - below, finite) if below <= k < below + finite else special
     return out
 
 
-def _nearest_bounds(rank: _Rank, sketch: list[float], finite: int) -> tuple[float, float]:
-    """The sketched values that should enclose a rank."""
-    at = min(range(len(QUARTERS)), key=lambda i: abs(QUARTERS[i] - (rank.k + 0.5) / finite))
-    return sketch[2 * at], sketch[2 * at + 1]
+Span = tuple[int, float, float]  # a column, and the ends of a stretch of its numbers
+
+
+def _stretches(wide: DataFrame, spans: Sequence[Span], *more: Sequence[float]) -> DataFrame:
+    """A row per number of a column and stretch: ``span``, ``value``, its ends, and what else is told of the stretch.
+
+    Ends and the like travel with the value, so that the code does not grow with the number of columns.
+    """
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(at).alias("span"), F.lit(str(i)).alias("key"), F.col(f"v{i}").alias("value"),
+                 F.lit(low).alias("low"), F.lit(high).alias("high"), *[F.lit(x[at]).alias(f"more{n}") for n, x in enumerate(more)])
+        for at, (i, low, high) in enumerate(spans)])))
+
+
+def _bins(wide: DataFrame, spans: Sequence[Span]) -> dict[Span, list[Row]]:
+    """Per stretch its bins with values, in order: their number, the least and the largest; at most ``BINS``."""
+    scales = [BINS / (high - low) if high > low else 0.0 for _, low, high in spans]
+    value, low = F.col("value"), F.col("low")
+    inside = _stretches(wide, spans, scales).filter((value >= low) & (value <= F.col("high")))
+    place = F.least(F.floor((value - low) * F.col("more0")), F.lit(BINS - 1))  # rises with the value
+    counted = inside.groupBy("span", place.alias("bin")).agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+    out: dict[Span, list[Row]] = {span: [] for span in spans}
+    for row in sorted(counted, key=lambda row: (row["span"], row["bin"])):
+        out[spans[row["span"]]].append(row)
+    return out
+
+
+def _into_bin(rank: _Rank, bins: list[Row]) -> Span:
+    """Shrink a rank to the bin that holds it, given those of its stretch, and return that bin's own stretch."""
+    seen = 0
+    for at, row in enumerate(bins):
+        if rank.k < seen + row["n"]:
+            break
+        seen += row["n"]
+    if row["low"] == row["high"]:
+        rank.answer = row["low"]
+    rank.low = bins[at - 1]["high"] if at else rank.low
+    rank.high = bins[at + 1]["low"] if at + 1 < len(bins) else rank.high
+    rank.k, rank.n = rank.k - seen, row["n"]
+    return int(rank.key), row["low"], row["high"]
 
 
 def describe(df: DataFrame, columns: Sequence[str], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, one row each.
 
-    A column of nulls only gives no row.  All columns are taken side by side
-    in one aggregate, which also sketches bounds for the quartiles; a second
-    one counts what lies where of these bounds, and only values strictly
-    between them, a few ten-thousandths, are looked at one by one.
+    A column of nulls only gives no row.  All columns go through the same few
+    aggregates, a value a row: the first tells counts, moments and ends, the
+    next ones count the numbers by ``BINS`` equal parts of the stretches that
+    hold a quartile.  Only values in stretches of few rows are looked at one
+    by one.
     """
     places = range(len(columns))
-    value = [F.col(f"v{i}") for i in places]
     wide = stage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "described")
-    finite = [F.when((v > -inf) & (v < inf), v) for v in value]
-    shares = [share for q in QUARTERS for share in (q - 2.0 / _ACCURACY, q + 2.0 / _ACCURACY)]
-    told = wide.agg(*[stat.alias(f"{name}{i}") for i, v in enumerate(value) for name, stat in {
-        "n": F.count(v), "below": F.count_if(v == -inf), "above": F.count_if(v == inf), "nan": F.count_if(F.isnan(v)),
-        "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
-        "sketch": F.percentile_approx(finite[i], shares, _ACCURACY)}.items()]).first()
-    answers = {i: _quarter_ranks(told, i) for i in places if told[f"n{i}"]}
-    ranks = [(i, a) for i, known in answers.items() for a in known.values() if isinstance(a, _Rank)]
-    bounds = sorted({(i, *_nearest_bounds(r, told[f"sketch{i}"], r.n)) for i, r in ranks})
-    if bounds:
-        counts = wide.agg(*[F.count_if(test).alias(f"{name}{j}") for j, (i, low, high) in enumerate(bounds) for name, test in {
-            "below": finite[i] < low, "at_low": finite[i] == low, "between": (finite[i] > low) & (finite[i] < high),
-            "above": finite[i] > high}.items()]).first()
-        for i, r in ranks:
-            j = bounds.index((i, *_nearest_bounds(r, told[f"sketch{i}"], r.n)))
-            _, low, high = bounds[j]
-            r.shrink(low, high, *(counts[f"{name}{j}"] for name in ("below", "at_low", "between", "above")))
-        left = {(i, r.low, r.high) for i, r in ranks if r.answer is None}
-        near = [F.when((finite[i] > low) & (finite[i] < high), F.struct(F.lit(str(i)).alias("key"), value[i].alias("value")))
-                for i, low, high in {(i, min(x[1] for x in left if x[0] == i), max(x[2] for x in left if x[0] == i))
-                                     for i, _, _ in left}]
-        if near:
-            _resolve(wide.select(F.inline(F.array_compact(F.array(*near)))), [r for _, r in ranks if r.answer is None],
-                     finish_rows)
+    value = F.col("value")
+    number = F.when((value > -inf) & (value < inf), value)
+    cells = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"v{i}").alias("value")) for i in places])))
+    told = {row["place"]: row for row in cells.groupBy("place").agg(
+        F.count(value).alias("n"), F.count_if(value == -inf).alias("below"), F.count_if(value == inf).alias("above"),
+        F.count_if(F.isnan(value)).alias("nan"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.min(number).alias("low"), F.max(number).alias("high")
+    ).collect() if row["n"]}  # a row per column
+    answers = {i: _quarter_ranks(told[i]) for i in sorted(told)}
+    ranks = [(a, (i, told[i]["low"], told[i]["high"])) for i, known in answers.items() for a in known.values()
+             if isinstance(a, _Rank)]
+    for turn in range(BIN_ROUNDS):  # what is large after them is narrowed by sketches
+        large = {span for r, span in ranks if r.answer is None and r.n > (finish_rows if turn else 0)}
+        if not large:
+            break
+        bins = _bins(wide, sorted(large))
+        ranks = [(r, _into_bin(r, bins[span]) if r.answer is None and span in bins else span) for r, span in ranks]
+    left = [r for r, _ in ranks if r.answer is None]
+    if left:
+        near = _stretches(wide, sorted({(int(r.key), r.low, r.high) for r in left}))
+        _resolve(near.filter((value > F.col("low")) & (value < F.col("high"))).select("key", "value"), left, finish_rows)
     rows = []
     for i, known in answers.items():
         at = {k: a.answer if isinstance(a, _Rank) else a for k, a in known.items()}
-        wanted = [q * (told[f"n{i}"] - 1) for q in QUARTERS]
+        wanted = [q * (told[i]["n"] - 1) for q in QUARTERS]
         quarters = [_between(at[floor(p)], at[ceil(p)], p - floor(p)) for p in wanted]
-        rows.append((columns[i], *(told[f"{name}{i}"] for name in ("n", "mean", "std", "min")), *quarters, told[f"max{i}"]))
+        rows.append((columns[i], *(told[i][name] for name in ("n", "mean", "std", "min")), *quarters, told[i]["max"]))
     return df.sparkSession.createDataFrame(
         rows, "feature string, count long, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double")
