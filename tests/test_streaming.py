@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import Row, functions as F
 
-from tidewatch.operators import context, enrich, validate
+from tidewatch.operators import context, enrich, scoring, validate
 from tidewatch.operators.correlation import gap_sessions, stream_session_counts
 from tidewatch.plans import detection
 from tidewatch.sources.logs import read_log_text, stream_log_text
@@ -91,6 +91,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tuple(total) == (400, len(want))
 
 
+def test_shared_logs_are_parsed_once(spark, tmp_path):
+    """Live and quiet rows come from one reading of the lines, and are the same rows."""
+    source = tmp_path / "in"
+    write_files(source, 120, 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        logs = predicted(flow.enriched_stream(read_log_text(spark, str(source)), F.lit(BASE), shared=True))
+        evaluated = context.evaluate_context(logs)
+        both = scoring.live_rows(evaluated).unionByName(scoring.quiet_rows(evaluated), allowMissingColumns=True)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = []
+    for shared in (False, True):
+        raw = stream_log_text(spark, str(source), max_files=1)
+        out = str(tmp_path / f"out-{shared}")
+        query = flow.start(flow.score_stream(predicted(flow.enriched_stream(raw, shared=shared)), "200 seconds"), out,
+                           str(tmp_path / f"state-{shared}"))
+        query.awaitTermination()
+        assert sum(told["numInputRows"] for told in query.recentProgress) > 0
+        found.append(sorted(tuple(r) for r in spark.read.parquet(f"{out}/logs").drop("batch_id").collect()))
+    assert found[0] == found[1] and len(found[0]) == 120
+
+
 def test_equal_rows_without_id_are_all_kept(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

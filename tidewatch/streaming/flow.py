@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.columns import parse_timestamp
+from tidewatch.functions.columns import compute_once, parse_timestamp
 from tidewatch.operators.context import evaluate_context
 from tidewatch.operators.correlation import correlation_points
 from tidewatch.operators.enrich import enrich_logs
@@ -27,10 +27,20 @@ _CLOCK = "_clock"
 _SHOWN = ["id", "timestamp", "src_ip", "dst_ip", "event_type", "log_level", "message", "ts"]
 
 
-def enriched_stream(raw: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """Raw JSON lines to enriched logs; invalid lines are left out (``start_intake`` keeps them)."""
+def enriched_stream(raw: DataFrame, ingest_ts: Column | None = None, shared: bool = False) -> DataFrame:
+    """Raw JSON lines to enriched logs; invalid lines are left out (``start_intake`` keeps them).
+
+    A flow that takes the logs apart again, as ``score_stream`` does, reads
+    them once per part.  ``shared`` logs are parsed once for all parts: they
+    go through one exchange, which the parts have in common as no filter gets
+    below it.
+    """
     valid, _ = split_valid(parse_logs(raw))
-    return enrich_logs(valid, ingest_ts)
+    logs = enrich_logs(valid, ingest_ts)
+    if not shared:
+        return logs
+    spread = logs.repartition("id", "ts", "src_port")  # ids may be missing
+    return compute_once(spread, {name: F.col(name) for name in spread.columns})
 
 
 def score_stream(predicted: DataFrame, delay: str = DEFAULT_DELAY, now: Column | None = None,

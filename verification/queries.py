@@ -287,13 +287,13 @@ def _stretches(t: Inputs, late: str = "false") -> list[DataFrame]:
     return [*parts, t.spark.createDataFrame([(_closing(-9, "2024-01-09T00:00:00Z"),)], "value string")]
 
 
-def _stream_events(t: Inputs, source: str) -> DataFrame:
+def _stream_events(t: Inputs, source: str, shared: bool = False) -> DataFrame:
     """The raw lines as a stream of enriched logs with their given score."""
     spark = use_utc(t.spark.newSession())
     # state is split once and for all when a stream first starts
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     raw = log_sources.stream_log_text(spark, source)
-    logs = flow.enriched_stream(raw, _ingest_ts()).withColumn("id", F.col("id").cast("long"))
+    logs = flow.enriched_stream(raw, _ingest_ts(), shared).withColumn("id", F.col("id").cast("long"))
     given = t.logs.select("id", "anomaly_score", "is_anomaly", "confidence")
     return logs.join(given, "id", "left").withColumns({
         "anomaly_score": F.coalesce("anomaly_score", F.lit(-0.3)), "is_anomaly": F.coalesce("is_anomaly", F.lit(True)),
@@ -314,7 +314,7 @@ def _run_stream(t: Inputs, late: str) -> str:
     stretches = _stretches(t, late)
     for n, part in enumerate(stretches, 1):
         part.write.text(f"{lines}/{n:02}")
-        scored = flow.score_stream(_stream_events(t, f"{lines}/*"), DELAY, bucket_ms=CATCH_UP_BUCKET_MS)
+        scored = flow.score_stream(_stream_events(t, f"{lines}/*", shared=True), DELAY, bucket_ms=CATCH_UP_BUCKET_MS)
         # what a stretch makes due is released with the next one, and only after the last one by a batch without lines
         scored.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", n == len(stretches))
         flow.start(scored, root, state).awaitTermination()
