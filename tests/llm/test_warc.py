@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import warc
+from tidewatch.session import stage
 
 
 def package(members, **options):
@@ -199,3 +200,18 @@ def test_given_pages(spark, sf):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], PAGE)
     assert warc.round_trip(empty).count() == 0
+
+
+def test_payloads_are_not_shuffled(spark, monkeypatch):
+    """Rows find the response of their payload by a stored table; plans of what is written move numbers and digests only."""
+    plans = {}
+    monkeypatch.setattr(warc, "stage", lambda df, label: (
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), stage(df, label))[1])
+    rows = [(k, f"http://h/{k}", f"<p>{k % 5} {'words again ' * 50}</p>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, "page_id")
+    packages = warc.write_packages(pages)
+    assert "Exchange" not in plans["package-list"] and "Join" not in plans["package-list"]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.replies(warc.read_records(packages)).collect())
+    assert got == [(k, len(html), "response" if k < 5 else "revisit", None if k < 5 else k % 5) for k, _, html in rows]
+    alone = spark.createDataFrame(rows[:3], pages.schema)  # no revisit at all
+    assert {r.record_type for r in warc.round_trip(alone).collect()} == {"response"}

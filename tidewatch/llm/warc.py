@@ -36,7 +36,7 @@ from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.session import stage, work_path
@@ -46,6 +46,7 @@ PACKAGE_RECORDS = 200_000
 RANGE_BYTES = 4 << 20
 READ_BYTES = 1 << 20
 LEAST_REVISIT = 100
+PART_BITS = 33  # rows are numbered by task, see monotonically_increasing_id: its number stands above these bits
 HOT_SHARE = 1000  # a digest is hot if it holds at least one of this many rows
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -268,16 +269,28 @@ class _Package:
         return self.path, self.octets, len(self.index)
 
 
-def _write(folder: str):
+def _revisits_of(folder: str, part: int) -> dict[int, int]:
+    """Of the rows that one task numbered, those that are revisits, with the row they refer to."""
+    system, path = file_system(f"{folder}/part={part}")
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    table = dataset.dataset(path, filesystem=system, format="parquet").to_table(columns=["row", "first"])
+    return dict(zip(table["row"].to_pylist(), table["first"].to_pylist(), strict=True))
+
+
+def _write(folder: str, revisits: str):
     def write(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        package, done = None, []
+        package, done, part, first = None, [], None, {}
         for record in records:
-            columns = [record.column(name) for name in ("row", "page_id", "url", "payload", "digest", "refers_to")]
-            for row, page_id, url, payload, digest, refers_to in zip(*columns, strict=True):
+            columns = [record.column(name) for name in ("row", "page_id", "url", "payload", "digest")]
+            for row, page_id, url, payload, digest in zip(*columns, strict=True):
                 package = package or _Package(folder)
-                url = url.as_py()
-                package.add(written_record(row.as_py(), page_id.as_py(), url, payload.as_py(), digest.as_py(),
-                                           refers_to.as_py()), digest.as_py(), url)
+                row, url = row.as_py(), url.as_py()
+                if row >> PART_BITS != part:
+                    part = row >> PART_BITS
+                    first = _revisits_of(revisits, part)
+                package.add(written_record(row, page_id.as_py(), url, payload.as_py(), digest.as_py(), first.get(row)),
+                            digest.as_py(), url)
                 if package.full():
                     done.append(package.close())
                     package = None
@@ -322,6 +335,10 @@ def write_packages(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     are all responses.  A package ends with the task's rows or at
     ``PACKAGE_BYTES``; a record of any length fits.  An empty table makes no
     package; other columns are not read.
+
+    Only row numbers and digests are shuffled.  What they tell is stored by
+    the task that numbered the rows, and the writer of a row looks it up
+    there, so no payload leaves its place.
     """
     spark = pages.sparkSession
     text = F.coalesce(F.col("html"), F.lit(""))
@@ -331,13 +348,15 @@ def write_packages(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     total = rows.count()
     firsts = stage(_firsts(rows.filter(F.octet_length("payload") >= least_revisit).select("digest", "page_id", "row")),
                    "first-pages")
-    judged = _look_up(rows, firsts, "digest", total).withColumn(
-        "refers_to", F.when(F.col("first") != F.col("row"), F.col("first")))
+    revisits = work_path(spark, "revisits")
+    (_look_up(rows.select("row", "digest"), firsts, "digest", total).filter(F.col("first") != F.col("row"))
+     .select("row", "first", F.shiftright("row", PART_BITS).alias("part"))
+     .repartition("part").write.partitionBy("part").parquet(revisits))
     folder = work_path(spark, "packages")
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
-    return stage(judged.select("row", "page_id", "url", "payload", "digest", "refers_to")
-                 .mapInArrow(_write(folder), MANIFEST), "package-list")
+    return stage(rows.select("row", "page_id", "url", "payload", "digest")
+                 .mapInArrow(_write(folder, revisits), MANIFEST), "package-list")
 
 
 # -------------------------------------------------------------------- reading
