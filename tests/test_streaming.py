@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -15,6 +16,7 @@ from tidewatch.operators.response import alert_retention, create_alerts
 from tidewatch.sources import sinks
 from tidewatch.streaming import flow, progress, retention
 from tidewatch.streaming.processor import AddressProcessor, AddressState
+from verification import queries
 
 BASE = datetime(2024, 1, 1, 20, 0, tzinfo=timezone.utc)
 FAR = datetime(2024, 1, 9, tzinfo=timezone.utc)
@@ -417,3 +419,18 @@ def test_a_given_ingest_time_behind_the_watermark_is_late(spark, tmp_path):
     flow.start(flow.score_stream(logs, "60 seconds"), out, str(tmp_path / "state")).awaitTermination()
     assert [(r["id"], r["copies"]) for r in flow.late_rows(spark, out).collect()] == [("7", 1)]
     assert "7" not in {r["id"] for r in spark.read.parquet(f"{out}/logs").collect()}
+
+
+def test_lines_are_cut_into_stretches_without_validation(spark, tmp_path, monkeypatch):
+    """All lines are there once, by rising time; only the stream itself validates them."""
+    kinds = ["click", "view", "signup", "purchase", "error"]
+    events = [(i, datetime(2024, 1, 1) + timedelta(minutes=37 * (i % 251)), i % 40, kinds[i % 5], 1.5) for i in range(400)]
+    spark.createDataFrame([*events, *events[:9]], "event_id long, ts timestamp, user_id long, event_type string, value double") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    inputs = queries.Inputs(spark, str(tmp_path))
+    raw = Counter(r.value for r in inputs.raw.select("value").collect())
+    monkeypatch.setattr(validate, "parse_logs", lambda *_: 1 / 0)
+    *stretches, closing = [[r.value for r in part.collect()] for part in queries._stretches(inputs)]
+    assert Counter(line for part in stretches for line in part) == raw and len(closing) == 1
+    plain = [{json.loads(line)["timestamp"][:19].replace("T", " ") for line in part if '+00:00"' in line} for part in stretches]
+    assert all(max(a) < cut <= min(b) for a, cut, b in zip(plain, queries._CUTS, plain[1:]))

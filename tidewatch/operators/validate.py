@@ -14,7 +14,10 @@ from tidewatch.functions.columns import compute_once
 from tidewatch.sources.schemas import LOG_SCHEMA
 
 OK = "OK"
-_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 def _typed(df: DataFrame, raw: str) -> DataFrame:
@@ -45,7 +48,7 @@ def missing_field() -> Column:
 
 def wrong_type() -> Column:
     """First field whose JSON type is not accepted."""
-    checks = [(~F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")).rlike(_NUMBER),
+    checks = [(~_is_number(F.coalesce(F.col(f"_type_{f}"), F.lit("VOID"))),
                f"{f} must be numeric") for f in K.NUMERIC_FIELDS]
     # a number beyond 32 bits would be read as null
     checks += [((F.coalesce(F.col(f"_type_{f}"), F.lit("VOID")) != "BIGINT")
@@ -98,7 +101,7 @@ def coerce_log_schema(df: DataFrame, raw: str = "value") -> DataFrame:
         if target == "string":
             value = F.when(kind == "STRING", _text(name))
         else:
-            scalar = kind.rlike(_NUMBER) | kind.isin("STRING", "BOOLEAN")
+            scalar = _is_number(kind) | kind.isin("STRING", "BOOLEAN")
             number = F.when(kind == "BOOLEAN", _text(name).try_cast("boolean").cast("double")) \
                       .otherwise(F.trim(_text(name)).try_cast("double"))
             if target == "int":

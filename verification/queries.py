@@ -273,8 +273,9 @@ def _closing(number: int, stamp: str) -> str:
 
 def _stretches(t: Inputs, late: str = "false") -> list[DataFrame]:
     """The raw lines in stretches of rising time; rows for which ``late`` holds come last of all."""
-    seen = validate.parse_logs(t.raw.select("value", F.col("id").alias("number")))
-    # every stretch reads all lines, which are parsed once
+    # the stream validates the lines; their order needs no more than the time
+    seen = t.raw.select("value", F.col("id").alias("number"), F.get_json_object("value", "$.timestamp").alias("timestamp"))
+    # every stretch reads all lines, whose time is read once
     seen = stage(enrich.with_event_time(seen, _ingest_ts()).select(
         "value", F.coalesce("ts", _ingest_ts()).alias("ts"), F.expr(late.replace("id", "number")).alias("late")), "timed-lines")
     edges = [None, *_CUTS, None]
