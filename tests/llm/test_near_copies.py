@@ -1,9 +1,14 @@
 """Near copies by five-word shingles against a comparison of all pairs."""
 
+import os
 import random
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import simhash
+from tidewatch.session import SHUFFLE_CLEANUP, stage
 
 DOC = "doc_id long, text string"
 
@@ -138,3 +143,39 @@ def test_no_pair_is_left_out(spark):
     assert pairs <= {(p.a, p.b) for p in simhash._sharing(docs.select(docs.doc_id.alias("row"), "text"), 0.8).collect()}
     kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
     assert not any({i, j} <= kept for i, j in pairs) and set(texts) - kept <= {j for _, j in pairs}
+
+
+def test_only_texts_of_frequent_shingles_are_shuffled_whole(spark, monkeypatch):
+    """All pairs are found whatever number of texts counts as a crowd, and only crowds need every shingle."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    lines = [r.choices(vocabulary, k=12) for _ in range(8)]
+    crowd = [" ".join([w for line in r.sample(lines, 7) for w in line] + r.choices(vocabulary, k=r.randint(1, 60))) for _ in range(40)]
+    crowd += [f"{text} more" for text in crowd[:20]]
+    texts = dict([*planted(7, 60, (5, 120)), *enumerate(crowd, 1000)])
+    pairs = {(i, j) for i in texts for j in texts if i < j and plain_jaccard(texts[i], texts[j]) >= 0.8}
+    docs = spark.createDataFrame(list(texts.items()), "row long, text string")
+    whole, plain = [], simhash._by_frequency
+    monkeypatch.setattr(simhash, "_by_frequency", lambda few, s: whole.append({x.row for x in few.collect()}) or plain(few, s))
+    for cap in (1, 3, 12, 64):
+        assert pairs <= {(p.a, p.b) for p in simhash._sharing(docs, 0.8, cap).collect()}, cap
+    assert len(pairs) > 40 and len(whole) == 3 and whole[-1] and min(whole[-1]) >= 1000
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a stored table go with its write, so that those of many rounds do not add up."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {name for top in folders for _, _, names in os.walk(top) for name in names
+                if name.startswith("shuffle_") and name.endswith(".data")}
+    before = shuffled()
+    counts = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    assert stage(counts, "counts").agg(F.sum("count")).first()[0] == 1000
+    for _ in range(50):
+        left = shuffled() - before
+        if len(left) <= 1:  # of the sum above, which was not stored
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1, left
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false" and counts.count() == 7 == counts.count()

@@ -38,6 +38,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 SKETCH_WORDS, SKETCH_RADIUS = 4, 40
 MAX_ROUNDS = 40
 SET_ROWS = 500  # texts whose shingles leave Python together
+# Texts are paired for a shingle that so many have among their first ones; pairs share this part of the first ones.
+SHARED_CAP, KEPT = 64, 0.25
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, 64 * SKETCH_WORDS, np.uint32) | np.uint32(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -232,19 +234,43 @@ def _all_pairs(active: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[np.ndarray]]]:
     for batch in batches:
         for at in range(0, len(batch), SET_ROWS):
             part = batch.iloc[at:at + SET_ROWS]
-            sets = [np.unique(_hashes(_words(text), NEAR_SHINGLE).view(np.int64)) for text in part.text]
-            yield pd.DataFrame({"row": part.row, "size": list(map(len, sets)), "shingles": sets})
+            yield part.row, [np.unique(_hashes(_words(text), NEAR_SHINGLE).view(np.int64)) for text in part.text]
 
 
-def _sharing(texts: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of ``texts`` (``row``, ``text``) whose similarity can reach ``similarity``, by prefix filtering.
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for row, sets in _sets(batches):
+        yield pd.DataFrame({"row": row, "size": list(map(len, sets)), "shingles": sets})
+
+
+def _more(size, floor, similarity: float):
+    """How many shingles beyond one two texts have to share among their first ones, by the size of the smaller.
+
+    A part of the size that pairs of the ``similarity`` surely share.
+    """
+    return floor(size * (KEPT if similarity >= 2 * KEPT else 0))
+
+
+def _prefixes(similarity: float):
+    """The smallest shingles of every text that :func:`_sharing` wants, with their place, a row each."""
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, sets in _sets(batches):
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            wanted = sizes - np.ceil(sizes * similarity - 1e-6).astype(np.int64) + 1 + _more(sizes, np.floor, similarity).astype(np.int64)
+            sets = [shingles[:n] for shingles, n in zip(sets, wanted.tolist(), strict=True)]
+            lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pd.DataFrame({"row": np.repeat(row.to_numpy(), lengths), "size": np.repeat(sizes, lengths),
+                                "pos": np.concatenate([np.arange(n) for n in lengths]), "shingle": np.concatenate(sets)})
+    return prefixes
+
 
-    Shingles are ordered by the number of texts that hold them, rare ones
-    first.  Of two sets of sizes m and n with Jaccard similarity s at least,
+def _by_frequency(texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of :func:`_sharing`, by the shingles that the fewest texts hold; every shingle is shuffled.
+
+    Of two sets of sizes m and n with Jaccard similarity s at least,
     the larger has at most 1/s as many shingles, and the first
     n - ceil(s * n) + 1 shingles of each hold the first one they share.  What
     follows that shingle must be enough for the overlap wanted.  Shingles of
@@ -269,6 +295,45 @@ def _sharing(texts: DataFrame, similarity: float) -> DataFrame:
             .select(F.col("one.row").alias("a"), F.col("other.row").alias("b")).distinct())
 
 
+def _sharing(texts: DataFrame, similarity: float, cap: int = SHARED_CAP) -> DataFrame:
+    """Every pair of ``texts`` (``row``, ``text``) whose similarity can reach ``similarity``, by prefix filtering.
+
+    Shingles are ordered by their hash.  Two sets that share at least
+    o >= s * n shingles, n being the size of either, have k of these among the
+    first n - o + k of each, so among the first n - ceil(s * n) + k.  With k
+    growing with n (see :func:`_more`), texts with some lines in common are
+    told apart without reading them.
+
+    Shingles that more than ``cap`` texts have there are not paired, but
+    counted per text: as many may be missing from the k.  Where they may be all
+    of the k, both texts are taken again with the other such texts, by the
+    shingles that the fewest texts hold (see :func:`_by_frequency`).  So no
+    pair is left out, and the pairs of a frequent line are not formed.
+    """
+    share = float(similarity)
+    first = texts.mapInPandas(_prefixes(share), "row long, size int, pos int, shingle long")
+    shared = stage(first.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).filter("texts > 1"), "prefixes")
+    crowds = stage(shared.filter(F.col("texts") > cap).groupBy("row", "size").agg(F.count("*").alias("crowded")), "crowds")
+    few = shared.filter(F.col("texts") <= cap).join(crowds.drop("size"), "row", "left").fillna(0, "crowded")
+    one, other = few.alias("one"), few.alias("other")
+    smaller, larger = (pick("one.size", "other.size") for pick in (F.least, F.greatest))
+    left = F.least(*[F.col(f"{side}.size") - F.col(f"{side}.pos") for side in ("one", "other")])
+    both = (one.join(other, "shingle").filter((F.col("one.row") < F.col("other.row")) & (smaller >= share * larger - 1e-6))
+            .groupBy(F.col("one.row").alias("a"), F.col("other.row").alias("b"))
+            .agg(F.count("*").alias("n"), F.max(left).alias("left"), F.first(smaller).alias("smaller"), F.first(larger).alias("larger"),
+                 F.first(F.least("one.crowded", "other.crowded")).alias("crowded")))
+    wanted = share / (1 + share) * (F.col("smaller") + F.col("larger")) - 1e-6
+    # the first ones end earlier in one of the two texts, and what follows there is the most that can be shared yet
+    after = F.greatest(*[F.greatest(F.ceil(F.col(side) * share - 1e-6) - 1 - _more(F.col(side), F.floor, share), F.lit(0))
+                         for side in ("smaller", "larger")])
+    enough = (F.col("left") + F.col("crowded") >= wanted) & (F.col("n") + F.col("crowded") + after >= wanted)
+    pairs = both.filter(enough).select("a", "b")
+    again = stage(crowds.filter(F.col("crowded") > _more(F.floor(F.col("size") * share - 1e-6), F.floor, share)).select("row"), "crowded")
+    if again.isEmpty():
+        return pairs
+    return pairs.unionByName(_by_frequency(texts.join(again, "row", "left_semi"), share)).distinct()
+
+
 def near_copies(rows: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The ``row`` of every document that is dropped as a copy or near copy of one that stays.
 
